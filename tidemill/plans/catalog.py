@@ -9,6 +9,7 @@ from tidemill.plans.registry import QUERIES
 MODULES = [
     "queries_models",
     "queries_loads",
+    "queries_quality",
 ]
 
 for _module in MODULES:

@@ -243,14 +243,14 @@ _CAST_TOTAL = f"* REPLACE ({D('total')} AS total)"
 
 @query("k01_append", f"SELECT {_CAST_TOTAL} FROM (SELECT * FROM store_before UNION ALL SELECT * FROM store_delta)", "store_before store_delta")
 def _(t):
-    table = sinks.VersionedTable(t.spark, scratch_path(t.spark, "append"))
+    table = sinks.VersionedTable(t.spark, scratch_path(t.spark, "append"), create=True)
     table.replace(t.store_before)
     return table.append(t.store_delta)
 
 
 @query("k02_full_refresh", f"SELECT {_CAST_TOTAL} FROM store_delta", "store_delta")
 def _(t):
-    table = sinks.VersionedTable(t.spark, scratch_path(t.spark, "refresh"))
+    table = sinks.VersionedTable(t.spark, scratch_path(t.spark, "refresh"), create=True)
     table.replace(t.store_before)
     return table.replace(t.store_delta)
 
@@ -398,6 +398,6 @@ def _(t):
     WHERE o.status <> 'cancelled' GROUP BY 1, 2""", "shop_items shop_orders shop_products")
 def _(t):
     daily = marts.daily_metrics(_closed_lines(t)).select("day", "region", "total_orders", "total_revenue")
-    table = sinks.VersionedTable(t.spark, scratch_path(t.spark, "daily"))
+    table = sinks.VersionedTable(t.spark, scratch_path(t.spark, "daily"), create=True)
     before = table.replace(daily.filter(F.col("day") < F.lit("1998-01-01").cast("date")).withColumn("total_revenue", F.lit(0.0)))
     return mg.upsert(before, daily, ["day", "region"])

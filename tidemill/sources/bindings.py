@@ -125,6 +125,7 @@ class Tables:
         return self._events_k.select(
             F.concat(F.lit("run_"), F.col("event_id").cast("string")).alias("id"),
             F.col("event_id").alias("run_no"),
+            "user_id",
             pick(PIPELINES, F.col("user_id") % len(PIPELINES)).alias("pipeline_name"),
             pick(SOURCE_TYPES, F.col("user_id") % len(SOURCE_TYPES)).alias("source_type"),
             (cents + F.col("k")).alias("records_ingested"),
@@ -139,6 +140,27 @@ class Tables:
             (F.col("value") * 6).cast("decimal(18,6)").alias("duration_seconds"),
         )
 
+    @cached_property
+    def fleet(self) -> DataFrame:
+        """Runs of many flows: one flow per user, ``kind`` is the kind of flow it belongs to."""
+        return self.runs.withColumns({
+            "kind": F.col("pipeline_name"),
+            "pipeline_name": F.concat_ws("_", "pipeline_name", F.col("user_id").cast("string")),
+        })
+
+    @cached_property
+    def stream_metrics(self) -> DataFrame:
+        k = F.col("k")
+        return self._events_k.select(
+            pick(PIPELINES, F.col("user_id") % len(PIPELINES)).alias("pipeline_name"),
+            pick(["flink", "spark"], F.col("event_id") % 2).alias("engine"),
+            F.col("ts").alias("recorded_at"),
+            (k * 2500).alias("consumer_lag"),
+            (k * 40).alias("watermark_lag_ms"),
+            F.round(F.col("value") * 100).cast("bigint").alias("micro_batch_ms"),
+            (F.col("value") * 10).cast("decimal(18,2)").alias("records_per_second"),
+        )
+
     @cached_property
     def taxi(self) -> DataFrame:
         """Raw taxi trips: one per event."""

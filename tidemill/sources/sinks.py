@@ -11,25 +11,25 @@ class VersionedTable:
 
     Each write makes a new folder and then appends its number to a small log; readers use the
     newest logged version, so a path is never overwritten while it is read and a failed write
-    leaves no trace in the log.
+    leaves no trace in the log. ``create=True`` starts an empty table (version 0).
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, create: bool = False):
         self.spark, self.path = spark, path.rstrip("/")
+        if create:
+            self._log(0)
+
+    def _log(self, version: int) -> None:
+        row = self.spark.range(1).select(F.lit(version).alias("version"))
+        row.write.mode("append").json(f"{self.path}/versions")
 
     def version(self) -> int:
-        try:
-            log = self.spark.read.schema("version int").json(f"{self.path}/_log")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
-        return log.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        return self.spark.read.schema("version int").json(f"{self.path}/versions").agg(F.max("version")).first()[0]
 
     def replace(self, df: DataFrame) -> DataFrame:
         new = self.version() + 1
         df.write.parquet(f"{self.path}/v{new}")
-        self.spark.range(1).select(F.lit(new).alias("version")).write.mode("append").json(f"{self.path}/_log")
+        self._log(new)
         return self.read()
 
     def append(self, df: DataFrame) -> DataFrame:
@@ -56,8 +56,8 @@ class WatermarkStore:
 
     SCHEMA = "flow string, table_name string, column_name string, value timestamp_ntz"
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.table = spark, VersionedTable(spark, path)
+    def __init__(self, spark: SparkSession, path: str, create: bool = False):
+        self.spark, self.table = spark, VersionedTable(spark, path, create)
 
     def all(self) -> DataFrame:
         return self.table.read() if self.table.version() else self.spark.createDataFrame([], self.SCHEMA)
