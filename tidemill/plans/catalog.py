@@ -10,6 +10,7 @@ MODULES = [
     "queries_models",
     "queries_loads",
     "queries_quality",
+    "queries_anomalies",
 ]
 
 for _module in MODULES:
