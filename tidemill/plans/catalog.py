@@ -11,6 +11,7 @@ MODULES = [
     "queries_loads",
     "queries_quality",
     "queries_anomalies",
+    "queries_remediate",
 ]
 
 for _module in MODULES:
