@@ -285,7 +285,7 @@ def partition_skew(df: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
     sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
     mean = sizes.agg(F.avg("_n")).scalar()
     hot = sizes.filter(F.col("_n") > mean * k.SKEW_RATIO).select(key, F.lit(True).alias("_hot"))
-    # Fewer than 1 key in 5 * mean rows can be hot; the plan decides by size whether to broadcast them.
+    # Less than a fifth of the keys can be hot; the planner broadcasts them only when they are small.
     placed = df.withColumn("_row", F.monotonically_increasing_id())
     return placed.join(hot, key, "left").withColumn(
         "_partition_salt", F.when(F.col("_hot"), F.pmod("_row", F.lit(salts))).otherwise(0).cast("int")).drop("_row", "_hot")

@@ -12,6 +12,8 @@ MODULES = [
     "queries_quality",
     "queries_anomalies",
     "queries_remediate",
+    "queries_learning",
+    "queries_observe",
 ]
 
 for _module in MODULES:

@@ -252,7 +252,9 @@ class Tables:
             (k / F.lit(100.0)).alias("confidence_score"),
             F.col("ts").alias("detection_at"),
             F.when(closed, F.col("ts") + micros * F.expr("INTERVAL '0.000001' SECOND")).alias("resolved_at"),
-            F.concat_ws("_", F.lit("fix"), F.lower(anomaly), (k % 7).cast("string")).alias("fix_id"),
+            F.concat_ws(
+                "_", F.lit("fix"), F.lower(anomaly), (k % 50).cast("string"), (F.col("user_id") % 20).cast("string")
+            ).alias("fix_id"),
         )
 
     @cached_property
