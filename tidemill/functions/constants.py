@@ -281,3 +281,18 @@ ALERT_RULES = [
     ("SLA Breach", "sla_breach", "pagerduty", 0.0, 30, True),
     ("Cost Threshold Exceeded", "cost_threshold", "email", 50.0, 1440, False),
 ]
+
+# Insight rows (title, insight, severity, metric, time window, table); {..} are measured values.
+# The severity "by_airport_share" is opportunity above 10 % airport trips, else info.
+INSIGHTS = [
+    ("NYC Taxi generated ${rev} in 7-day revenue", "The last 7 days saw {trips} trips with ${rev} in total fare revenue. Average fare per trip is ${fare}.", "info", "${rev} revenue", "7d", "marts.fct_trips"),
+    ("{apt}% of taxi trips are airport-related", "Airport trips (JFK, LGA, EWR) represent {apt}% of all trips. These typically command higher fares.", "by_airport_share", "{apt}% airport", "7d", "marts.fct_trips"),
+    ("E-commerce revenue: ${eco_rev} last 7 days", "{eco_ord} orders totalling ${eco_rev} were placed in the last 7 days.", "info", "${eco_rev}", "7d", "marts.fct_ecommerce_summary"),
+    ("{vip} VIP customers identified", "{vip} customers have spent >$1,000 lifetime and are classified as VIP. Their average LTV is ${vip_ltv}.", "opportunity", "{vip} VIPs", "30d", "marts.dim_customers"),
+    ("Data pipeline health check", "All 4 ETL pipelines have been monitored. Check incidents table for any active anomalies.", "info", "pipeline status", "24h", "raw.pipeline_runs"),
+    ("Peak taxi demand hours identified", "Rush-hour windows show highest trip concentration. Surge pricing opportunities exist during peak hours.", "opportunity", "demand pattern", "7d", "marts.fct_trips"),
+    ("Customer segmentation complete", "Customer base segmented into VIP ({vip}), Regular, and Occasional tiers based on lifetime value.", "info", "3 segments", "30d", "marts.dim_customers"),
+    ("Taxi zone traffic distribution", "High-traffic zones drive the majority of revenue. Focus fleet allocation on top zones.", "opportunity", "zone concentration", "30d", "marts.dim_taxi_zones"),
+    ("E-commerce order volume trend", "Monthly order volume of {eco_ord} units. Monitor for seasonal patterns and demand shifts.", "info", "{eco_ord} orders", "30d", "marts.fct_ecommerce_summary"),
+    ("Cost optimization savings tracked", "Query optimizer has identified savings opportunities. Review optimization history for details.", "opportunity", "cost savings", "30d", "public.query_optimizations"),
+]

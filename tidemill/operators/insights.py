@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.exprs import back, dbl, ratio_sum, rnd, safe_divide, share_pct
+from tidemill.functions.constants import INSIGHTS
+from tidemill.functions.exprs import back, dbl, decode, ratio_sum, rnd, safe_divide, share_pct
 
 WINDOW_DAYS = {"24h": 1, "7d": 7, "30d": 30}
 # Severity order of the insight list.
@@ -99,47 +100,45 @@ def drill_down(table: str, df: DataFrame, window: str, as_of: Column, n: int = 3
     raise ValueError(f"no drill-down for {table}")
 
 
-def _commas(c: Column) -> Column:
-    return F.format_number(F.round(c.cast("decimal(38,6)"), 0), 0)
+def _rounded(c: Column, digits: int) -> Column:
+    return F.round(c.cast("decimal(38,6)"), digits).cast(f"decimal(18,{digits})")
 
 
 def insight_rows(trips: DataFrame, commerce: DataFrame, customers: DataFrame) -> DataFrame:
-    """Ten insight rows from the one-row statistics, with their severity rank."""
+    """Ten insight rows filled from the one-row statistics, with their severity rank."""
     vip = customers.filter(F.col("customer_segment") == "VIP").agg(
-        F.count("*").alias("vip"), F.coalesce(rnd(ratio_sum(_money("total_revenue")), 2), F.lit(0.0)).alias("vip_ltv"))
+        F.count("*").alias("vip"), F.coalesce(ratio_sum(_money("total_revenue")), F.lit(0.0)).alias("vip_ltv"))
+    zero = F.lit(0.0)
     # Each side is a single aggregate row.
     one = trips.crossJoin(F.broadcast(commerce)).crossJoin(F.broadcast(vip)).select(
-        F.coalesce("total_revenue", F.lit(0.0)).alias("rev"), "total_trips", F.coalesce("airport_pct", F.lit(0.0)).alias("apt"),
-        F.coalesce("revenue", F.lit(0.0)).alias("eco"), F.coalesce("orders", F.lit(0)).alias("orders"), "vip", "vip_ltv")
-    rev, n, apt, eco, orders = (F.col(c) for c in ("rev", "total_trips", "apt", "eco", "orders"))
-    pct = apt.cast("decimal(18,1)").cast("string")
-    per_trip = F.round((rev / F.greatest(n, F.lit(1))).cast("decimal(38,6)"), 2).cast("decimal(18,2)").cast("string")
-    vip_n = F.col("vip").cast("string")
-
-    def row(title, metric, severity, window, table):
-        text = [c if isinstance(c, Column) else F.lit(c) for c in (title, metric, severity)]
-        return F.struct(text[0].alias("title"), text[1].alias("metric"), text[2].alias("severity"),
-                        F.lit(window).alias("time_window"), F.lit(table).alias("table_name"))
-
-    rows = F.array(
-        row(F.concat(F.lit("Trips generated $"), _commas(rev), F.lit(" in 7-day revenue")),
-            F.concat(F.lit("$"), per_trip, F.lit(" per trip")), "info", "7d", "fct_trips"),
-        row(F.concat(pct, F.lit("% of taxi trips are airport-related")), F.concat(pct, F.lit("% airport")),
-            F.when(apt > 10, "opportunity").otherwise("info"), "7d", "fct_trips"),
-        row(F.concat(F.lit("E-commerce revenue: $"), _commas(eco), F.lit(" last 7 days")), F.concat(F.lit("$"), _commas(eco)),
-            "info", "7d", "fct_ecommerce_summary"),
-        row(F.concat(vip_n, F.lit(" VIP customers identified")), F.concat(vip_n, F.lit(" VIPs")), "opportunity", "30d", "dim_customers"),
-        row("Data flow health check", "run status", "info", "24h", "pipeline_runs"),
-        row("Peak taxi demand hours identified", "demand pattern", "opportunity", "7d", "fct_trips"),
-        row("Customer segmentation complete", "3 segments", "info", "30d", "dim_customers"),
-        row("Taxi zone traffic distribution", "zone concentration", "opportunity", "30d", "dim_taxi_zones"),
-        row("E-commerce order volume trend", F.concat(_commas(orders), F.lit(" orders")), "info", "30d", "fct_ecommerce_summary"),
-        row("Cost optimization savings tracked", "cost savings", "opportunity", "30d", "query_optimizations"),
-    )
-    rank = F.when(F.lit(False), 0)
-    for name, position in SEVERITY_ORDER.items():
-        rank = rank.when(F.col("severity") == name, position)
-    return one.select(F.inline(rows)).withColumn("severity_rank", rank.otherwise(3))
+        F.coalesce("total_revenue", zero).alias("revenue"), "total_trips", F.coalesce("airport_pct", zero).alias("airport"),
+        F.coalesce("revenue", zero).alias("sales"), F.coalesce("orders", F.lit(0)).alias("orders"), "vip", "vip_ltv")
+    shown = {
+        "rev": F.format_number(_rounded(F.col("revenue"), 0), 0),
+        "trips": F.format_number("total_trips", 0),
+        "fare": _rounded(F.col("revenue") / F.greatest(F.col("total_trips"), F.lit(1)), 2).cast("string"),
+        "apt": _rounded(F.col("airport"), 1).cast("string"),
+        "eco_rev": F.format_number(_rounded(F.col("sales"), 0), 0),
+        "eco_ord": F.format_number("orders", 0),
+        "vip": F.col("vip").cast("string"),
+        "vip_ltv": _rounded(F.col("vip_ltv"), 2).cast("string"),
+    }
+
+    def fill(template: str) -> Column:
+        text = F.lit(template)
+        for name, value in shown.items():
+            if f"{{{name}}}" in template:
+                text = F.replace(text, F.lit(f"{{{name}}}"), value)
+        return text
+
+    by_airport = F.when(F.col("airport") > 10, "opportunity").otherwise("info")
+    rows = F.array(*[
+        F.struct(fill(title).alias("title"), fill(insight).alias("insight"),
+                 (by_airport if severity == "by_airport_share" else F.lit(severity)).alias("severity"),
+                 fill(metric).alias("metric"), F.lit(window).alias("time_window"), F.lit(table).alias("table_name"))
+        for title, insight, severity, metric, window, table in INSIGHTS
+    ])
+    return one.select(F.inline(rows)).withColumn("severity_rank", decode(F.col("severity"), SEVERITY_ORDER, 3))
 
 
 def cached_insights(insights: DataFrame, as_of: Column, n: int = 10) -> DataFrame:

@@ -14,6 +14,7 @@ MODULES = [
     "queries_remediate",
     "queries_learning",
     "queries_observe",
+    "queries_log",
 ]
 
 for _module in MODULES:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemill.functions.constants import SLA_SECONDS
+from tidemill.functions.constants import INSIGHTS, SLA_SECONDS
 from tidemill.functions.exprs import month_start, rnd
 from tidemill.operators import insights as ins
 from tidemill.operators import kpi
 from tidemill.plans import marts, staging
-from tidemill.plans.oracle import AS_OF, AVG, D, ORDERS_AS_OF, PCT, R, case
+from tidemill.plans.oracle import AS_OF, AVG, D, ORDERS_AS_OF, PCT, R, case, lit
 from tidemill.plans.registry import query
 from tidemill.sources.bindings import PIPELINES
 
@@ -281,22 +281,40 @@ def _(t):
     return ins.drill_down("zones", _zones(t), "30d", t.as_of)
 
 
+def _rounded(x: str, digits: int) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(38,6)), {digits}) AS DECIMAL(18,{digits}))"
+
+
 def _fmt(x: str) -> str:
-    return f"format('{{:,}}', CAST(round(CAST({x} AS DECIMAL(38,6)), 0) AS BIGINT))"
-
-
-@query("i08_insight_rows", f"""WITH tr AS ({_TRIPS1}), co AS ({_COMM1}), vi AS (SELECT count(*) AS vip FROM dim_customers WHERE customer_segment = 'VIP'),
-    one AS (SELECT coalesce(total_revenue, 0) AS rev, total_trips AS n, coalesce(airport_pct, 0) AS apt, coalesce(revenue, 0) AS eco, coalesce(orders, 0) AS orders, vip FROM tr, co, vi),
-    rows AS (SELECT 'Trips generated $' || {_fmt('rev')} || ' in 7-day revenue' AS title, '$' || CAST(CAST(round(CAST(rev / greatest(n, 1) AS DECIMAL(38,6)), 2) AS DECIMAL(18,2)) AS VARCHAR) || ' per trip' AS metric, 'info' AS severity, '7d' AS time_window, 'fct_trips' AS table_name FROM one
-      UNION ALL SELECT CAST(CAST(apt AS DECIMAL(18,1)) AS VARCHAR) || '% of taxi trips are airport-related', CAST(CAST(apt AS DECIMAL(18,1)) AS VARCHAR) || '% airport', CASE WHEN apt > 10 THEN 'opportunity' ELSE 'info' END, '7d', 'fct_trips' FROM one
-      UNION ALL SELECT 'E-commerce revenue: $' || {_fmt('eco')} || ' last 7 days', '$' || {_fmt('eco')}, 'info', '7d', 'fct_ecommerce_summary' FROM one
-      UNION ALL SELECT vip || ' VIP customers identified', vip || ' VIPs', 'opportunity', '30d', 'dim_customers' FROM one
-      UNION ALL SELECT 'Data flow health check', 'run status', 'info', '24h', 'pipeline_runs' FROM one
-      UNION ALL SELECT 'Peak taxi demand hours identified', 'demand pattern', 'opportunity', '7d', 'fct_trips' FROM one
-      UNION ALL SELECT 'Customer segmentation complete', '3 segments', 'info', '30d', 'dim_customers' FROM one
-      UNION ALL SELECT 'Taxi zone traffic distribution', 'zone concentration', 'opportunity', '30d', 'dim_taxi_zones' FROM one
-      UNION ALL SELECT 'E-commerce order volume trend', {_fmt('orders')} || ' orders', 'info', '30d', 'fct_ecommerce_summary' FROM one
-      UNION ALL SELECT 'Cost optimization savings tracked', 'cost savings', 'opportunity', '30d', 'query_optimizations' FROM one)
+    return f"format('{{:,}}', CAST({x} AS BIGINT))"
+
+
+_SHOWN = {
+    "rev": _fmt(_rounded("rev", 0)), "trips": _fmt("n"), "fare": f"CAST({_rounded('rev / greatest(n, 1)', 2)} AS VARCHAR)",
+    "apt": f"CAST({_rounded('apt', 1)} AS VARCHAR)", "eco_rev": _fmt(_rounded("eco", 0)), "eco_ord": _fmt("orders"),
+    "vip": "CAST(vip AS VARCHAR)", "vip_ltv": f"CAST({_rounded('vip_ltv', 2)} AS VARCHAR)",
+}
+
+
+def _filled(template: str) -> str:
+    out = lit(template)
+    for name, value in _SHOWN.items():
+        if f"{{{name}}}" in template:
+            out = f"replace({out}, '{{{name}}}', {value})"
+    return out
+
+
+_INSIGHT_ROWS = " UNION ALL ".join(
+    f"""SELECT {_filled(title)} AS title, {_filled(insight)} AS insight,
+        {"CASE WHEN apt > 10 THEN 'opportunity' ELSE 'info' END" if severity == "by_airport_share" else lit(severity)} AS severity,
+        {_filled(metric)} AS metric, {lit(window)} AS time_window, {lit(table)} AS table_name FROM one"""
+    for title, insight, severity, metric, window, table in INSIGHTS)
+
+
+@query("i08_insight_rows", f"""WITH tr AS ({_TRIPS1}), co AS ({_COMM1}),
+    vi AS (SELECT count(*) AS vip, coalesce({AVG(_REV)}, 0) AS vip_ltv FROM dim_customers WHERE customer_segment = 'VIP'),
+    one AS (SELECT coalesce(total_revenue, 0) AS rev, total_trips AS n, coalesce(airport_pct, 0) AS apt, coalesce(revenue, 0) AS eco,
+        coalesce(orders, 0) AS orders, vip, vip_ltv FROM tr, co, vi), rows AS ({_INSIGHT_ROWS})
     SELECT *, CASE severity WHEN 'anomaly' THEN 0 WHEN 'warning' THEN 1 WHEN 'opportunity' THEN 2 ELSE 3 END AS severity_rank FROM rows""", "fct_trips fct_summary dim_customers")
 def _(t):
     return ins.insight_rows(ins.trip_stats(_fct_trips(t), t.as_of), ins.commerce_totals(_summary(t), t.orders_as_of), _customers(t))
