@@ -15,6 +15,7 @@ MODULES = [
     "queries_learning",
     "queries_observe",
     "queries_log",
+    "queries_workload",
 ]
 
 for _module in MODULES:
