@@ -16,6 +16,7 @@ MODULES = [
     "queries_observe",
     "queries_log",
     "queries_workload",
+    "queries_model_stream",
 ]
 
 for _module in MODULES:
