@@ -214,6 +214,14 @@ def detect(runs: DataFrame, as_of: Column, sla: dict[str, int] | None = None,
     )
 
 
+def with_model_outliers(findings: DataFrame, outliers: DataFrame) -> DataFrame:
+    """Findings plus the newest runs a model calls outliers (pipeline_name, run_no, anomaly_type, decision), as the last rule."""
+    rows = outliers.select(
+        "pipeline_name", "run_no", F.lit("model_outlier").alias("rule"), F.lit(14).alias("rule_order"), "anomaly_type",
+        rnd(F.col("decision"), 4).alias("metric"))
+    return findings.unionByName(rows)
+
+
 def winners(findings: DataFrame) -> DataFrame:
     """The first firing rule per flow."""
     rest = [c for c in findings.columns if c != "pipeline_name"]

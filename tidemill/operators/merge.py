@@ -129,3 +129,9 @@ def dead_letters(df: DataFrame, checks: dict[str, Column], keys: list[str], at:
     error = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])
     return df.select(*keys, at.alias("failed_at"), error.alias("error"), F.to_json(F.struct(*df.columns)).alias("payload")) \
         .filter(F.col("error").isNotNull())
+
+
+def open_letters(letters: DataFrame, acknowledged: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The newest n dead letters nobody acknowledged."""
+    waiting = letters.join(acknowledged.select(*keys), keys, "left_anti")
+    return waiting.orderBy(F.desc("failed_at"), *keys).limit(n)

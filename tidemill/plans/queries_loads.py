@@ -53,6 +53,14 @@ def _(t):
     return readers.file_counts(t.spark, f"{t.sf_dir}/e*.parquet", schema="event_id bigint")
 
 
+@query("s06_file_counts_csv", "SELECT count(*) AS rows FROM orders")
+def _(t):
+    path = scratch_path(t.spark, "glob")
+    t.orders.write.partitionBy("o_orderstatus").csv(path, header=True)
+    # File names hold a random part, so the check adds the counts up.
+    return readers.file_counts(t.spark, f"{path}/*/*.csv", "csv").agg(F.sum("rows").alias("rows"))
+
+
 @query("s08_incremental_extract", """SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate > TIMESTAMP '1998-06-01'""")
 def _(t):
     last = F.lit("1998-06-01").cast("timestamp_ntz")
@@ -376,6 +384,21 @@ def _(t):
     return letters.select("order_id", "failed_at", "error")
 
 
+@query("k14_open_letters", """SELECT event_id, failed_at, error FROM (SELECT event_id, ts AS failed_at, CASE WHEN event_type = 'error' THEN 'error event' ELSE 'value too small' END AS error
+    FROM events WHERE event_type = 'error' OR value < 5) WHERE event_id NOT IN (SELECT event_id FROM events WHERE value > 100) ORDER BY failed_at DESC, event_id LIMIT 50""")
+def _(t):
+    letters = mg.dead_letters(t.events, {"error event": F.col("event_type") != "error", "value too small": F.col("value") >= 5}, ["event_id"], F.col("ts"))
+    return mg.open_letters(letters, t.events.filter(F.col("value") > 100), ["event_id"], 50).select("event_id", "failed_at", "error")
+
+
+@query("k12_target_types", """SELECT column_name, loaded_type, (SELECT count(*) FROM orders) AS row_count FROM (VALUES ('o_orderkey', 'BIGINT'), ('o_custkey', 'BIGINT'),
+    ('o_orderstatus', 'TEXT'), ('o_totalprice', 'DOUBLE PRECISION'), ('o_orderdate', 'TIMESTAMPTZ'), ('o_orderpriority', 'TEXT'),
+    ('_SOURCE', 'TEXT'), ('_INGESTED_AT', 'TIMESTAMPTZ'), ('_RUN_ID', 'TEXT')) v(column_name, loaded_type)""")
+def _(t):
+    types = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(d).alias("loaded_type")) for c, d in sinks.loaded_types(t.orders).items()])
+    return t.orders.agg(F.count("*").alias("row_count")).select(F.inline(types), "row_count")
+
+
 @query("k15_reconcile", """WITH c AS (SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS source_rows, (SELECT count(*) FROM damaged) AS dest_rows
     UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), (SELECT count(DISTINCT o_custkey) FROM orders)
     UNION ALL SELECT 'part', (SELECT count(*) FROM part), (SELECT count(*) FROM part))

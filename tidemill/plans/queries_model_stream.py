@@ -25,9 +25,9 @@ _FEATURES = """feats AS (SELECT run_no, pipeline_name, status, error_message, CA
     CASE WHEN records_loaded > 0 THEN CAST(records_failed AS DOUBLE) / records_loaded ELSE 0.0::DOUBLE END AS fail_rate FROM runs)"""
 
 
-@query("x01_detector_features", f"WITH {_FEATURES} SELECT * REPLACE ({R('fail_rate', 6)} AS fail_rate) FROM feats", "runs")
+@query("x01_detector_features", f"WITH {_FEATURES} SELECT * FROM feats", "runs")
 def _(t):
-    return rm.detector_features(t.runs).withColumn("fail_rate", rnd(F.col("fail_rate"), 6))
+    return rm.detector_features(t.runs)
 
 
 _TRAIN = """train AS (SELECT run_no, CAST(coalesce(records_loaded, records_ingested, 0) AS DOUBLE) AS records_loaded, CAST(coalesce(records_failed, 0) AS DOUBLE) AS records_failed,
@@ -154,11 +154,8 @@ def _(t):
 
 @query("a14_model_outliers")
 def _(t):
-    """Newest runs that no rule flags but the forest does."""
     newest = an.latest_run(t.fleet).select("run_no")
-    flagged = an.detect(t.fleet, t.as_of).select("pipeline_name")
-    return _typed_outliers(t).join(newest, "run_no", "left_semi").join(flagged, "pipeline_name", "left_anti").select(
-        "pipeline_name", "run_no", "anomaly_type", "decision", "confidence")
+    return an.with_model_outliers(an.detect(t.fleet, t.as_of), _typed_outliers(t).join(newest, "run_no", "left_semi"))
 
 
 # ---- lineage ---------------------------------------------------------------------------------
@@ -281,7 +278,7 @@ def _(t):
     return t.spark.read.parquet(target).drop("batch")
 
 
-@query("z05_late_rows")
+@query("z05_late_rows", """SELECT event_type, ts < TIMESTAMP '2024-01-16' AND ts < (SELECT max(ts) FROM events) - INTERVAL 2 DAY AS is_late, count(*) AS rows FROM events GROUP BY 1, 2""")
 def _(t):
     landing, target = scratch_path(t.spark, "days"), scratch_path(t.spark, "split")
     # Two deliveries: the second half of the month first, then the first half.
@@ -290,7 +287,7 @@ def _(t):
     for part in (t.events.filter(F.col("ts") >= half), t.events.filter(F.col("ts") < half)):
         part.coalesce(1).write.mode("append").parquet(landing)
         jobs.start_late_split(jobs.file_stream(t.spark, landing, t.events.schema), "ts", "2 days", target, mark).awaitTermination()
-    return t.spark.read.parquet(target).groupBy("event_type", "is_late").agg(F.count("*").alias("rows"))
+    return t.spark.read.parquet(target).groupBy("event_type", F.col("is_late").cast("boolean").alias("is_late")).agg(F.count("*").alias("rows"))
 
 
 @query("z06_hourly_rollup", f"""SELECT pipeline_name, engine, date_trunc('hour', recorded_at) AS window_start, count(*) AS samples, max(consumer_lag) AS max_lag, max(watermark_lag_ms) AS max_watermark_lag_ms,

@@ -186,7 +186,7 @@ def _measures_sql(source: str, cols) -> str:
 @query("v01_verify_remedies", f"""WITH {_F2}, a AS ({_F1}), l AS (SELECT DISTINCT order_id, coalesce(customer_id, 0) AS customer_id, coalesce(amount, 0) AS amount, trim(category) AS category, event_time FROM damaged),
     m AS (SELECT 'schema_change' AS remedy, * FROM ({_measures_sql('a', _COLS)}) UNION ALL SELECT 'data_quality', * FROM ({_measures_sql('q', _COLS)})
           UNION ALL SELECT 'logic', * FROM ({_measures_sql('l', _COLS)}))
-    SELECT remedy, rows, columns, null_cells, {R('max_null_share', 6)} AS max_null_share, {R('mean_null_share', 6)} AS mean_null_share, copies,
+    SELECT remedy, rows, columns, null_cells, {R('max_null_share', 4)} AS max_null_share, {R('mean_null_share', 4)} AS mean_null_share, copies,
         CASE remedy WHEN 'schema_change' THEN rows > 0 AND max_null_share < 0.15 WHEN 'data_quality' THEN rows > 0 AND null_cells = 0
              ELSE rows > 0 AND copies = 0 END AS passed FROM m""", "damaged")
 def _(t):
@@ -194,7 +194,7 @@ def _(t):
     for name, fix in (("schema_change", fx.schema_change), ("data_quality", fx.data_quality), ("logic", fx.logic)):
         one = fx.verified(fix(t.damaged), name)
         out = one if out is None else out.unionByName(one)
-    return out.withColumns({c: rnd(F.col(c), 6) for c in ("max_null_share", "mean_null_share")})
+    return out.withColumns({c: rnd(F.col(c), 4) for c in ("max_null_share", "mean_null_share")})
 
 
 _CHECKS = f"""l AS (SELECT DISTINCT order_id, coalesce(customer_id, 0) AS customer_id, coalesce(amount, 0) AS amount, trim(category) AS category, event_time FROM damaged),

@@ -84,6 +84,20 @@ def advance_marks(rows: DataFrame, marks: DataFrame, keys: list[str], cursor: st
     ).withColumn("load_mode", F.when(F.col("old_mark").isNull(), "initial").otherwise("incremental"))
 
 
+# Column type in the loaded table per kind of source type; anything else is text.
+LOADED_TYPES = {
+    "tinyint": "BIGINT", "smallint": "BIGINT", "int": "BIGINT", "bigint": "BIGINT",
+    "float": "DOUBLE PRECISION", "double": "DOUBLE PRECISION", "boolean": "BOOLEAN",
+    "date": "TIMESTAMPTZ", "timestamp": "TIMESTAMPTZ", "timestamp_ntz": "TIMESTAMPTZ",
+}
+META_TYPES = {"_SOURCE": "TEXT", "_INGESTED_AT": "TIMESTAMPTZ", "_RUN_ID": "TEXT"}
+
+
+def loaded_types(df: DataFrame) -> dict[str, str]:
+    """Types of the table a load creates, its metadata columns included."""
+    return {f.name: LOADED_TYPES.get(f.dataType.simpleString(), "TEXT") for f in df.schema.fields} | META_TYPES
+
+
 def run_row(df_read: DataFrame, df_loaded: DataFrame, flow: str, started_at: Column, completed_at: Column) -> DataFrame:
     """A run record for a load: ingested, loaded, failed = read - written, status, duration."""
     read = df_read.agg(F.count(F.lit(1))).scalar()
