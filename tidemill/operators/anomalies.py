@@ -209,9 +209,8 @@ def detect(runs: DataFrame, as_of: Column, sla: dict[str, int] | None = None,
             rnd(metric, 4).alias("metric")))
         for i, (name, fires, kind, metric) in enumerate(rules)
     ])
-    return state.select(
-        "pipeline_name", "run_no", F.inline(F.filter(found, lambda f: f.isNotNull()))
-    )
+    fired = state.select("pipeline_name", "run_no", F.explode(found).alias("f")).filter(F.col("f").isNotNull())
+    return fired.select("pipeline_name", "run_no", "f.*")
 
 
 def with_model_outliers(findings: DataFrame, outliers: DataFrame) -> DataFrame:

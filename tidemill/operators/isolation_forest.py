@@ -8,21 +8,27 @@ at most TREES * 2 * SUBSAMPLE nodes and travels to the tasks as arrays.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.ordered import exact_percentiles, exact_sample
+from tidemill.session import cut_lineage
 
-TREES, SUBSAMPLE, POOL_ROWS = 200, 256, 20_000
+# Task code travels with its functions, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+TREES, SUBSAMPLE, POOL_ROWS = 200, 256, 8_192
 CONTAMINATION = 0.08
-_NODES = "tree int, node int, feature int, threshold double, child int, path double"
+_NODES = "tree int, rows int, node int, feature int, threshold double, child int, path double"
 EULER = 0.5772156649015329
 
 
@@ -95,6 +101,7 @@ def fit(df: DataFrame, columns: list[str], key: str, trees: int = TREES, subsamp
         nodes = _grow(pdf[columns].to_numpy(dtype=float), np.random.default_rng([seed, tree]), limit)
         out = pd.DataFrame(nodes, columns=["feature", "threshold", "child", "path"])
         out.insert(0, "node", np.arange(len(out)))
+        out.insert(0, "rows", len(pdf))
         out.insert(0, "tree", tree)
         return out
 
@@ -102,7 +109,7 @@ def fit(df: DataFrame, columns: list[str], key: str, trees: int = TREES, subsamp
     roots = np.flatnonzero(grown["node"].to_numpy() == 0)
     start = roots[np.cumsum(grown["node"].to_numpy() == 0) - 1]
     child = np.where(grown["child"] >= 0, grown["child"] + start, 0)
-    size = min(subsample, pool.count())
+    size = int(grown["rows"].max())
     return Forest(columns, grown["feature"].to_numpy(), grown["threshold"].to_numpy(), child, grown["path"].to_numpy(),
                   roots, size, max(1, math.ceil(math.log2(max(size, 2)))))
 
@@ -110,18 +117,22 @@ def fit(df: DataFrame, columns: list[str], key: str, trees: int = TREES, subsamp
 def score(forest: Forest, df: DataFrame, key: str) -> DataFrame:
     """(key, raw_score) for every row."""
     columns = forest.columns
-    shared = df.sparkSession.sparkContext.broadcast(forest)
     key_type = dict(df.dtypes)[key]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.column_stack([np.asarray(b.column(c), dtype=float) for c in columns]) if b.num_rows else np.zeros((0, len(columns)))
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(shared.value.scores(x))], names=[key, "raw_score"])
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(forest.scores(x))], names=[key, "raw_score"])
 
     return df.select(key, *[F.col(c).cast("double") for c in columns]).mapInArrow(scan, f"{key} {key_type}, raw_score double")
 
 
 def decide(scored: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
-    """Decision value: below 0 for the ``contamination`` share with the lowest raw scores."""
+    """Decision value: below 0 for the ``contamination`` share with the lowest raw scores.
+
+    The scores are written to the shared folder first: the quantile reads them twice more, and
+    scoring is the costly part.
+    """
+    scored = cut_lineage(scored, "scores")
     offset = exact_percentiles(scored, [], "raw_score", {"o": contamination}).select("o").scalar()
     return scored.withColumn("decision", F.col("raw_score") - offset).withColumn("is_outlier", F.col("decision") < 0)

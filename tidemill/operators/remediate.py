@@ -14,6 +14,7 @@ from tidemill.functions import constants as k
 from tidemill.functions.exprs import back, numeric_columns, string_columns, temporal_columns
 from tidemill.functions.ordered import exact_percentiles, exact_sample
 from tidemill.operators.merge import full_order, pick_one
+from tidemill.session import cut_lineage
 
 EPOCH = "1970-01-01 00:00:00"
 UNKNOWN = "UNKNOWN"
@@ -44,8 +45,13 @@ def _null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
     return row[0], dict(zip(df.columns, row[1:]))
 
 
-def _median(df: DataFrame, column: str) -> Column:
-    return exact_percentiles(df, [], column, {"median": 0.5}).select("median").scalar()
+def _medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Exact median per column, all columns in the same two passes; the result is one row per column."""
+    if not columns:
+        return {}
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in columns])
+    values = df.select(F.inline(cells)).filter(F.col("x").isNotNull())
+    return {r["c"]: r["median"] for r in exact_percentiles(values, ["c"], "x", {"median": 0.5}).collect()}
 
 
 def _all_null(columns: list[str]) -> Column:
@@ -69,10 +75,11 @@ def schema_change(df: DataFrame) -> DataFrame:
     heavy = [c for c in df.columns if nulls[c] / n > 0.10]
     numeric, temporal = numeric_columns(df), temporal_columns(df)
     types = dict(df.dtypes)
+    medians = _medians(df, [c for c in heavy if c in numeric])
     fills = {}
     for c in heavy:
         if c in numeric:
-            fills[c] = F.coalesce(F.col(c).cast("double"), _median(df, c))
+            fills[c] = F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c)))
         elif c in temporal:
             fills[c] = F.coalesce(F.col(c), F.lit(EPOCH).cast(types[c]))
         else:
@@ -85,12 +92,14 @@ def schema_change(df: DataFrame) -> DataFrame:
 
 def data_quality(df: DataFrame) -> DataFrame:
     """Drop exact copies, fill numbers with the median and text with UNKNOWN, trim, drop rows without any number."""
-    unique = df.distinct()
+    # The distinct rows are read four times below, so they are written once instead of shuffled four times.
+    unique = cut_lineage(df.distinct(), "unique")
     n, nulls = _null_counts(unique)
     if n == 0:
         return df
     numeric = numeric_columns(unique)
-    fills = {c: F.coalesce(F.col(c).cast("double"), _median(unique, c)) for c in numeric if 0 < nulls[c] < n}
+    medians = _medians(unique, [c for c in numeric if 0 < nulls[c] < n])
+    fills = {c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in medians.items()}
     fills |= {c: F.trim(F.coalesce(F.col(c), F.lit(UNKNOWN))) for c in string_columns(unique)}
     filled = unique.withColumns(fills) if fills else unique
     return filled.filter(~_all_null(numeric)) if numeric else filled

@@ -8,14 +8,19 @@ queries and store are cut into blocks that meet pairwise inside Spark.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Task code travels with its functions, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOP_K = 3
 MAX_DISTANCE = 0.35
 REUSE_SIMILARITY = 0.90

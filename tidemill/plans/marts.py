@@ -33,9 +33,8 @@ def fct_orders(orders: DataFrame) -> DataFrame:
 
 
 def fct_ecommerce_summary(orders: DataFrame) -> DataFrame:
-    return orders.groupBy(
-        F.to_date("ordered_at").alias("order_date"), "order_month_key", "category", "city"
-    ).agg(
+    """Revenue, volume and completion per day, category and city."""
+    by_cell = orders.groupBy(F.to_date("ordered_at").alias("order_date"), "category", "city").agg(
         F.count_distinct("order_id").alias("order_count"),
         F.count_distinct("customer_id").alias("unique_customers"),
         F.sum("quantity").alias("total_units_sold"),
@@ -45,6 +44,8 @@ def fct_ecommerce_summary(orders: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "cancelled").alias("cancelled_orders"),
         share_pct(F.col("is_completed")).alias("completion_rate_pct"),
     )
+    # The month follows from the day, so it need not travel through the shuffle as a key.
+    return by_cell.withColumn("order_month_key", F.date_format("order_date", "yyyy-MM"))
 
 
 def fct_revenue_by_category(items: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
@@ -121,48 +122,44 @@ def most_frequent(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 
 def dim_customers(orders: DataFrame) -> DataFrame:
-    """Lifetime value and segment per customer.
+    """Lifetime value, favourite category and city, and segment per customer.
 
-    Pre-aggregated by (customer, category, city), which is bounded by the two vocabularies,
-    so totals and both modes come from one shuffle of the orders.
+    One pass with grouping sets: per customer, per (customer, category) and per (customer, city),
+    all summed before the shuffle; the two modes are then picked among a customer's few group rows.
     """
-    cells = orders.groupBy("customer_id", "category", "city").agg(
-        F.count(F.lit(1)).alias("n"),
+    keys = ["customer_id", "category", "city"]
+    sets = orders.groupingSets([["customer_id"], ["customer_id", "category"], ["customer_id", "city"]], *keys).agg(
+        F.grouping_id().alias("g"),
+        F.count("*").alias("n"),
         F.sum("total_amount").alias("revenue"),
         F.min("ordered_at").alias("first_at"),
         F.max("ordered_at").alias("last_at"),
         F.count_if("is_completed").alias("done"),
         F.count_if(F.col("status") == "cancelled").alias("cancelled"),
     )
-    totals = cells.groupBy("customer_id").agg(
-        F.sum("n").alias("total_orders"),
-        F.sum("revenue").alias("revenue"),
-        F.min("first_at").alias("first_order_at"),
-        F.max("last_at").alias("last_order_at"),
-        F.sum("done").alias("completed_orders"),
-        F.sum("cancelled").alias("cancelled_orders"),
-    )
-
-    def mode_of(value: str, name: str) -> DataFrame:
-        counts = cells.groupBy("customer_id", value).agg(F.sum("n").alias("n"))
-        return (
-            counts.groupBy("customer_id", "n").agg(F.min(value).alias(name))
-            .groupBy("customer_id").agg(F.max_by(name, "n").alias(name))
-        )
-
-    return (
-        totals.join(mode_of("category", "favorite_category"), "customer_id")
-        .join(mode_of("city", "preferred_city"), "customer_id")
-        .select(
-            "customer_id", "total_orders",
-            dbl(F.col("revenue")).alias("total_revenue"),
-            rnd(safe_divide(F.col("revenue"), F.col("total_orders")), 2).alias("avg_order_value"),
-            "first_order_at", "last_order_at", "favorite_category", "preferred_city",
-            "completed_orders", "cancelled_orders",
-            rnd(100.0 * safe_divide(F.col("completed_orders"), F.col("total_orders")), 1).alias("completion_rate_pct"),
-            F.when(F.col("revenue") > 1000, "VIP").when(F.col("revenue") > 300, "Regular")
-            .otherwise("Occasional").alias("customer_segment"),
-        )
+    # Grouping ids: 3 = customer, 1 = (customer, category), 2 = (customer, city).
+    per_customer, by_category, by_city = F.col("g") == 3, F.col("g") == 1, F.col("g") == 2
+
+    def whole(c: str) -> Column:
+        return F.max(F.when(per_customer, F.col(c)))
+
+    def mode_of(c: str, when: Column) -> Column:
+        return F.min(F.when(when & F.col(c).isNotNull(), F.struct(-F.col("n"), F.col(c).alias("v"))))["v"]
+
+    return sets.groupBy("customer_id").agg(
+        whole("n").alias("total_orders"), whole("revenue").alias("revenue"),
+        whole("first_at").alias("first_order_at"), whole("last_at").alias("last_order_at"),
+        mode_of("category", by_category).alias("favorite_category"), mode_of("city", by_city).alias("preferred_city"),
+        whole("done").alias("completed_orders"), whole("cancelled").alias("cancelled_orders"),
+    ).select(
+        "customer_id", "total_orders",
+        dbl(F.col("revenue")).alias("total_revenue"),
+        rnd(safe_divide(F.col("revenue"), F.col("total_orders")), 2).alias("avg_order_value"),
+        "first_order_at", "last_order_at", "favorite_category", "preferred_city",
+        "completed_orders", "cancelled_orders",
+        rnd(100.0 * safe_divide(F.col("completed_orders"), F.col("total_orders")), 1).alias("completion_rate_pct"),
+        F.when(F.col("revenue") > 1000, "VIP").when(F.col("revenue") > 300, "Regular")
+        .otherwise("Occasional").alias("customer_segment"),
     )
 
 

@@ -9,6 +9,12 @@ from tidemill.operators import querylog as ql
 from tidemill.plans.oracle import R, arr, lit
 from tidemill.plans.registry import query
 from tidemill.sources.bindings import STATEMENTS
+from tidemill.sources.readers import spread
+
+
+def _log(t):
+    return spread(t.query_log)
+
 
 # Look-around has no DuckDB form; where it can be, the same condition is spelled out. The implicit-join
 # pattern cannot, so the checked queries leave it out and c01_anti_patterns_all covers it rows-only.
@@ -33,12 +39,12 @@ _HITS = " UNION ALL ".join(f"SELECT query_id, {lit(n)} AS pattern, {lit(s)} AS s
 
 @query("c01_anti_patterns", _HITS, "query_log")
 def _(t):
-    return ql.lint(t.query_log, _PLAIN)
+    return ql.lint(_log(t), _PLAIN)
 
 
 @query("c01_anti_patterns_all")
 def _(t):
-    return ql.lint(t.query_log).groupBy("pattern", "severity", "impact").agg(F.count("*").alias("queries"))
+    return ql.lint(_log(t)).groupBy("pattern", "severity", "impact").agg(F.count("*").alias("queries"))
 
 
 _PCT = """CASE WHEN original_cost = 0 AND optimized_cost = 0 THEN least(85.0::DOUBLE, impact * 0.7::DOUBLE)
@@ -52,12 +58,12 @@ _OPT = f"""im AS (SELECT *, {_IMPACT} AS impact FROM query_log), pc AS (SELECT *
 
 def _opt(t):
     """Savings without the implicit-join pattern, which the check SQL cannot express."""
-    return ql.optimizations(t.query_log, _PLAIN)
+    return ql.optimizations(_log(t), _PLAIN)
 
 
 @query("c02_savings_all_patterns")
 def _(t):
-    return ql.optimizations(t.query_log)
+    return ql.optimizations(_log(t))
 
 
 @query("c02_savings", f"WITH {_OPT} SELECT query_id, max_impact, savings_percent FROM opt", "query_log")
@@ -91,7 +97,7 @@ def _(t):
 @query("c07_write_flags", f"""SELECT query_id, regexp_matches(upper(trim(sql)), '\\b({'|'.join(k.WRITE_WORDS)})\\b') AS is_write,
     regexp_matches(upper(trim(sql)), '\\b({'|'.join(k.WRITE_WORDS_OPTIMIZER)})\\b') AS is_write_for_optimizer FROM query_log""", "query_log")
 def _(t):
-    return ql.write_flags(t.query_log)
+    return ql.write_flags(_log(t))
 
 
 _HINTS = {
@@ -106,7 +112,7 @@ _HINTS = {
 
 @query("c08_hints", " UNION ALL ".join(f"SELECT query_id, {lit(h)} AS hint FROM query_log WHERE {c}" for h, c in _HINTS.items()), "query_log")
 def _(t):
-    return ql.hints(t.query_log)
+    return ql.hints(_log(t))
 
 
 _NORM = "n AS (SELECT *, upper(regexp_replace(trim(sql), '\\s+', ' ', 'g')) AS u FROM query_log)"
@@ -118,7 +124,7 @@ _FEAT = f"""{_NORM}, feat AS (SELECT query_id, {_FEATURES}, NOT regexp_matches(u
 
 @query("c09_clause_features", f"WITH {_FEAT} SELECT * REPLACE (coalesce(agg_functions, '') AS agg_functions, coalesce(tables, '') AS tables) FROM feat", "query_log")
 def _(t):
-    return ql.clause_features(t.query_log)
+    return ql.clause_features(_log(t))
 
 
 _SCORE = f"greatest({k.COST_FLOOR}, {k.COST_BASE}" + "".join(
@@ -128,7 +134,7 @@ _SCORE = f"greatest({k.COST_FLOOR}, {k.COST_BASE}" + "".join(
 @query("c11_cost_score", f"""SELECT query_id, cost, credits, {R('credits * 2.5', 6)} AS dollars FROM (SELECT query_id, CAST({_SCORE} AS INTEGER) AS cost,
     {R(f'{_SCORE} * 0.001::DOUBLE', 6)} AS credits FROM query_log)""", "query_log")
 def _(t):
-    return ql.cost_score(t.query_log)
+    return ql.cost_score(_log(t))
 
 
 # What a reader expects of each statement shape.
@@ -144,8 +150,8 @@ _EXP = "e AS (SELECT query_id, unnest([" + ", ".join(f"{arr(x)}::VARCHAR[]" for
         {R('100.0::DOUBLE * (count(*) FILTER (WHERE eq IS NOT NULL AND fq IS NOT NULL) / nullif(CAST(count(eq) AS DOUBLE), 0))', 1)} AS accuracy_pct FROM j GROUP BY 1""", "query_log")
 def _(t):
     shapes = F.array(*[F.array(*map(F.lit, x)) if x else F.array().cast("array<string>") for x in _EXPECTED])
-    expected = t.query_log.select("query_id", F.explode(F.element_at(shapes, (F.col("query_id") % len(STATEMENTS) + 1).cast("int"))).alias("pattern"))
-    return ql.detector_accuracy(ql.lint(t.query_log, _PLAIN), expected)
+    expected = _log(t).select("query_id", F.explode(F.element_at(shapes, (F.col("query_id") % len(STATEMENTS) + 1).cast("int"))).alias("pattern"))
+    return ql.detector_accuracy(ql.lint(_log(t), _PLAIN), expected)
 
 
 @query("c13_component_match", f"""WITH {_FEAT}, w AS (SELECT *, query_id % 2 = 0 AS ew, query_id % 3 = 0 AS eg, query_id % 5 = 0 AS el,
@@ -156,11 +162,11 @@ def _(t):
         / CAST(2 + CAST(ew AS INTEGER) + CAST(eg AS INTEGER) + CAST(el AS INTEGER) + CASE WHEN ea IS NOT NULL THEN 1 ELSE 0 END AS DOUBLE)''', 3)} END AS component_score FROM w""", "query_log")
 def _(t):
     q = F.col("query_id")
-    return ql.component_match(ql.clause_features(t.query_log), {"has_where": q % 2 == 0, "has_group_by": q % 3 == 0, "has_limit": q % 5 == 0},
+    return ql.component_match(ql.clause_features(_log(t)), {"has_where": q % 2 == 0, "has_group_by": q % 3 == 0, "has_limit": q % 5 == 0},
                               F.when(q % 4 == 0, "COUNT"))
 
 
 @query("c13_keyword_score", f"""SELECT query_id, {R("(CASE WHEN contains(lower(sql), 'count') THEN 1 ELSE 0 END + CASE WHEN contains(lower(sql), 'group by') THEN 1 ELSE 0 END + CASE WHEN contains(lower(sql), 'orders') THEN 1 ELSE 0 END) / 3.0::DOUBLE", 3)} AS keyword_score FROM query_log""", "query_log")
 def _(t):
-    return ql.keyword_score(t.query_log, F.array(*map(F.lit, ["COUNT", "GROUP BY", "orders"])))
+    return ql.keyword_score(_log(t), F.array(*map(F.lit, ["COUNT", "GROUP BY", "orders"])))
 

@@ -12,6 +12,7 @@ from tidemill.operators import run_model as rm
 from tidemill.plans.oracle import AVG, R, RUN_RULES
 from tidemill.plans.registry import query
 from tidemill.session import scratch_path
+from tidemill.sources.readers import spread
 from tidemill.sources.sinks import VersionedTable
 from tidemill.streaming import jobs
 
@@ -62,7 +63,7 @@ def _(t):
 
 
 def _scored(t, trees: int = 100):
-    feats = rm.scale(rm.detector_features(t.runs), rm.DETECTOR_FEATURES)
+    feats = rm.scale(spread(rm.detector_features(t.runs)), rm.DETECTOR_FEATURES)
     forest = iso.fit(feats, rm.DETECTOR_FEATURES, "run_no", trees=trees)
     return iso.decide(iso.score(forest, feats, "run_no"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.constants import ANOMALY_TYPES, SLA_SECONDS
 from tidemill.functions.exprs import decode, pick
 from tidemill.session import pin_semantics
+from tidemill.sources.readers import spread
 
 PIPELINES = list(SLA_SECONDS)
 SOURCE_TYPES = ["csv", "postgresql", "rest_api", "google_sheets"]
@@ -184,8 +185,9 @@ class Tables:
     def shop(self) -> DataFrame:
         """Raw commerce orders, one per line item, wide."""
         total = F.col("l_extendedprice").cast("decimal(18,2)")
+        lines = spread(self.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"))
         return (
-            self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            lines.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.part, F.col("l_partkey") == F.col("p_partkey"))
             .join(self.customer, F.col("o_custkey") == F.col("c_custkey"))
             .join(self.nation, F.col("c_nationkey") == F.col("n_nationkey"))

@@ -57,6 +57,16 @@ def read_jdbc(
     return reader.load()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out to all cores when its files give fewer tasks than there are cores.
+
+    For a scan (or projection of one) that feeds CPU-heavy work. A table in a few small files would
+    run in a few tasks; a large table already has enough and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def row_cap(df: DataFrame, n: int, order: list) -> DataFrame:
     """The first n rows in a total order."""
     return df.orderBy(*order).limit(n)

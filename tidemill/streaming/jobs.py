@@ -88,9 +88,10 @@ def run_findings(runs: DataFrame, baseline: DataFrame | None = None) -> DataFram
         ("micro_batch_health", (kind == "spark_streaming") & (error.isNotNull() | (seconds > k.MICRO_BATCH_SECONDS) | (ok & (loaded == 0))),
          F.coalesce(error, F.when(seconds > k.MICRO_BATCH_SECONDS, "PIPELINE_DELAY").otherwise("ZERO_LOAD"))),
     ]
-    found = F.array_compact(F.array(*[
-        F.when(cond, F.struct(F.lit(name).alias("rule"), kind_.alias("anomaly_type"))) for name, cond, kind_ in rules]))
-    return runs.select("run_no", "pipeline_name", "started_at", F.inline(found))
+    found = F.array(*[
+        F.when(cond, F.struct(F.lit(name).alias("rule"), kind_.alias("anomaly_type"))) for name, cond, kind_ in rules])
+    fired = runs.select("run_no", "pipeline_name", "started_at", F.explode(found).alias("f")).filter(F.col("f").isNotNull())
+    return fired.select("run_no", "pipeline_name", "started_at", "f.*")
 
 
 def start_run_monitor(source: DataFrame, target: str, checkpoint: str, baseline: DataFrame | None = None) -> StreamingQuery:
