@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 BUCKET = "_bucket"
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join that also matches null keys, keeping the left key columns."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in keys})
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys])
+    return left.join(renamed, match, how).drop(*[f"_r_{c}" for c in keys])
+
+
 def _bucketed(df: DataFrame, time: str, unit: str) -> DataFrame:
     return df.withColumn(BUCKET, F.date_trunc(unit, F.col(time).cast("timestamp_ntz")).cast("timestamp_ntz"))
 
@@ -27,7 +34,7 @@ def with_next(df: DataFrame, keys: list[str], time: str, tie: str, values: dict[
     rows = _bucketed(df, time, unit).withColumn("_next", F.lead(packed).over(inside))
     firsts = _bucketed(df, time, unit).groupBy(*keys, BUCKET).agg(F.min_by(packed, F.struct(time, tie)).alias("_head"))
     following = firsts.select(*keys, BUCKET, F.lead("_head").over(W.partitionBy(*keys).orderBy(BUCKET)).alias("_head"))
-    joined = rows.join(following, [*keys, BUCKET])
+    joined = join_on(rows, following, [*keys, BUCKET])
     chosen = F.coalesce("_next", "_head")
     return joined.withColumns({n: chosen[n] for n in values}).drop(BUCKET, "_next", "_head")
 
@@ -39,10 +46,8 @@ def with_running_sum(df: DataFrame, keys: list[str], time: str, tie: str, value:
     before = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     sums = rows.groupBy(*keys, BUCKET).agg(F.sum(value).alias("_sum"))
     offsets = sums.select(*keys, BUCKET, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    return (
-        rows.withColumn(name, F.sum(value).over(inside)).join(offsets, [*keys, BUCKET])
-        .withColumn(name, F.col(name) + F.col("_offset")).drop(BUCKET, "_offset")
-    )
+    summed = join_on(rows.withColumn(name, F.sum(value).over(inside)), offsets, [*keys, BUCKET])
+    return summed.withColumn(name, F.col(name) + F.col("_offset")).drop(BUCKET, "_offset")
 
 
 def longest_streaks(df: DataFrame, keys: list[str], time: str, tie: str, hit: str) -> DataFrame:
@@ -74,7 +79,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         bounds[f"_lo{i}"] = F.when(small, F.lit(-math.inf)).otherwise(F.col("_b")[2 * i])
         bounds[f"_hi{i}"] = F.when(small, F.lit(math.inf)).otherwise(F.col("_b")[2 * i + 1])
     sketch = sketch.select(*keys, "n", *[c.alias(name) for name, c in bounds.items()])
-    joined = rows.join(sketch, keys) if keys else rows.crossJoin(F.broadcast(sketch))
+    joined = join_on(rows, sketch, keys) if keys else rows.crossJoin(F.broadcast(sketch))
     lows, highs = [F.col(f"_lo{i}") for i in range(len(ps))], [F.col(f"_hi{i}") for i in range(len(ps))]
     segment = reduce(lambda a, b: a + b, [(v >= lo).cast("int") for lo in lows] + [(v > hi).cast("int") for hi in highs])
     inside = reduce(lambda a, b: a | b, [v.between(lo, hi) for lo, hi in zip(lows, highs)])

@@ -47,24 +47,30 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
     return df.withColumn("position", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("position") <= n)
 
 
-def global_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """SQL rank of every row by ``value`` descending, over the whole table.
+def value_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
+    """Per distinct value: its rows ``n`` and the SQL rank of those rows by ``value`` descending.
 
-    Rows are counted per value, values are cut into quantile buckets, and a row's rank is the count in
-    higher buckets plus the count of higher values inside its bucket.
+    Rows are counted per value, values are cut into quantile buckets, and a value's rank is the count
+    in higher buckets plus the count of higher values inside its bucket.
     """
     v = F.col(value)
     quantiles = [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)]
-    edges = df.agg(F.array_distinct(F.percentile_approx(v, quantiles, 10_000)).alias("e"))
-    counts = df.groupBy(value).agg(F.count("*").alias("_c"))
+    counts = df.filter(v.isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    edges = counts.agg(F.array_distinct(F.percentile_approx(v, quantiles, 10_000)).alias("e"))
     # The edges are one row of at most RANK_BUCKETS numbers.
     placed = counts.crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter("e", lambda e: e <= v))).drop("e")
-    above = placed.groupBy("_b").agg(F.sum("_c").alias("_s")).select(
+    above = placed.groupBy("_b").agg(F.sum("n").alias("_s")).select(
         "_b", F.coalesce(F.sum("_s").over(W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
-    inside = F.sum("_c").over(W.partitionBy("_b").orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1))
-    ranks = placed.withColumn("_in", F.coalesce(inside, F.lit(0))).join(above, "_b").select(
-        value, (F.col("_above") + F.col("_in") + 1).alias(name))
-    return df.join(ranks, value)
+    inside = F.sum("n").over(W.partitionBy("_b").orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1))
+    return placed.withColumn("_in", F.coalesce(inside, F.lit(0))).join(above, "_b").select(
+        value, "n", (F.col("_above") + F.col("_in") + 1).alias(name))
+
+
+def global_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
+    """SQL rank of every row by ``value`` descending over the whole table; null values rank after all others."""
+    ranks = value_ranks(df, value, name).drop("n")
+    last = df.agg(F.count(value) + 1).scalar()
+    return df.join(ranks, value, "left").withColumn(name, F.coalesce(name, last))
 
 
 def fill_gaps(spine: DataFrame, series: DataFrame, on: str, value: str) -> DataFrame:

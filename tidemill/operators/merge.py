@@ -30,8 +30,8 @@ def append(target: DataFrame, delta: DataFrame) -> DataFrame:
 
 def insert_ignore(target: DataFrame, delta: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """Existing keys win; within the batch the first row per key wins."""
-    fresh = delta.join(target.select(*keys), keys, "left_anti")
-    return target.unionByName(pick_one(fresh, keys, order or full_order(delta)))
+    batch = pick_one(delta, keys, order or full_order(delta))
+    return target.unionByName(batch.join(target.select(*keys), keys, "left_anti"))
 
 
 def insert_or_replace(target: DataFrame, delta: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def insert_or_replace(target: DataFrame, delta: DataFrame, keys: list[str], orde
 
 def upsert(target: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """Delete target rows whose key is in the batch, then insert the batch."""
-    return target.join(delta.select(*keys), keys, "left_anti").unionByName(delta)
+    return target.join(delta.select(*keys).distinct(), keys, "left_anti").unionByName(delta)
 
 
 def text_of(c: Column, type_name: str) -> Column:

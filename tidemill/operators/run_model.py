@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.exprs import dbl, dow, rnd, safe_divide
 from tidemill.functions.ordered import exact_sample
-from tidemill.functions.series import global_rank
+from tidemill.functions.series import value_ranks
 from tidemill.operators.anomalies import classify_error
 
 DETECTOR_FEATURES = ["records_loaded", "records_failed", "records_ingested", "duration_seconds",
@@ -148,11 +148,9 @@ def binary_scores(scored: DataFrame, truth: str, flag: str) -> DataFrame:
 
 def roc_auc(scored: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve by rank sum with mid-ranks; a higher score means positive."""
-    cells = scored.groupBy(F.col(score).alias("s")).agg(
-        F.count("*").alias("n"), F.count_if(F.col(truth)).alias("pos"))
-    ranked = global_rank(scored.select(F.col(score).alias("s")), "s", "r").groupBy("s").agg(F.min("r").alias("r"))
-    joined = cells.join(ranked, "s")
-    total = cells.agg(F.sum("n")).scalar()
+    cells = scored.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth)).alias("pos"))
+    joined = cells.join(value_ranks(scored.select(F.col(score).alias("s")), "s", "r"), "s")
+    total = scored.agg(F.count(score)).scalar()
     # Descending minimum rank r with n ties -> ascending mid-rank.
     mid = total - F.col("r") + 1 - (F.col("n") - 1) / 2.0
     sums = joined.agg(F.sum((mid * F.col("pos")).cast("decimal(38,1)")).alias("w"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))

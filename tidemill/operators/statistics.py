@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.exprs import rnd, safe_divide
-from tidemill.functions.ordered import exact_percentiles, with_running_sum
+from tidemill.functions.ordered import exact_percentiles, join_on, with_running_sum
 
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -16,7 +16,7 @@ def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.avg(v).alias("m"), F.stddev_samp(v).alias("s"), F.min(v).alias("lo"), F.max(v).alias("hi"))
     median = exact_percentiles(df, keys, value, {"median": 0.5})
     half = 1.96 * F.col("s") / F.sqrt("n")
-    return basics.join(median, keys).select(
+    return join_on(basics, median, keys).select(
         *keys, "n", rnd(F.col("m"), 2).alias("mean"), rnd(F.col("s"), 2).alias("std"), rnd(F.col("lo"), 2).alias("min"),
         rnd(F.col("hi"), 2).alias("max"), rnd(F.col("median"), 2).alias("median"),
         rnd(F.col("m") - half, 2).alias("ci95_low"), rnd(F.col("m") + half, 2).alias("ci95_high"))
@@ -50,7 +50,7 @@ def reduction(base: Column, new: Column) -> tuple[Column, Column]:
 
 def learning_curve(df: DataFrame, keys: list[str], time: str, tie: str, value: str, success: Column, block: int = 5) -> DataFrame:
     """Mean value and success rate per block of consecutive rows of a key."""
-    numbered = with_running_sum(df.withColumns({"_one": F.lit(1), "_ok": success.cast("int")}), keys, time, tie, "_one", "_rank", "day")
+    numbered = with_running_sum(df.withColumns({"_one": F.lit(1), "_ok": success.cast("int")}), keys, time, tie, "_one", "_rank")
     return numbered.groupBy(*keys, F.floor((F.col("_rank") - 1) / block).alias("block")).agg(
         F.count("*").alias("n"), rnd(safe_divide(F.sum(value), F.count(value)), 1).alias("mean_value"),
         rnd(safe_divide(F.sum("_ok"), F.count("*")), 3).alias("success_rate"))

@@ -26,8 +26,8 @@ class VersionedTable:
     def version(self) -> int:
         return self.spark.read.schema("version int").json(f"{self.path}/versions").agg(F.max("version")).first()[0]
 
-    def replace(self, df: DataFrame) -> DataFrame:
-        new = self.version() + 1
+    def replace(self, df: DataFrame, version: int | None = None) -> DataFrame:
+        new = self.version() + 1 if version is None else version
         df.write.parquet(f"{self.path}/v{new}")
         self._log(new)
         return self.read()

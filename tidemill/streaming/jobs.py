@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tidemill.functions import constants as k
 from tidemill.functions.exprs import dbl, decode, rnd, safe_divide
@@ -45,21 +46,39 @@ def apply_changes(changes: DataFrame, keys: list[str], order: list[str], op: str
     return latest_changes(changes, keys, order).filter(F.col(op) != "DELETE")
 
 
-def start_change_application(source: DataFrame, table: VersionedTable, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    """Keep the newest change per key in a versioned table.
+class ChangeTable:
+    """Newest change per key, merged on read.
 
-    Deletes stay as tombstones, so a late older change cannot bring a key back, and a replayed
-    batch changes nothing.
+    Each batch appends only its own newest change per key, in a folder named by the batch, so a batch
+    costs its own size and a replay overwrites itself. ``compact`` folds the batches so far into a base
+    version numbered one past the last of them. Deletes are kept as tombstones, so a late older change
+    cannot bring a key back.
     """
-    def merge(batch: DataFrame, _batch_id: int) -> None:
-        both = batch if table.version() == 0 else table.read().unionByName(batch)
-        table.replace(latest_changes(both, keys, order))
 
-    return _available(source, checkpoint).foreachBatch(merge).start()
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str], order: list[str], create: bool = False):
+        self.spark, self.log, self.schema, self.keys, self.order = spark, f"{path}/log", schema, keys, order
+        self.base = VersionedTable(spark, f"{path}/base", create)
 
+    def write_batch(self, batch: DataFrame, batch_id: int) -> None:
+        latest_changes(batch, self.keys, self.order).write.mode("overwrite").parquet(f"{self.log}/batch={batch_id}")
 
-def live_rows(table: VersionedTable, op: str = "op") -> DataFrame:
-    return table.read().filter(F.col(op) != "DELETE")
+    def newest(self) -> DataFrame:
+        """Newest change per key, tombstones included."""
+        folded = self.base.version()
+        log = self.spark.read.schema(self.schema).parquet(self.log).filter(F.col("batch") >= folded).drop("batch")
+        return latest_changes(self.base.read().unionByName(log) if folded else log, self.keys, self.order)
+
+    def live(self, op: str = "op") -> DataFrame:
+        return self.newest().filter(F.col(op) != "DELETE")
+
+    def compact(self) -> None:
+        last = self.spark.read.schema(self.schema).parquet(self.log).agg(F.max("batch")).first()[0]
+        if last + 1 > self.base.version():
+            self.base.replace(self.newest(), version=last + 1)
+
+
+def start_change_application(source: DataFrame, table: ChangeTable, checkpoint: str) -> StreamingQuery:
+    return _available(source, checkpoint).foreachBatch(table.write_batch).start()
 
 
 def start_deduplication(source: DataFrame, keys: list[str], time: str, lateness: str, target: str, checkpoint: str) -> StreamingQuery:
