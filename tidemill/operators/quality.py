@@ -62,7 +62,7 @@ def health_score(profiled: DataFrame) -> DataFrame:
     """Score per table: max(0, 100 - int(average null % * 2)); 100 when no null % is known."""
     average = F.avg("null_pct")
     score = F.greatest(F.lit(0), 100 - F.floor(rnd(average * 2, 6)).cast("int"))
-    return profiled.groupBy("table_name").agg(F.coalesce(score, F.lit(100)).alias("health_score"))
+    return profiled.groupBy("table_name").agg(F.when(average.isNull(), 100).otherwise(score).alias("health_score"))
 
 
 def health_label(score: Column) -> Column:
