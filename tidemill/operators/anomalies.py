@@ -145,33 +145,39 @@ def sla_breach(duration: Column, target: Column) -> Column:
 
 def detect(runs: DataFrame, as_of: Column, sla: dict[str, int] | None = None,
            cascade_owner: str = "ingest_nyc_taxi") -> DataFrame:
-    """Every firing rule per flow: (pipeline_name, run_no, rule, rule_order, anomaly_type, metric, note)."""
+    """Every firing rule per flow: (pipeline_name, run_no, rule, rule_order, anomaly_type, metric)."""
     sla = k.SLA_SECONDS if sla is None else sla
     zero = F.lit(0.0)
     kind_of = "kind" if "kind" in runs.columns else "pipeline_name"
+    failed = F.col("status") == "failed"
+    ingested = F.coalesce(F.nullif(F.col("avg_ingested"), zero), F.lit(1.0))
+    # Values that several rules read are columns of their own, so the rules stay small enough to compile.
     state = flow_state(runs, as_of).withColumns({
         "owner": runs.filter(F.col(kind_of) == cascade_owner).agg(F.min("pipeline_name")).scalar(),
         "failing": _recent_failures(runs, as_of).agg(F.count("*")).scalar(),
+        "loaded": F.coalesce("records_loaded", F.lit(0)),
+        "duration": F.coalesce(dbl(F.col("duration_seconds")), zero),
+        "known_error": F.when(failed & (F.length("error_message") > 0), classify_error(F.col("error_message"))),
+        "target": decode(F.col("kind"), sla, k.DEFAULT_SLA_SECONDS),
+        "mean_loaded": F.coalesce("avg_loaded", zero),
+        "mean_failed": F.coalesce("avg_failed", zero),
+        "mean_ingested": ingested,
+        "mean_duration": F.coalesce("avg_duration", zero),
+        "hour_share": F.coalesce("hour_fail_share", zero),
+        "lag": F.timestamp_diff("MICROSECOND", F.col("last_success_at"), F.col("as_of")) / F.lit(1000000.0),
     })
-    owner, failing = F.col("owner"), F.col("failing")
-
-    loaded = F.coalesce("records_loaded", F.lit(0))
-    duration = F.coalesce(dbl(F.col("duration_seconds")), zero)
-    avg_loaded = F.coalesce("avg_loaded", zero)
-    avg_failed = F.coalesce("avg_failed", zero)
-    ingested = F.coalesce(F.nullif(F.col("avg_ingested"), zero), F.lit(1.0))
-    at_least_one = F.greatest(ingested, F.lit(1.0))
-    ok, failed = F.col("status") == "success", F.col("status") == "failed"
-    error_type = classify_error(F.col("error_message"))
-    known_error = F.when(failed & (F.length("error_message") > 0), error_type)
-    streak = F.col("consecutive_failures")
-    drop = row_drop(loaded, avg_loaded)
-    latest_null = dbl(F.coalesce("records_failed", F.lit(0))) / at_least_one
-    hour_share, base_share = F.coalesce("hour_fail_share", zero), avg_failed / at_least_one
-    target = decode(F.col("kind"), sla, k.DEFAULT_SLA_SECONDS)
-    breach = sla_breach(duration, target)
-    avg_duration = F.coalesce("avg_duration", zero)
-    lag = F.timestamp_diff("MICROSECOND", F.col("last_success_at"), F.col("as_of")) / F.lit(1000000.0)
+    at_least_one = F.greatest(F.col("mean_ingested"), F.lit(1.0))
+    state = state.withColumns({
+        "drop": row_drop(F.col("loaded"), F.col("mean_loaded")),
+        "null_share": dbl(F.coalesce("records_failed", F.lit(0))) / at_least_one,
+        "base_share": F.col("mean_failed") / at_least_one,
+        "breach": sla_breach(F.col("duration"), F.col("target")),
+    })
+    owner, failing, loaded, duration = (F.col(c) for c in ("owner", "failing", "loaded", "duration"))
+    drop, breach, lag, known_error = (F.col(c) for c in ("drop", "breach", "lag", "known_error"))
+    null_share, base_share, hour_share = (F.col(c) for c in ("null_share", "base_share", "hour_share"))
+    mean_failed, mean_ingested, mean_duration = (F.col(c) for c in ("mean_failed", "mean_ingested", "mean_duration"))
+    ok, streak = F.col("status") == "success", F.col("consecutive_failures")
     flink, micro = F.col("kind") == "flink_job", F.col("kind") == "spark_streaming"
     micro_type = (
         F.when(known_error.isNotNull(), known_error).when(duration > k.MICRO_BATCH_SECONDS, "PIPELINE_DELAY")
@@ -189,12 +195,12 @@ def detect(runs: DataFrame, as_of: Column, sla: dict[str, int] | None = None,
          F.coalesce(known_error, t("CONSECUTIVE_FAILURES")), dbl(streak)),
         ("schema_drift", F.col("drift_keyword").isNotNull(), t("SCHEMA_DRIFT"), zero),
         ("row_count_drop", drop.isNotNull(), t("ROW_COUNT_DROP"), drop),
-        ("null_spike", (avg_failed / ingested < k.NULL_BASELINE_SHARE) & (latest_null > k.NULL_SPIKE_SHARE),
-         t("NULL_SPIKE"), latest_null),
+        ("null_spike", (mean_failed / mean_ingested < k.NULL_BASELINE_SHARE) & (null_share > k.NULL_SPIKE_SHARE),
+         t("NULL_SPIKE"), null_share),
         ("duplicate_spike", duplicate_spike(hour_share, base_share), t("DUPLICATE_SPIKE"), hour_share - base_share),
         ("sla_breach", breach.isNotNull(), t("SLA_BREACH"), breach),
-        ("pipeline_delay", (avg_duration > 0) & (duration > avg_duration * k.DELAY_FACTOR), t("PIPELINE_DELAY"),
-         duration / F.nullif(avg_duration, zero)),
+        ("pipeline_delay", (mean_duration > 0) & (duration > mean_duration * k.DELAY_FACTOR), t("PIPELINE_DELAY"),
+         duration / F.nullif(mean_duration, zero)),
         ("cdc_lag", (F.col("kind") == "kafka_consumer") & (lag > k.CDC_LAG_SECONDS), t("CDC_LAG"), lag),
         ("incremental_sync", (F.col("loaded_yesterday") > 0) & (F.col("loaded_today") == 0),
          t("INCREMENTAL_SYNC_FAILURE"), dbl(F.col("loaded_yesterday"))),

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.constants import DEFAULT_SLA_SECONDS, SLA_SECONDS
-from tidemill.functions.exprs import back, dbl, decode, ratio_sum, rnd, safe_divide, seconds_between, share_pct
+from tidemill.functions.exprs import back, dbl, decode, ratio_sum, rnd, seconds_between, share_pct
 from tidemill.functions.ordered import exact_percentiles
 from tidemill.operators.anomalies import LATEST, newest_runs
 

@@ -8,7 +8,7 @@ from tidemill.functions import exprs as x
 from tidemill.operators import merge as mg
 from tidemill.operators import transforms as tr
 from tidemill.plans import marts
-from tidemill.plans.oracle import AS_OF, AVG, D, R
+from tidemill.plans.oracle import AS_OF, D, R
 from tidemill.plans.queries_models import _closed_lines
 from tidemill.plans.registry import query
 from tidemill.session import scratch_path
@@ -245,7 +245,6 @@ def _(t):
 
 # ---- load modes ------------------------------------------------------------------------------
 
-_BATCH = ["order_key", "customer_id", "status", "total", "batch"]
 _CAST_TOTAL = f"* REPLACE ({D('total')} AS total)"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import exprs as x
 from tidemill.plans import build, marts, model_tests, staging
-from tidemill.plans.oracle import AVG, D, PCT, R, lit
+from tidemill.plans.oracle import AVG, D, R, lit
 from tidemill.plans.registry import query
 from tidemill.session import scratch_path
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.constants import AIRPORT_ZONES
-from tidemill.functions.exprs import decode, dow, seconds_between
+from tidemill.functions.exprs import decode, dow
 
 VENDORS = {1: "Creative Mobile", 2: "VeriFone"}
 PAYMENTS = {1: "Credit Card", 2: "Cash", 3: "No Charge", 4: "Dispute"}
