@@ -251,7 +251,9 @@ BIGQUERY_TB_PRICE = 5.0
 
 # Words that make a statement a write, per caller.
 WRITE_WORDS = ["DROP", "DELETE", "TRUNCATE", "ALTER", "UPDATE", "INSERT", "GRANT", "REVOKE"]
+WRITE_WORDS_ANALYST = ["DROP", "DELETE", "TRUNCATE", "ALTER", "UPDATE", "INSERT", "GRANT", "REVOKE", "CREATE", "REPLACE", "MERGE", "CALL"]
 WRITE_WORDS_OPTIMIZER = ["DROP", "DELETE", "TRUNCATE", "ALTER", "INSERT", "UPDATE", "CREATE", "GRANT", "REVOKE"]
+WRITE_WORDS_RULES = ["DROP", "DELETE", "TRUNCATE", "ALTER", "UPDATE", "INSERT", "CREATE", "GRANT", "REVOKE", "COPY", "CALL", "DO"]
 
 # Weights of the heuristic cost score.
 COST_BASE = 500

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions.constants import PII_PATTERNS, WRITE_WORDS
+from tidemill.functions.constants import PII_PATTERNS, WRITE_WORDS_RULES
 from tidemill.functions.exprs import dbl, numeric_columns, rnd, safe_divide, temporal_columns
 
 
@@ -166,7 +166,7 @@ def _result(r: Rule, metric: Column, failed: Column, bad: Column) -> Column:
 
 
 def _first_cell_truthy(spark: SparkSession, tables: dict[str, DataFrame], sql: str) -> bool:
-    if re.search(r"\b(" + "|".join(WRITE_WORDS + ["CREATE"]) + r")\b", sql, re.I):
+    if re.search(r"\b(" + "|".join(WRITE_WORDS_RULES) + r")\b", sql, re.I):
         raise ValueError("custom_sql rules must only read")
     for name, df in tables.items():
         df.createOrReplaceTempView(name)

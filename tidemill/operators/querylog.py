@@ -97,12 +97,20 @@ def newest(opt: DataFrame, n: int = 20) -> DataFrame:
     return opt.orderBy(F.desc("created_at"), F.desc("query_id")).limit(n)
 
 
-def write_flags(log: DataFrame) -> DataFrame:
-    """Whether a statement holds a write word, for the reader's and the optimizer's word lists."""
-    def has(words: list[str]) -> Column:
-        return F.upper(F.trim("sql")).rlike(r"\b(" + "|".join(words) + r")\b")
+# Which word list decides for which caller.
+WRITE_GUARDS = {
+    "is_write": k.WRITE_WORDS,
+    "is_write_for_analyst": k.WRITE_WORDS_ANALYST,
+    "is_write_for_optimizer": k.WRITE_WORDS_OPTIMIZER,
+    "is_write_for_rules": k.WRITE_WORDS_RULES,
+}
 
-    return log.select("query_id", has(k.WRITE_WORDS).alias("is_write"), has(k.WRITE_WORDS_OPTIMIZER).alias("is_write_for_optimizer"))
+
+def write_flags(log: DataFrame) -> DataFrame:
+    """Whether a statement holds a write word, one flag per word list."""
+    text = F.upper(F.trim("sql"))
+    return log.select("query_id", *[
+        text.rlike(r"\b(" + "|".join(words) + r")\b").alias(name) for name, words in WRITE_GUARDS.items()])
 
 
 def hints(log: DataFrame) -> DataFrame:

@@ -277,12 +277,15 @@ def mongodb_flatten(df: DataFrame) -> DataFrame:
 
 
 def redshift_load(df: DataFrame) -> DataFrame:
-    """Text cut to the load limit, NUL characters removed, rows with other control characters dropped."""
+    """Text cut to the load limit, NUL characters removed, rows with unprintable characters dropped.
+
+    Unprintable: any control, format, unassigned or separator character but the plain space.
+    """
     texts = string_columns(df)
     cut = {c: F.replace(F.substring(c, 1, TEXT_LIMIT), F.lit("\x00"), F.lit("")) for c in texts}
     df = df.withColumns(cut) if cut else df
     for c in texts:
-        df = df.filter(F.col(c).isNull() | ~F.col(c).rlike(r"\p{Cntrl}"))
+        df = df.filter(F.col(c).isNull() | ~F.col(c).rlike(r"[\p{C}\p{Z}&&[^ ]]"))
     return df
 
 

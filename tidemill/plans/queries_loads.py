@@ -43,6 +43,13 @@ def _(t):
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
 
 
+@query("s03_object_scan", "SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
+def _(t):
+    # The same reader call as for s3a://bucket/key, here with a file address.
+    path = readers.object_path("", f"{t.sf_dir}/part.parquet", "file")
+    return readers.read_file(t.spark, path).groupBy("p_brand").agg(F.count("*").alias("n"))
+
+
 @query("s05_row_cap", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def _(t):
     return readers.row_cap(t.orders.select("o_orderkey", "o_totalprice"), 100, [F.desc("o_totalprice"), "o_orderkey"])

@@ -94,8 +94,10 @@ def _(t):
     return ql.newest(_opt(t)).select("query_id", "savings_percent", "context", "created_at")
 
 
-@query("c07_write_flags", f"""SELECT query_id, regexp_matches(upper(trim(sql)), '\\b({'|'.join(k.WRITE_WORDS)})\\b') AS is_write,
-    regexp_matches(upper(trim(sql)), '\\b({'|'.join(k.WRITE_WORDS_OPTIMIZER)})\\b') AS is_write_for_optimizer FROM query_log""", "query_log")
+_GUARDS = ", ".join(f"regexp_matches(upper(trim(sql)), '\\b({'|'.join(words)})\\b') AS {name}" for name, words in ql.WRITE_GUARDS.items())
+
+
+@query("c07_write_flags", f"SELECT query_id, {_GUARDS} FROM query_log", "query_log")
 def _(t):
     return ql.write_flags(_log(t))
 
