@@ -145,7 +145,11 @@ def sla_breach(duration: Column, target: Column) -> Column:
 
 def detect(runs: DataFrame, as_of: Column, sla: dict[str, int] | None = None,
            cascade_owner: str = "ingest_nyc_taxi") -> DataFrame:
-    """Every firing rule per flow: (pipeline_name, run_no, rule, rule_order, anomaly_type, metric)."""
+    """Every rule that fires per flow at the time ``as_of``: (pipeline_name, run_no, rule, rule_order, anomaly_type, metric).
+
+    Runs that start later are not seen, so history can be replayed at any time.
+    """
+    runs = runs.filter(F.col("started_at") <= as_of)
     sla = k.SLA_SECONDS if sla is None else sla
     zero = F.lit(0.0)
     kind_of = "kind" if "kind" in runs.columns else "pipeline_name"
@@ -234,7 +238,8 @@ def winners(findings: DataFrame) -> DataFrame:
 
 
 def _recent_failures(runs: DataFrame, as_of: Column) -> DataFrame:
-    recent = runs.filter((F.col("status") == "failed") & (F.col("started_at") >= back(as_of, "30 minutes")))
+    at = F.col("started_at")
+    recent = runs.filter((F.col("status") == "failed") & (at >= back(as_of, "30 minutes")) & (at <= as_of))
     return recent.groupBy("pipeline_name").agg(F.count("*").alias("failures"))
 
 

@@ -15,10 +15,11 @@ _ERR = "CASE WHEN coalesce(length({m}), 0) = 0 THEN 'UNKNOWN' " + " ".join(
 _KEYWORD = "CASE " + " ".join(f"WHEN contains(lower(error_message), {lit(w)}) THEN {lit(w)}" for w in k.DRIFT_KEYWORDS) + " END"
 
 
-def _state(runs: str) -> str:
-    """Per-flow state over ``runs`` (fleet or runs with kind)."""
+def _state(source: str, as_of: str = AS_OF) -> str:
+    """Per-flow state over ``source`` (fleet or runs with kind) at a time."""
+    runs = "seen"
     return f"""
-    clock AS (SELECT {AS_OF} AS as_of),
+    clock AS (SELECT {as_of} AS as_of), seen AS (SELECT s.* FROM {source} s, clock WHERE started_at <= as_of),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY pipeline_name ORDER BY started_at DESC, run_no DESC) AS rn FROM {runs}),
     latest AS (SELECT * FROM ranked WHERE rn = 1),
     stats AS (SELECT pipeline_name, {AVG('records_loaded')} AS avg_loaded, {AVG('records_ingested')} AS avg_ingested,
@@ -67,10 +68,10 @@ _RULES = [
 ]
 
 
-def _findings(runs: str) -> str:
+def _findings(runs: str, as_of: str = AS_OF) -> str:
     parts = [f"""SELECT pipeline_name, run_no, {lit(name)} AS rule, {i + 1} AS rule_order, {kind} AS anomaly_type,
         {R(metric, 4)} AS metric FROM state WHERE {cond}""" for i, (name, cond, kind, metric) in enumerate(_RULES)]
-    return f"{_state(runs)}, findings AS ({' UNION ALL '.join(parts)}), winners AS (SELECT * EXCLUDE rk FROM (SELECT *, " \
+    return f"{_state(runs, as_of)}, findings AS ({' UNION ALL '.join(parts)}), winners AS (SELECT * EXCLUDE rk FROM (SELECT *, " \
            "row_number() OVER (PARTITION BY pipeline_name ORDER BY rule_order) AS rk FROM findings) WHERE rk = 1)"
 
 
@@ -100,8 +101,14 @@ def _(t):
     return an.consecutive_failures(t.fleet)
 
 
+# A time at which several flows fail together.
+_OUTAGE = "2024-01-27 07:30:00"
+
+
 def _register_rules():
     for i, (rule, *_rest) in enumerate(_RULES):
+        if rule == "cascading_failure":
+            continue
         @query(f"a{i + 1:02d}_{rule}", f"WITH {_findings('fleet')} SELECT * FROM findings WHERE rule = {lit(rule)}", "fleet")
         def _(t, rule=rule):
             return an.detect(t.fleet, t.as_of).filter(F.col("rule") == rule)
@@ -110,6 +117,15 @@ def _register_rules():
 _register_rules()
 
 
+def _outage():
+    return F.lit(_OUTAGE).cast("timestamp_ntz")
+
+
+@query("a11_cascading_failure", f"WITH {_findings('fleet', f'TIMESTAMP {lit(_OUTAGE)}')} SELECT * FROM findings WHERE rule = 'cascading_failure'", "fleet")
+def _(t):
+    return an.detect(t.fleet, _outage()).filter(F.col("rule") == "cascading_failure")
+
+
 @query("a03_schema_drift_messages", f"WITH {_state('fleet')} SELECT * FROM drift", "fleet")
 def _(t):
     return an.schema_drift_messages(t.fleet, t.as_of)
@@ -138,10 +154,10 @@ def _with_baseline(t):
 
 
 @query("a11_failing_flows", f"""WITH f AS (SELECT pipeline_name, count(*) AS failures FROM fleet
-        WHERE status = 'failed' AND started_at >= {AS_OF} - INTERVAL 30 MINUTE GROUP BY 1)
+        WHERE status = 'failed' AND started_at BETWEEN TIMESTAMP {lit(_OUTAGE)} - INTERVAL 30 MINUTE AND TIMESTAMP {lit(_OUTAGE)} GROUP BY 1)
     SELECT * FROM f WHERE (SELECT count(*) FROM f) >= 3""", "fleet")
 def _(t):
-    return an.failing_flows(t.fleet, t.as_of)
+    return an.failing_flows(t.fleet, _outage())
 
 
 @query("a15_classify_errors", f"""SELECT error_message, {_ERR.format(m='error_message')} AS anomaly_type, count(*) AS n FROM runs GROUP BY 1, 2""", "runs")
