@@ -17,13 +17,14 @@ def table(spark, data):
     return spark.createDataFrame(data, "k int, v string, batch string")
 
 
-def test_merge_statistics(spark, rows):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_merge_statistics(spark, rows, small):
     target = table(spark, [(1, "a", "t"), (2, "b", "t"), (9, "z", "t")])
     delta = table(spark, [(1, "a", "d"), (2, "B", "d"), (3, "c", "d")])
-    merged = mg.merge(target, delta, ["k"], skip=["batch"])
+    merged = mg.merge(target, delta, ["k"], skip=["batch"], small=small)
     assert rows(merged) == [(1, "a", "t", "unchanged"), (2, "B", "d", "update"), (3, "c", "d", "insert"), (9, "z", "t", "kept")]
     assert tuple(mg.merge_stats(merged, delta).first()) == (3, 1, 1, 1, 2)
-    again = mg.merge(merged.drop("_action"), delta, ["k"], skip=["batch"])
+    again = mg.merge(merged.drop("_action"), delta, ["k"], skip=["batch"], small=small)
     assert rows(again, "k", "v", "batch") == rows(merged, "k", "v", "batch")
     assert again.filter("_action IN ('insert', 'update')").count() == 0
 
@@ -34,16 +35,18 @@ def test_merge_takes_one_row_per_key(spark, rows):
     assert rows(merged) == [(1, "new", "e", "update")]
 
 
-def test_upsert_keeps_the_count(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_upsert_keeps_the_count(spark, small):
     target = spark.range(2000).select(F.col("id").cast("int").alias("k"), F.lit("a").alias("v"), F.lit("t").alias("batch"))
     delta = target.filter("k < 10").withColumn("v", F.lit("b"))
-    once = mg.upsert(target, delta, ["k"])
+    once = mg.upsert(target, delta, ["k"], small)
     assert once.count() == 2000 and once.filter("v = 'b'").count() == 10
     assert mg.upsert(once, delta, ["k"]).exceptAll(once).count() == 0
 
 
-def test_insert_ignore_keeps_the_first(spark, rows):
-    got = mg.insert_ignore(table(spark, [(1, "a", "t")]), table(spark, [(1, "b", "d"), (2, "q", "d"), (2, "p", "d")]), ["k"])
+@pytest.mark.parametrize("small", [0, 1000])
+def test_insert_ignore_keeps_the_first(spark, rows, small):
+    got = mg.insert_ignore(table(spark, [(1, "a", "t")]), table(spark, [(1, "b", "d"), (2, "q", "d"), (2, "p", "d")]), ["k"], small=small)
     assert rows(got) == [(1, "a", "t"), (2, "p", "d")]
 
 
@@ -52,6 +55,23 @@ def test_surrogate_key_joins_null_and_empty(spark):
     assert df.select(mg.surrogate_key(df).alias("h")).distinct().count() == 1
 
 
+def test_small_batch_leaves_the_target_unshuffled(spark, tables, tmp_path):
+    path = str(tmp_path / "target")
+    tables.orders.write.parquet(path)
+    target = spark.read.parquet(path)
+    plan = mg.upsert(target, tables.orders.limit(5), ["o_orderkey"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_days_outside_the_range_are_not_read(spark, tables, tmp_path):
+    path = str(tmp_path / "days")
+    sinks.write_by_day(tables.runs, path, "started_at")
+    week = sinks.read_days(spark, path, "2024-01-03", "2024-01-04")
+    plan = week._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    assert week.count() == tables.runs.filter("to_date(started_at) BETWEEN '2024-01-03' AND '2024-01-04'").count()
+
+
 def test_versioned_table(spark, tmp_path):
     t = sinks.VersionedTable(spark, str(tmp_path / "t"), create=True)
     assert t.version() == 0

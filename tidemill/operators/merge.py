@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Batches up to this many keys are broadcast, so the target is filtered in place and never shuffled.
+SMALL_BATCH_ROWS = 1_000_000
+
 META_COLUMNS = ["_SOURCE", "_INGESTED_AT", "_RUN_ID", "_ROW_HASH"]
 
 
@@ -24,14 +27,26 @@ def full_order(df: DataFrame, first: list[Column] = ()) -> list[Column]:
     return [*first, *[F.col(f"`{c}`") for c in df.columns]]
 
 
+def batch_keys(batch: DataFrame, keys: list[str], small: int | None = None) -> tuple[DataFrame, bool]:
+    """Distinct keys of a batch, and whether they were few enough to be marked for broadcast."""
+    limit = SMALL_BATCH_ROWS if small is None else small
+    distinct = batch.select(*keys).distinct()
+    # Stops counting rows just above the limit.
+    few = distinct.limit(limit + 1).count() <= limit
+    return (F.broadcast(distinct) if few else distinct), few
+
+
 def append(target: DataFrame, delta: DataFrame) -> DataFrame:
     return target.unionByName(delta, allowMissingColumns=True)
 
 
-def insert_ignore(target: DataFrame, delta: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+def insert_ignore(target: DataFrame, delta: DataFrame, keys: list[str], order: list[Column] | None = None,
+                  small: int | None = None) -> DataFrame:
     """Existing keys win; within the batch the first row per key wins."""
     batch = pick_one(delta, keys, order or full_order(delta))
-    return target.unionByName(batch.join(target.select(*keys), keys, "left_anti"))
+    wanted, _ = batch_keys(delta, keys, small)
+    existing = target.join(wanted, keys, "left_semi").select(*keys).distinct()
+    return target.unionByName(batch.join(existing, keys, "left_anti"))
 
 
 def insert_or_replace(target: DataFrame, delta: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
@@ -39,9 +54,10 @@ def insert_or_replace(target: DataFrame, delta: DataFrame, keys: list[str], orde
     return upsert(target, pick_one(delta, keys, order or full_order(delta)), keys)
 
 
-def upsert(target: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
+def upsert(target: DataFrame, delta: DataFrame, keys: list[str], small: int | None = None) -> DataFrame:
     """Delete target rows whose key is in the batch, then insert the batch."""
-    return target.join(delta.select(*keys).distinct(), keys, "left_anti").unionByName(delta)
+    touched, _ = batch_keys(delta, keys, small)
+    return target.join(touched, keys, "left_anti").unionByName(delta)
 
 
 def text_of(c: Column, type_name: str) -> Column:
@@ -70,16 +86,22 @@ def row_hash(df: DataFrame, skip: list[str] = ()) -> Column:
 
 
 def merge(target: DataFrame, delta: DataFrame, keys: list[str], order: list[Column] | None = None,
-          skip: list[str] = ()) -> DataFrame:
-    """Content-hash merge by one full outer join.
+          skip: list[str] = (), small: int | None = None) -> DataFrame:
+    """Content-hash merge.
 
     Returns the merged rows with ``_action``: insert, update (hash differs), unchanged, or kept
     (not in the batch). The batch is deduplicated first; ``order`` lists the winning row first.
+    A small batch leaves the target where it is: rows outside the batch are passed through by a
+    broadcast anti join and only the touched ones are hashed and joined. A large batch meets the
+    target in one full outer join.
     """
     batch = pick_one(delta, keys, order or full_order(delta))
+    wanted, few = batch_keys(delta, keys, small)
+    columns = target.columns
     src = batch.select(F.struct(*batch.columns).alias("s"), row_hash(batch, skip).alias("_sh"), *keys)
-    tgt = target.select(F.struct(*target.columns).alias("t"), row_hash(target, skip).alias("_th"), *keys)
-    both = src.join(tgt, keys, "full_outer")
+    held = target.join(wanted, keys, "left_semi").select(*columns) if few else target
+    tgt = held.select(F.struct(*columns).alias("t"), row_hash(target, skip).alias("_th"), *keys)
+    both = src.join(tgt, keys, "left" if few else "full_outer")
     action = (
         F.when(F.col("t").isNull(), "insert")
         .when(F.col("s").isNull(), "kept")
@@ -87,10 +109,12 @@ def merge(target: DataFrame, delta: DataFrame, keys: list[str], order: list[Colu
         .otherwise("unchanged")
     )
     use_source = F.col("_action").isin("insert", "update")
-    return both.withColumn("_action", action).select(
-        *[F.when(use_source, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in target.columns],
-        "_action",
-    )
+    met = both.withColumn("_action", action).select(
+        *[F.when(use_source, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in columns], "_action")
+    if not few:
+        return met
+    kept = target.join(wanted, keys, "left_anti").select(*columns, F.lit("kept").alias("_action"))
+    return kept.unionByName(met)
 
 
 def merge_stats(merged: DataFrame, delta: DataFrame) -> DataFrame:

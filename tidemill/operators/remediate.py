@@ -292,15 +292,17 @@ def redshift_load(df: DataFrame) -> DataFrame:
 def partition_skew(df: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
     """Add ``_partition_salt``: 0..salts-1 for keys above 5 times the mean frequency, else 0.
 
-    The salt comes from row position, not content, so copies of one row spread too.
+    The salt comes from row position, not content, so copies of one row spread too. Positions can
+    change when a lost task is repeated, so the salted rows are written before anything is shuffled by them.
     """
     sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
     mean = sizes.agg(F.avg("_n")).scalar()
     hot = sizes.filter(F.col("_n") > mean * k.SKEW_RATIO).select(key, F.lit(True).alias("_hot"))
     # Less than a fifth of the keys can be hot; the planner broadcasts them only when they are small.
     placed = df.withColumn("_row", F.monotonically_increasing_id())
-    return placed.join(hot, key, "left").withColumn(
+    salted = placed.join(hot, key, "left").withColumn(
         "_partition_salt", F.when(F.col("_hot"), F.pmod("_row", F.lit(salts))).otherwise(0).cast("int")).drop("_row", "_hot")
+    return cut_lineage(salted, "salted")
 
 
 def verify(df: DataFrame) -> DataFrame:

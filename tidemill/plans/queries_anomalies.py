@@ -109,7 +109,9 @@ def _register_rules():
     for i, (rule, *_rest) in enumerate(_RULES):
         if rule == "cascading_failure":
             continue
-        @query(f"a{i + 1:02d}_{rule}", f"WITH {_findings('fleet')} SELECT * FROM findings WHERE rule = {lit(rule)}", "fleet")
+        name = rule.replace("pipeline_delay", "run_delay")
+
+        @query(f"a{i + 1:02d}_{name}", f"WITH {_findings('fleet')} SELECT * FROM findings WHERE rule = {lit(rule)}", "fleet")
         def _(t, rule=rule):
             return an.detect(t.fleet, t.as_of).filter(F.col("rule") == rule)
 

@@ -371,6 +371,15 @@ def _(t):
         "pipeline_name", "started_at", F.when(is_first, "initial").otherwise("incremental").alias("load_mode"))
 
 
+@query("k13_runs_by_day", """SELECT CAST(CAST(started_at AS DATE) AS VARCHAR) AS day, count(*) AS runs, CAST(sum(records_loaded) AS BIGINT) AS loaded FROM runs
+    WHERE CAST(started_at AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-16' GROUP BY 1""", "runs")
+def _(t):
+    path = scratch_path(t.spark, "runs")
+    sinks.write_by_day(t.runs, path, "started_at")
+    week = sinks.read_days(t.spark, path, "2024-01-10", "2024-01-16")
+    return week.groupBy("day").agg(F.count("*").alias("runs"), F.sum("records_loaded").alias("loaded"))
+
+
 @query("k13_run_row", """SELECT 'orders_load' AS pipeline_name, count(*) AS records_ingested, count(amount) AS records_loaded,
     count(*) - count(amount) AS records_failed, 'warning' AS status, TIMESTAMP '2024-01-30 00:00:00' AS started_at,
     TIMESTAMP '2024-01-30 00:10:00' AS completed_at, 600::BIGINT AS duration_seconds FROM damaged""", "damaged")

@@ -42,6 +42,21 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.path}/v{self.version()}")
 
 
+def write_by_day(df: DataFrame, path: str, time: str, mode: str = "append") -> None:
+    """Append to a table partitioned by day, so that readers bounded in time only list those days.
+
+    The rebalance hint gathers a day's rows into files of a good size and lets the adaptive planner
+    split a day that holds most of them.
+    """
+    dated = df.withColumn("day", F.to_date(time))
+    dated.hint("rebalance", "day").write.mode(mode).partitionBy("day").parquet(path)
+
+
+def read_days(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
+    """Rows of the days first..last; other folders are not read."""
+    return spark.read.parquet(path).filter(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+
+
 def load_counted(df: DataFrame, path: str, ok: Column) -> dict:
     """Write the rows that pass ``ok`` and return loaded and failed counts, observed in the same job."""
     seen = Observation("load")
