@@ -89,9 +89,10 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     out = []
     for name, p in zip(names, ps):
         position = F.lit(p) * (F.col("n") - 1)
-        low = F.min(F.when(F.col("_cum") > F.floor(position), F.col("_x")))
-        high = F.min(F.when(F.col("_cum") > F.ceil(position), F.col("_x")))
-        out += [low.alias(f"_l_{name}"), high.alias(f"_h_{name}")]
+        for tag, rank in (("l", F.floor(position)), ("h", F.ceil(position))):
+            # The first cell that reaches the rank; a collapsed one (no value) would mean a missed bracket.
+            found = F.min_by(F.col("_x"), F.when(F.col("_cum") > rank, F.col("_cum")))
+            out.append(F.coalesce(found, F.raise_error(F.lit("rank outside its bracket")).cast("double")).alias(f"_{tag}_{name}"))
     picked = ranked.groupBy(*keys, "n").agg(*out)
     return picked.select(*keys, "n", *[
         (F.col(f"_l_{name}") + (F.col(f"_h_{name}") - F.col(f"_l_{name}")) * (F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))))

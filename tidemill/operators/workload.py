@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.exprs import back, dbl, ratio_sum, rnd, safe_divide, share_pct
 from tidemill.functions.ordered import longest_streaks, with_next
 from tidemill.functions.series import global_rank
+from tidemill.operators.anomalies import classify_error
 
 
 def scalar_totals(df: DataFrame, amount: str, condition: Column) -> DataFrame:
@@ -152,6 +153,25 @@ def failure_correlation(runs: DataFrame, incidents: DataFrame) -> DataFrame:
         rnd(F.corr(dbl(F.col("f")), dbl(F.coalesce("n", F.lit(0)))), 4).alias("correlation"), F.count("*").alias("days"))
 
 
+def new_customer_revenue(orders: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """Customers whose first order is within the last days, and what they spent."""
+    per_customer = orders.groupBy("customer_id").agg(F.min("created_at").alias("first_at"), F.sum("order_total").alias("spend"))
+    new = per_customer.filter(F.col("first_at") >= back(as_of, f"{days} days"))
+    return new.agg(F.count("*").alias("new_customers"), dbl(F.coalesce(F.sum("spend"), F.lit(0))).alias("revenue"))
+
+
+def failure_rate_by(df: DataFrame, group: str, failed: Column) -> DataFrame:
+    """Share of failed rows per group, and its rank from the lowest; one row per group is ranked."""
+    rates = df.groupBy(group).agg(F.count("*").alias("rows"), share_pct(failed, 2).alias("failure_pct"))
+    return global_rank(rates.withColumn("_kept", -F.col("failure_pct")), "_kept", "rank").drop("_kept")
+
+
+def schema_errors_by_source(runs: DataFrame) -> DataFrame:
+    """Failed runs per source type whose message means a changed schema."""
+    drift = runs.filter((F.col("status") == "failed") & (classify_error(F.col("error_message")) == "SCHEMA_DRIFT"))
+    return drift.groupBy("source_type").agg(F.count("*").alias("drift_runs"))
+
+
 def heal_rank(incidents: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """Flows ranked by the share of incidents of the last days that healed."""
     recent = incidents.filter(F.col("detection_at") >= back(as_of, f"{days} days"))

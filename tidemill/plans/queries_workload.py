@@ -59,6 +59,19 @@ def _(t):
     return pairs.groupBy("product_id").agg(F.count("*").alias("customers")).filter(F.col("customers") > 20)
 
 
+@query("w03_new_customer_revenue", f"""WITH c AS (SELECT customer_id, min(created_at) AS f, sum(order_total) AS spend FROM shop_orders GROUP BY 1)
+    SELECT count(*) AS new_customers, {D('coalesce(sum(spend), 0)')} AS revenue FROM c WHERE f >= {ORDERS_AS_OF} - INTERVAL 1500 DAY""", "shop_orders")
+def _(t):
+    return wl.new_customer_revenue(t.shop_orders, t.orders_as_of, 1500)
+
+
+@query("w03_top_payment_method", f"""SELECT payment_method, {D('sum(fare_amount)')} AS fares FROM stg_trips WHERE pickup_at >= {AS_OF} - INTERVAL 30 DAY
+    GROUP BY 1 ORDER BY sum(fare_amount) DESC, 1 LIMIT 1""", "stg_trips")
+def _(t):
+    recent = _trips(t).filter(F.col("pickup_at") >= x.back(t.as_of, "30 days"))
+    return recent.groupBy("payment_method").agg(F.sum("fare_amount").alias("fares")).orderBy(F.desc("fares"), "payment_method").limit(1)
+
+
 @query("w04_never_ordered", """SELECT c_custkey AS customer_id FROM customer WHERE c_custkey NOT IN
     (SELECT customer_id FROM shop_orders WHERE status = 'completed' AND region = '1-URGENT')""", "shop_orders")
 def _(t):
@@ -112,6 +125,12 @@ def _(t):
     return wl.tip_share(_trips(t))
 
 
+@query("w07_failure_rate_by_region", f"""WITH r AS (SELECT region, count(*) AS rows, {PCT("status = 'cancelled'", 2)} AS failure_pct FROM shop_orders GROUP BY 1)
+    SELECT *, rank() OVER (ORDER BY failure_pct) AS rank FROM r""", "shop_orders")
+def _(t):
+    return wl.failure_rate_by(t.shop_orders, "region", F.col("status") == "cancelled")
+
+
 @query("w08_product_ranks", f"""SELECT product_id, {D('revenue')} AS revenue, rank() OVER (ORDER BY revenue DESC) AS rank FROM
     (SELECT product_id, CAST(sum(quantity * unit_price) AS DECIMAL(20,2)) AS revenue FROM shop_items GROUP BY 1)""", "shop_items")
 def _(t):
@@ -193,6 +212,12 @@ def _sides(name: str, cond: str) -> str:
         {R(f"CAST(sum(duration_seconds) FILTER (WHERE {cond}) AS DOUBLE) / nullif(count(*) FILTER (WHERE {cond}), 0)", 2)} AS avg_duration_{name}"""
 
 
+@query("w10_drift_by_source", """SELECT source_type, count(*) AS drift_runs FROM runs WHERE status = 'failed' AND (error_message LIKE 'schema evolution%' OR error_message LIKE 'schema mismatch%'
+    OR error_message LIKE 'catalog error%') GROUP BY 1""", "runs")
+def _(t):
+    return wl.schema_errors_by_source(t.runs)
+
+
 @query("w11_before_after", f"SELECT pipeline_name, {_sides('before', f'started_at < {_CUT}')}, {_sides('after', f'started_at >= {_CUT}')} FROM fleet GROUP BY 1", "fleet")
 def _(t):
     return wl.before_after(t.fleet, F.lit("2024-01-16").cast("timestamp_ntz"))
