@@ -80,7 +80,8 @@ def balance(train: DataFrame) -> DataFrame:
 
 def split(train: DataFrame, key: str = "run_no", share: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """(train, test) by a hash of label and key, so each label is split in the same proportion."""
-    bucket = F.pmod(F.xxhash64("label", key), F.lit(10_000))
+    digest = F.md5(F.concat_ws("|", "label", F.col(key).cast("string")))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 10_000
     cut = int(share * 10_000)
     return train.filter(bucket < cut), train.filter(bucket >= cut)
 

@@ -79,7 +79,10 @@ def _(t):
     return both.agg(F.count_if(F.col("label") != "NORMAL").alias("anomalies"), F.count_if(F.col("label") == "NORMAL").alias("normals"))
 
 
-@query("x06_stratified_split")
+@query("x06_stratified_split", f"""WITH {_HALF_RUNS}, {_TRAIN.format(src='half')},
+    b AS (SELECT label, CAST('0x' || substr(md5(label || '|' || run_no), 1, 8) AS BIGINT) % 10000 < 7500 AS first FROM train)
+    SELECT label, count(*) FILTER (WHERE first) AS train, count(*) FILTER (WHERE NOT first) AS test, {R('count(*) FILTER (WHERE first) / CAST(count(*) AS DOUBLE)', 2)} AS train_share
+    FROM b GROUP BY 1""", "runs")
 def _(t):
     train, test = rm.split(rm.training_set(_half_runs(t)))
     n = train.groupBy("label").agg(F.count("*").alias("train")).join(test.groupBy("label").agg(F.count("*").alias("test")), "label")
