@@ -63,6 +63,17 @@ def test_small_batch_leaves_the_target_unshuffled(spark, tables, tmp_path):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, tables, tmp_path):
+    a = sinks.write_bucketed(tables.orders, "t_orders_bucketed", str(tmp_path / "a"), ["o_orderkey"], 4)
+    lines = tables.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
+    b = sinks.write_bucketed(lines, "t_lines_bucketed", str(tmp_path / "b"), ["o_orderkey"], 4)
+    joined = a.hint("merge").join(b, "o_orderkey").groupBy("o_orderkey").count()
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == lines.select("o_orderkey").distinct().count()
+    for name in ("t_orders_bucketed", "t_lines_bucketed"):
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_days_outside_the_range_are_not_read(spark, tables, tmp_path):
     path = str(tmp_path / "days")
     sinks.write_by_day(tables.runs, path, "started_at")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from tidemill.operators import workload as wl
 from tidemill.plans import staging
 from tidemill.plans.oracle import AS_OF, AVG, D, ORDERS_AS_OF, PCT, R
 from tidemill.plans.registry import query
+from tidemill.session import scratch_path
+from tidemill.sources.sinks import write_bucketed
 
 
 def _trips(t):
@@ -364,3 +368,14 @@ def _(t):
     a = t.orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("o"))
     b = t.lineitem.groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count("*").alias("s"))
     return a.join(b, "day", "full_outer").select("day", F.coalesce("o", F.lit(0)).alias("orders"), F.coalesce("s", F.lit(0)).alias("shipped"))
+
+
+@query("j04_bucketed_join", f"""SELECT o_orderkey, count(*) AS lines, {D('sum(CAST(l_extendedprice AS DECIMAL(18,2)))')} AS amount
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
+def _(t):
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), x.money(F.col("l_extendedprice")).alias("price"))
+    left, right = (
+        write_bucketed(df, f"{label}_{uuid.uuid4().hex}", scratch_path(t.spark, label), ["o_orderkey"], 8)
+        for df, label in ((t.orders.select("o_orderkey"), "orders"), (lines, "lines"))
+    )
+    return left.join(right, "o_orderkey").groupBy("o_orderkey").agg(F.count("*").alias("lines"), F.sum("price").alias("amount"))
