@@ -170,7 +170,7 @@ def _(t):
 
 @query("f18_partition_skew", """WITH s AS (SELECT CASE WHEN event_type = 'error' THEN CAST(user_id AS VARCHAR) ELSE 'rest' END AS part_key FROM events),
     n AS (SELECT part_key, count(*) AS rows FROM s GROUP BY 1)
-    SELECT part_key, rows, CASE WHEN rows > 5 * (SELECT avg(rows) FROM n) THEN 8 ELSE 1 END AS salts FROM n""")
+    SELECT part_key, rows, CAST(CASE WHEN rows > 5 * (SELECT avg(rows) FROM n) THEN 8 ELSE 1 END AS BIGINT) AS salts FROM n""")
 def _(t):
     keyed = t.events.select(F.when(F.col("event_type") == "error", F.col("user_id").cast("string")).otherwise("rest").alias("part_key"))
     return fx.partition_skew(keyed, "part_key").groupBy("part_key").agg(
