@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from tidemill.llm.decontaminate import op2_decontaminate
+from tidemill.llm.jaccard import op7_ngram_jaccard_join
 from tidemill.llm.sql import SQL
 
 QUERIES = {q.__name__: q for q in (
     op2_decontaminate,
+    op7_ngram_jaccard_join,
 )}
 
 __all__ = ["QUERIES", "SQL"]
