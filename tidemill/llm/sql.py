@@ -23,3 +23,39 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+SQL["op9_chat_snapshots"] = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+             sha256(string_agg(sha256(role) || sha256(text), '') OVER w) AS h
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+whole AS (SELECT place, h, min(conv_id) AS conv_id, count(*) AS n_equal FROM p WHERE place = n GROUP BY 1, 2),
+kept AS (SELECT * FROM whole ANTI JOIN (SELECT place, h FROM p WHERE place < n) USING (place, h))
+SELECT k.conv_id, k.place AS n_turns, n_equal,
+       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY p.place) AS rendered
+FROM kept k JOIN p ON p.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL"""
+
+SQL["op1_warc"] = """
+WITH p AS (SELECT page_id, coalesce(encode(html), ''::BLOB) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
+c AS (SELECT digest, min(page_id) AS first, count(*) AS k FROM d WHERE n >= 100 GROUP BY 1 HAVING count(*) > 1),
+r AS (SELECT d.*, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+      FROM d LEFT JOIN c USING (digest))
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, true AS intact FROM r"""
+
+SQL["op7_ngram_jaccard_join"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{WORD}') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN
+        [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')]
+        ELSE [] END) AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b USING (g)
+          WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+          WHERE 100 * k >= 80 * (len(x.s) + len(y.s) - k)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+walk AS (SELECT doc_id, doc_id AS r FROM s UNION SELECT walk.doc_id, sym.b FROM walk JOIN sym ON sym.a = walk.r)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.r AS component_id
+FROM s JOIN (SELECT doc_id, min(r) AS r FROM walk GROUP BY 1) m USING (doc_id)"""
