@@ -10,7 +10,7 @@ below if a partner can lie there. Candidates are verified on the whole sets.
 Nothing is lost by leaving out cells that hardly tell documents apart. Empty cells and those whose value more than
 ``HOT`` classes share (a passage in many documents) are set aside. A pair that agrees only on such cells agrees on
 r + 1 of them, so each document may leave out its r most frequent ones, which is nearly always all of them (a prefix
-filter over cells). Documents with more than r empty cells also join on the n - ceil(p n / 100) + 1 smallest of their
+filter over cells), and a document that shares no more cells than that has no link at all. Documents with more than r empty cells also join on the n - ceil(p n / 100) + 1 smallest of their
 shingle hashes.
 
 Sets are compared as sets of 64-bit shingle hashes, and documents of the same set are one class (64-bit hash): within
@@ -19,7 +19,8 @@ a pair a false match has a chance of about a * b / 2**64.
 Scale. Only classes take part, so copies cost nothing. Signatures travel as packed arrays, one per task and bucket.
 A signature that is frequent within one task is not gathered: its rows are spread and only its count goes to the
 bucket. Links are sought star-wise: each group of equal signatures is compared with one centre at a time, and what has
-become connected is not compared again. Pairs between the remaining components of a group are then checked whole.
+become connected is not compared again. Then the pairs between the remaining components of a group are taken, of which bit
+sketches (four parity bits a shingle) strike out nearly all that do not link before their sets are compared.
 """
 
 from __future__ import annotations
@@ -39,21 +40,26 @@ from tidemill.session import cut_lineage
 SHINGLE = 5
 PERCENT = 80
 HOT = 64
+FLUSH_ROWS = 400_000
 GROWTH = 1.6
-STAR_ROUNDS = 4
+STAR_ROUNDS = 12
+PRUNINGS = 2
 HOME, PROBE, SMALLEST = 0, 1, 2
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def bands(percent: int, largest: int) -> np.ndarray:
-    """Rows (first size, last size, cells, spare cells r) up to ``largest``; smaller sets only link with equal ones."""
+    """Rows (first size, last size, cells) up to ``largest``; smaller sets only link with equal ones.
+
+    The cells are so many that a tenth or so of them may be empty and the bound still tells documents apart.
+    """
     out, low = [], max(1, -(-percent // max(1, 100 - percent)))
     while not out or out[-1][1] < largest:
         high = max(low, int(low * GROWTH))
         partner = 100 * high // percent
         differ = (high + partner) * (100 - percent) // (100 + percent)
         cells = -(-(differ + 4) * 100 // 82)
-        out.append((low, high, cells, cells - differ - 1))
+        out.append((low, high, cells))
         low = high + 1
     return np.array(out, dtype=np.int64)
 
@@ -87,13 +93,14 @@ class Sets:
         self.classes = mix(total[self.bounds[1:]] - total[self.bounds[:-1]] + self.sizes.astype(np.uint64))
 
     def families(self, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(role, band of each row or -1, its cells, its spare cells)."""
+        """(role, band of each row or -1, its cells, how many of them may differ or be left out for any partner)."""
         known = bands(percent, int(self.sizes.max(initial=1)))
         home = np.searchsorted(known[:, 0], self.sizes, "right") - 1
         below = np.maximum(home - 1, 0)
         probe = np.where((home > 0) & (percent * self.sizes <= 100 * known[below, 1]), below, -1)
-        for role, band in ((HOME, home), (PROBE, probe)):
-            yield role, band, known[band, 2], known[band, 3]
+        for role, band, partner in ((HOME, home, 100 * self.sizes // percent), (PROBE, probe, known[probe, 1])):
+            cells = known[band, 2]
+            yield role, band, cells, cells - (self.sizes + partner) * (100 - percent) // (100 + percent) - 1
 
     def cells(self, band: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row and signature of every cell that is not empty, for the rows with a band."""
@@ -107,8 +114,15 @@ class Sets:
         place = (band[rows[first]].astype(np.uint64) << np.uint64(40)) + cell[first]
         return rows[first], mix(value + mix(place))
 
-    def empties(self, band: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        return cells - np.bincount(self.cells(band, cells)[0], minlength=len(self.sizes))
+
+    def sketch(self, row: int, band: int, percent: int) -> np.ndarray:
+        """The parity bits of a set, as many as its band says: four for each shingle of the band's largest set."""
+        if band < 0:
+            return np.zeros(0, dtype=np.int64)
+        words = -(-int(bands(percent, int(self.sizes.max(initial=1)))[band, 1]) * 4 // 64)
+        hashes = self.hashes[self.bounds[row]:self.bounds[row + 1]]
+        at = ((hashes >> np.uint64(32)) * np.uint64(64 * words)) >> np.uint64(32)
+        return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * words) & 1).view(np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], at: int, shingle: int) -> Iterator[tuple[pa.RecordBatch, Sets]]:
@@ -127,8 +141,10 @@ def _classify(shingle: int, percent: int):
 
     def run(batches):
         for batch, sets in _sets(batches, 2, shingle):
-            spare = [np.where(band >= 0, free - sets.empties(band, cells), 0)
-                     for _, band, cells, free in sets.families(percent)]
+            spare = []
+            for _, band, cells, free in sets.families(percent):
+                filled = np.bincount(sets.cells(band, cells)[0], minlength=len(sets.sizes))
+                spare.append(np.where(band >= 0, free - cells + filled, 0))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), _signed(sets.classes), pa.array(sets.sizes, pa.int64()),
                  *(pa.array(x, pa.int64()) for x in spare)], names=["id", "key", "cls", "n", "spare0", "spare1"])
@@ -187,7 +203,7 @@ def _signatures(shingle: int, percent: int, buckets: int):
                     least = mix(sets.hashes[a:a + n - -(-percent * n // 100) + 1] + np.uint64(1))
                     held.append([least, np.full(len(least), sets.classes[row]), np.full(len(least), SMALLEST, np.uint8)])
                     rows += len(least)
-            if rows > 2_000_000:
+            if rows > FLUSH_ROWS:
                 yield flush()
                 held, rows = [], 0
         if rows:
@@ -213,7 +229,7 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [_signed(sig[part]), _signed(cls[part]), pa.array(role[part].astype(np.int8)), pa.array(hot[part])],
                 names=["sig", "cls", "role", "hot"])
 
-    plain, counted = [], []
+    plain, counted = [], []  # of one partition of the buckets, as packed arrays
     for batch in batches:
         for kind, bucket, body in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             if kind == 2:
@@ -241,24 +257,36 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(sig, cls, n): the signatures shared by classes, without the frequent ones that a class may leave out."""
+    """(sig, cls, role, n, shares): the shared signatures that a class may not leave out."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = docs.select("text").mapInArrow(
         _signatures(shingle, percent, 4 * parts), "part long, kind int, bucket long, body binary")
     shared = cut_lineage(packed.repartition(parts, "part").mapInArrow(
         _group, "sig long, cls long, role byte, hot boolean"), "signatures")
-    hot = shared.filter("hot").select("sig", "cls", "role").distinct()
-    often = hot.groupBy("sig").agg(F.count("*").alias("often"))
-    ranked = hot.filter(F.col("role") != SMALLEST).join(often, "sig").groupBy("cls", "role").agg(
-        F.array_sort(F.collect_list(F.struct("often", "sig"))).alias("hot"))
+    plain = F.col("role") != SMALLEST
+    limits = classes.select("cls", "n", "spare0", "spare1")
+    spare = F.when(F.col("role") == HOME, F.col("spare0")).otherwise(F.col("spare1"))
+    rows = shared.filter("not hot").drop("hot").union(shared.filter("hot").drop("hot").distinct())
+    for _ in range(PRUNINGS):
+        # A link agrees on more than ``spare`` cells that are not empty, so a class that shares no more has none.
+        live = rows.filter(plain).groupBy("cls", "role").agg(F.count("*").alias("shares")).join(limits, "cls") \
+            .filter(F.col("shares") > spare).select("cls", "role")
+        rows = rows.filter(plain).join(live, ["cls", "role"], "left_semi").select("sig", "cls", "role") \
+            .union(rows.filter(~plain).select("sig", "cls", "role"))
+        often = rows.groupBy("sig").agg(F.count("*").alias("often")).filter("often > 1")
+        rows = cut_lineage(rows.join(often, "sig").select("sig", "cls", "role", "often"), "pruned")
     # A class may leave out its r most frequent cells; the empty ones are already taken off ``spare``.
-    spare = F.greatest(F.when(F.col("role") == HOME, F.col("spare0")).otherwise(F.col("spare1")), F.lit(0)).cast("int")
-    ranked = ranked.join(classes, "cls").select("cls", F.explode(F.slice(
-        "hot", F.lit(1), F.greatest(F.size("hot") - spare, F.lit(0)))).alias("h")).select("h.sig", "cls")
-    kept = shared.filter("not hot").select("sig", "cls").union(ranked) \
-        .union(hot.filter(F.col("role") == SMALLEST).select("sig", "cls"))
-    return cut_lineage(kept.join(classes.select("cls", "n"), "cls").select("sig", "cls", "n"), "members")
+    ranked = rows.filter(plain).groupBy("cls", "role").agg(
+        F.array_sort(F.collect_list(F.struct("often", "sig"))).alias("cells")).join(limits, "cls")
+    left = F.greatest(F.size("cells") - F.greatest(spare, F.lit(0)).cast("int"), F.lit(0))
+    must = ranked.select(F.explode(F.slice("cells.sig", F.lit(1), left)).alias("sig"), "cls", "role", "n",
+                         F.size("cells").alias("shares"))
+    least = rows.filter(~plain).join(classes.select("cls", "n"), "cls").select(
+        "sig", "cls", "role", "n", F.lit(0).alias("shares"))
+    kept = must.union(least)
+    often = kept.groupBy("sig").agg(F.count("*").alias("k")).filter("k > 1").select("sig")
+    return cut_lineage(kept.join(often, "sig"), "members")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -275,6 +303,11 @@ def _near(percent: int, a: str, b: str):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _meets(a, b):
+    """Whether a pair with these roles is looked for in this band: one of the two is at home there."""
+    return (a != PROBE) | (b != PROBE)
+
+
 def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(cls, comp) for the classes that link with another one."""
     members = _members(docs, classes, shingle, percent)
@@ -282,14 +315,18 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
 
     def sets(batches):
         for batch, found in _sets(batches, 1, shingle):
-            same = found.classes.view(np.int64) == batch.column(0).to_numpy()
-            for row in np.flatnonzero(same).tolist():
-                one = found.hashes[found.bounds[row]:found.bounds[row + 1]].view(np.int64)
+            same = np.flatnonzero(found.classes.view(np.int64) == batch.column(0).to_numpy()).tolist()
+            if same:
+                bits = [[found.sketch(row, int(band[row]), percent) for row in same]
+                        for _, band, _, _ in found.families(percent)]
+                whole = [found.hashes[found.bounds[row]:found.bounds[row + 1]].view(np.int64) for row in same]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, 1), pa.array([one], pa.list_(pa.int64()))], names=["cls", "shingles"])
+                    [batch.column(0).take(pa.array(same)), *(pa.array(x, pa.list_(pa.int64())) for x in (whole, *bits))],
+                    names=["cls", "shingles", "bits0", "bits1"])
 
     texts = docs.join(wanted, (docs["key"] == wanted["key"]) & docs["id"].eqNullSafe(wanted["id"]))
-    found = texts.select(wanted["cls"], docs["text"]).mapInArrow(sets, "cls long, shingles array<long>")
+    found = texts.select(wanted["cls"], docs["text"]).mapInArrow(
+        sets, "cls long, shingles array<long>, bits0 array<long>, bits1 array<long>")
     found = cut_lineage(found.dropDuplicates(["cls"]), "sets")
 
     comps = members.select("cls").distinct().select("cls", F.col("cls").alias("comp"))
@@ -312,9 +349,12 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
 
     for turn in range(STAR_ROUNDS):
         left = cut_lineage(open_groups(comps), "open")
+        # First the member that shares most, which tends to be the text that others are copies of, then any.
+        order = F.lit(0) if turn else -F.col("shares")
         centre = left.groupBy("sig").agg(F.min(F.struct(
-            F.xxhash64("cls", F.lit(turn)).alias("o"), "cls", "n", "comp")).alias("c"))
-        star = left.join(centre, "sig").filter((F.col("comp") != F.col("c.comp")) & _near(percent, "n", "c.n"))
+            order.alias("o"), F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "role", "n", "comp")).alias("c"))
+        star = left.join(centre, "sig").filter((F.col("comp") != F.col("c.comp")) & _near(percent, "n", "c.n")
+                                               & _meets(F.col("role"), F.col("c.role")))
         pairs = star.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -327,11 +367,17 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
         if 100 * n_links < pairs.count():
             break
 
-    left = cut_lineage(open_groups(comps), "open")
-    x = left.select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = left.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    rest = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(percent, "na", "nb"))
-    rest = cut_lineage(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    # What is left of the groups, pair by pair; the bits that differ are a lower bound of the symmetric difference.
+    bits = F.when(F.col("role") == HOME, F.col("bits0")).when(F.col("role") == PROBE, F.col("bits1"))
+    left = cut_lineage(open_groups(comps), "open").join(found.drop("shingles"), "cls").withColumn("bits", bits)
+    x, y = (left.select("sig", *(F.col(c).alias(f"{side}_{c}") for c in ("cls", "role", "n", "comp", "bits"))) for side in "ab")
+    allowed = F.floor((F.col("a_n") + F.col("b_n")) * (100 - percent) / (100 + percent))
+    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+    rest = x.join(y, "sig").filter(
+        (F.col("a_cls") < F.col("b_cls")) & (F.col("a_comp") != F.col("b_comp")) & _near(percent, "a_n", "b_n")
+        & _meets(F.col("a_role"), F.col("b_role")) & ((differ <= allowed) | (F.col("a_role") == SMALLEST)))
+    rest = rest.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
+    rest = cut_lineage(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     links = cut_lineage(_verified(rest, found, percent), "links")
     return joined(comps, links) if not links.isEmpty() else comps
 
@@ -350,11 +396,12 @@ def cluster(docs: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE,
                        F.col("text").cast("string").alias("text"))
     placed = cut_lineage(rows.select("id", "key", "text").mapInArrow(
         _classify(shingle, percent),
-        f"id {rows.schema['id'].dataType.simpleString()}, key long, cls long, n long, spare0 long, spare1 long"), "docs")
+        f"id {rows.schema['id'].dataType.simpleString()}, key long, cls long, n long, spare0 long, "
+        "spare1 long"), "docs")
+    of_class = ("n", "spare0", "spare1")
     classes = cut_lineage(placed.filter("n > 0").groupBy("cls").agg(
-        F.min("id").alias("least"), F.min(F.struct("id", "key")).alias("rep"), F.first("n").alias("n"),
-        F.first("spare0").alias("spare0"), F.first("spare1").alias("spare1"))
-        .select("cls", "least", "rep.id", "rep.key", "n", "spare0", "spare1"), "classes")
+        F.min("id").alias("least"), F.min(F.struct("id", "key")).alias("rep"), *(F.first(c).alias(c) for c in of_class))
+        .select("cls", "least", "rep.id", "rep.key", *of_class), "classes")
     comps = class_components(rows, classes.drop("least"), shingle, percent)
     roots = classes.select("cls", "least").join(comps, "cls", "left") \
         .select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
