@@ -34,34 +34,43 @@ def test_whole_table(spark, documents):
 
 def em(patterns):
     """The same model by plain loops over (votes, count) rows."""
-    names = list(q.RULES)
-    good, acc = 0.8, {r: q.PRIOR_ACCURACY for r in names}
+    names, model = list(q.RULES), q.start_model()
     for _ in range(q.ROUNDS):
-        total = gs = 0.0
-        right, cast = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0)
+        sums = {"n": 0, "good": 0.0, **{f"{c}_{r}": 0.0 for c in ("gg", "gb", "bg", "bb") for r in names}}
         for votes, n in patterns:
-            odds = math.log(good / (1 - good)) + sum(v * math.log(acc[r] / (1 - acc[r])) for r, v in zip(names, votes))
-            p = 1 / (1 + math.exp(-odds))
-            total, gs = total + n, gs + n * p
+            good, bad = model.good, 1 - model.good
             for r, v in zip(names, votes):
                 if v:
-                    cast[r] += n
-                    right[r] += n * (p if v > 0 else 1 - p)
-        before = good, dict(acc)
-        good = min(0.98, max(0.02, gs / total))
-        acc = {r: min(0.99, max(0.55, (right[r] + q.PRIOR_VOTES * q.PRIOR_ACCURACY) / (cast[r] + q.PRIOR_VOTES))) for r in names}
-        if max(abs(good - before[0]), *(abs(acc[r] - before[1][r]) for r in names)) < q.TOLERANCE:
+                    good *= model.on_good[r] if v > 0 else 1 - model.on_good[r]
+                    bad *= 1 - model.on_bad[r] if v > 0 else model.on_bad[r]
+            p = good / (good + bad)
+            sums["n"] += n
+            sums["good"] += n * p
+            for r, v in zip(names, votes):
+                if v:
+                    sums[("gg_" if v > 0 else "gb_") + r] += n * p
+                    sums[("bg_" if v > 0 else "bb_") + r] += n * (1 - p)
+        before, model = model, q.updated(sums)
+        if max(abs(before.good - model.good), *(abs(x[r] - y[r]) for r in names for x, y in (
+                (before.on_good, model.on_good), (before.on_bad, model.on_bad)))) < q.TOLERANCE:
             break
-    return good, acc
+    return model
 
 
 def test_em_against_loops(spark):
     patterns = q.patterns_of(q.with_features(spark.read.parquet(f"{SF}/documents.parquet"), {f: f for f in q.FEATURES}),
                              {f: F.col(f) for f in q.FEATURES})
-    model = q.fit(patterns)
-    good, acc = em([(tuple(r)[:-1], r.n) for r in patterns.collect()])
-    assert abs(model.good - good) < 1e-9
-    assert all(abs(model.accuracy[r] - acc[r]) < 1e-9 for r in acc)
+    model, other = q.fit(patterns), em([(tuple(r)[:-1], r.n) for r in patterns.collect()])
+    assert abs(model.good - other.good) < 1e-6
+    assert all(abs(model.on_good[r] - other.on_good[r]) < 1e-6 and abs(model.on_bad[r] - other.on_bad[r]) < 1e-6 for r in q.RULES)
+
+
+def test_labelled_junk_goes_and_labelled_prose_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = q.judge(docs.select("doc_id", "text")).filter("not base_failed").join(labels, "doc_id").collect()
+    good, bad = ([r.kept for r in rows if r.quality == x] for x in (1, 0))
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.3 * len(bad)
 
 
 def test_junk_goes_and_prose_stays(spark):

@@ -1,7 +1,8 @@
 """Quality rules by weak supervision: rules vote or abstain, EM finds how far to trust each, a posterior decides.
 
-Every rule votes good (1), bad (-1) or abstains (0). The model is one-coin: a rule that votes is right with its own
-accuracy, independent of the others given the true class. EM runs on the table of vote patterns with their counts, which
+Every rule votes good (1), bad (-1) or abstains (0). A rule that votes is right with one accuracy on good documents and
+another on bad ones, independent of the other rules given the class: most rules see one kind of junk, so their bad
+votes say much and their good votes little. EM runs on the table of vote patterns with their counts, which
 has at most 3 ** len(RULES) rows whatever the size of the corpus; an iteration is one aggregate over that table, and the
 driver holds its single row of sums. All documents count. The posterior of a document is then a plain column
 expression. Everything is DataFrame functions.
@@ -20,10 +21,14 @@ from tidemill.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_letters",
-            "n_upper")
+            "n_upper", "n_bare", "n_noise", "n_common")
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 ROUNDS, TOLERANCE = 60, 1e-6
-PRIOR_VOTES, PRIOR_ACCURACY, KEEP = 20.0, 0.8, 0.5
+PRIOR_VOTES, ON_GOOD, ON_BAD, SHARE_GOOD, KEEP = 20.0, 0.97, 0.5, 0.9, 0.1
+
+#: Frequent short words of English, German, French and Spanish, which running text cannot do without.
+COMMON = """the of and to in that is for on with der die und den das von zu mit des im de la le les et un une que en
+    el los las del por se y""".split()
 
 #: name: (measure, divisor, bad below, good from, good up to, bad above); None: no such bound. Between them: abstain.
 RULES = {
@@ -33,8 +38,11 @@ RULES = {
     "repeated_lines": ("n_dup_lines", "n_lines", None, None, 0.1, 0.3),
     "repeated_words": ("n_repeat_words", "n_words", None, None, 0.15, 0.3),
     "line_ends": ("n_ended", "n_lines", 0.12, 0.5, None, None),
-    "letters": ("n_letters", "word_chars", 0.6, 0.8, None, None),
+    "letters": ("n_letters", "word_chars", 0.7, 0.85, None, None),
     "capitals": ("n_upper", "n_letters", None, None, 0.15, 0.4),
+    "bare_words": ("n_bare", "n_words", None, None, 0.1, 0.3),
+    "noise": ("n_noise", "n_words", None, None, 0.05, 0.2),
+    "common_words": ("n_common", "n_words", 0.04, 0.1, None, None),
 }
 
 
@@ -90,6 +98,10 @@ def with_features(docs: DataFrame, names: dict[str, str]) -> DataFrame:
         "n_ended": F.size(F.filter(col(lines), lambda x: x.rlike(r"[.!?:;\"'”…)][\x20\x09-\x0D]*\z"))),
         "n_letters": F.length(F.regexp_replace(squeezed, r"\P{L}+", "")),
         "n_upper": F.length(F.regexp_replace(squeezed, r"\P{Lu}+", "")),
+        # Words without a letter, and runs of signs.
+        "n_bare": F.regexp_count(col(text), F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]++(?![^\x20\x09-\x0D])")),
+        "n_common": F.regexp_count(col(text), F.lit(rf"(?i)(?<!\p{{L}})(?:{'|'.join(COMMON)})(?!\p{{L}})")),
+        "n_noise": F.regexp_count(col(text), F.lit(r"[^\x20\x09-\x0D\p{L}\p{N}]{2,}+")),
     }
     return base.select(*own, *(F.coalesce(values[f], F.lit(0)).cast("long").alias(names[f]) for f in FEATURES))
 
@@ -112,46 +124,64 @@ def votes(feature: dict[str, Column]) -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class Model:
-    """Share of good documents and the accuracy of each rule."""
+    """Share of good documents, and each rule's accuracy on good and on bad ones."""
 
     good: float
-    accuracy: dict[str, float]
+    on_good: dict[str, float]
+    on_bad: dict[str, float]
 
     def posterior(self, vote: dict[str, Column]) -> Column:
         """P(good | votes)."""
         odds = F.lit(math.log(self.good / (1 - self.good)))
-        for name, a in self.accuracy.items():
-            odds = odds + vote[name] * F.lit(math.log(a / (1 - a)))
+        for name, v in vote.items():
+            a, b = self.on_good[name], self.on_bad[name]
+            odds = odds + F.when(v > 0, math.log(a / (1 - b))).when(v < 0, math.log((1 - a) / b)).otherwise(0.0)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
+def start_model() -> Model:
+    return Model(SHARE_GOOD, dict.fromkeys(RULES, ON_GOOD), dict.fromkeys(RULES, ON_BAD))
+
+
 def fit(patterns: DataFrame) -> Model:
     """EM on ``patterns``: a column for each rule's vote, and the count ``n`` of documents with those votes.
 
-    An accuracy starts at ``PRIOR_ACCURACY`` and is drawn there with the weight of ``PRIOR_VOTES`` votes; it stays within
-    0.55 and 0.99, so no rule can turn round. No documents, or none with a vote, leave the start values.
+    Accuracies start at ``ON_GOOD`` and ``ON_BAD`` and are drawn there with the weight of ``PRIOR_VOTES`` votes. A rule is
+    right on good documents more often than it is wrong on bad ones, so no rule can turn round. No documents, or none
+    with a vote, leave the start values.
     """
-    model = Model(0.8, dict.fromkeys(RULES, PRIOR_ACCURACY))
+    model = start_model()
     vote = {name: F.col(name) for name in RULES}
     for _ in range(ROUNDS):
-        q = model.posterior(vote)
-        sums = patterns.withColumn("q", q).agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("q")).alias("good"),
-            *(F.sum(F.when(v != 0, F.col("n"))).alias(f"votes_{r}") for r, v in vote.items()),
-            *(F.sum(F.when(v > 0, F.col("n") * F.col("q")).when(v < 0, F.col("n") * (1 - F.col("q")))).alias(f"right_{r}")
-              for r, v in vote.items())).first()
+        good, bad = F.col("n") * F.col("q"), F.col("n") * (1 - F.col("q"))
+        sums = patterns.withColumn("q", model.posterior(vote)).agg(
+            F.sum("n").alias("n"), F.sum(good).alias("good"),
+            *(F.sum(F.when(v > 0, good)).alias(f"gg_{r}") for r, v in vote.items()),
+            *(F.sum(F.when(v < 0, good)).alias(f"gb_{r}") for r, v in vote.items()),
+            *(F.sum(F.when(v > 0, bad)).alias(f"bg_{r}") for r, v in vote.items()),
+            *(F.sum(F.when(v < 0, bad)).alias(f"bb_{r}") for r, v in vote.items())).first()
         if not sums["n"]:
             return model
-        accuracy = {r: min(0.99, max(0.55, ((sums[f"right_{r}"] or 0.0) + PRIOR_VOTES * PRIOR_ACCURACY)
-                                     / ((sums[f"votes_{r}"] or 0) + PRIOR_VOTES))) for r in RULES}
-        good = min(0.98, max(0.02, sums["good"] / sums["n"]))
-        moved = max(abs(good - model.good), *(abs(accuracy[r] - model.accuracy[r]) for r in RULES))
-        model = Model(good, accuracy)
+        after = updated(sums.asDict())
+        moved = max(abs(after.good - model.good), *(abs(x[r] - y[r]) for r in RULES for x, y in (
+            (after.on_good, model.on_good), (after.on_bad, model.on_bad))))
+        model = after
         if moved < TOLERANCE:
             break
     return model
 
 
+def updated(sums: dict[str, float]) -> Model:
+    """The model of one M-step from the expected counts."""
+    def accuracy(right: str, wrong: str, prior: float, low: float, high: float) -> float:
+        a, b = sums[right] or 0.0, sums[wrong] or 0.0
+        return min(high, max(low, (a + PRIOR_VOTES * prior) / (a + b + PRIOR_VOTES)))
+
+    on_good = {r: accuracy(f"gg_{r}", f"gb_{r}", ON_GOOD, 0.8, 0.9999) for r in RULES}
+    on_bad = {r: accuracy(f"bb_{r}", f"bg_{r}", ON_BAD, 1.25 * (1 - on_good[r]), 0.99) for r in RULES}
+    return Model(min(0.98, max(0.02, sums["good"] / sums["n"])), on_good, on_bad)
+
+
 def patterns_of(rows: DataFrame, feature: dict[str, Column]) -> DataFrame:
     """Vote patterns with their counts, as a small table of one file."""
     counted = rows.select(*(v.alias(r) for r, v in votes(feature).items())).groupBy(*RULES).agg(F.count("*").alias("n"))
