@@ -59,3 +59,56 @@ sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 walk AS (SELECT doc_id, doc_id AS r FROM s UNION SELECT walk.doc_id, sym.b FROM walk JOIN sym ON sym.a = walk.r)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.r AS component_id
 FROM s JOIN (SELECT doc_id, min(r) AS r FROM walk GROUP BY 1) m USING (doc_id)"""
+
+
+def _spans(kind: str, place: int, pattern: str, good: str) -> str:
+    """List of {s, o, e, k} of the matches m of ``pattern`` in t for which ``good`` holds; places in code points."""
+    quoted = pattern.replace("'", "''")
+    found, gaps = f"regexp_extract_all(t, '{quoted}')", f"string_split_regex(t, '{quoted}')"
+    at = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0)"
+    return f"""(SELECT list_transform(list_filter(list_transform(range(1, len(f) + 1), lambda i: {{'s': {at}, 'm': f[i]}}),
+        lambda x: {good.format(m='x.m')}), lambda x: {{'s': x.s::BIGINT, 'o': {place}, 'e': (x.s + length(x.m))::BIGINT, 'k': '{kind}'}})
+        FROM (SELECT {found} AS f, {gaps} AS g))"""
+
+
+_DIGITS = "regexp_replace({m}, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j: [
+    CAST(substr(reverse({_DIGITS}), j, 1) AS INTEGER), [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(substr(reverse({_DIGITS}), j, 1) AS INTEGER) + 1]
+    ][(j - 1) % 2 + 1])) % 10 = 0"""
+_PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max(list_transform(string_split({m}, '.'), lambda p: CAST(p AS HUGEINT))) <= 255"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+]
+_SECRETS = [
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
+     r"""length(regexp_extract({m}, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 12"""),
+    ("access", r"AKIA[A-Z0-9]+", "length({m}) >= 18"),
+    ("hex", r"[0-9a-f]+", "length({m}) >= 16"),
+]
+
+
+def _span_sql(kinds: list, order: str, more: str = "") -> str:
+    lists = ", ".join(f"{_spans(k, i, p, good)} AS {k}" for i, (k, p, good) in enumerate(kinds))
+    every = " || ".join(k for k, _, _ in kinds)
+    text = "array_to_string(list_transform({0}, lambda x: x.k || ':' || x.s || ':' || x.e), ',')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    s AS (SELECT doc_id, {lists} FROM d), l AS (SELECT *, {order.format(every)} AS spans FROM s)
+    SELECT doc_id, {', '.join(f'len({k})::BIGINT AS n_{k}' for k, _, _ in kinds)},
+           sha256({text.format('spans')}) AS base_sha256, {text.format('spans')} AS spans FROM l"""
+
+
+# The kinds that the methods add do not occur in the given tables; their rules are tested on fixtures.
+SQL["op3_pii"] = _span_sql(_PII, "({0})")
+SQL["op5_secret_scan"] = _span_sql(_SECRETS, "list_sort({0})")
+
+# The text of the given pages stands in one article element, in which blocks are h1 and p.
+SQL["op10_html_text"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|<footer)', 1) AS x FROM pages),
+b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(x, '</?(?:p|h1|br)>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)) AS x FROM a),
+c AS (SELECT page_id, url, list_transform(x, lambda y: trim(regexp_replace(
+    replace(replace(replace(replace(replace(replace(y, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&lt;', '<'),
+            '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS x FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(x, lambda y: y <> ''), ' ') AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
