@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,14 +18,14 @@ def table(spark, data):
     return spark.createDataFrame(data, "k int, v string, batch string")
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_merge_statistics(spark, rows, small):
+@pytest.mark.parametrize("whole", [False, True])
+def test_merge_statistics(spark, rows, whole):
     target = table(spark, [(1, "a", "t"), (2, "b", "t"), (9, "z", "t")])
     delta = table(spark, [(1, "a", "d"), (2, "B", "d"), (3, "c", "d")])
-    merged = mg.merge(target, delta, ["k"], skip=["batch"], small=small)
+    merged = mg.merge(target, delta, ["k"], [F.desc("batch")], skip=["batch"], whole=whole)
     assert rows(merged) == [(1, "a", "t", "unchanged"), (2, "B", "d", "update"), (3, "c", "d", "insert"), (9, "z", "t", "kept")]
-    assert tuple(mg.merge_stats(merged, delta).first()) == (3, 1, 1, 1, 2)
-    again = mg.merge(merged.drop("_action"), delta, ["k"], skip=["batch"], small=small)
+    assert tuple(mg.merge_stats(merged).first()) == (3, 1, 1, 1, 2)
+    again = mg.merge(merged.drop("_action"), delta, ["k"], [F.desc("batch")], skip=["batch"], whole=whole)
     assert rows(again, "k", "v", "batch") == rows(merged, "k", "v", "batch")
     assert again.filter("_action IN ('insert', 'update')").count() == 0
 
@@ -35,21 +36,61 @@ def test_merge_takes_one_row_per_key(spark, rows):
     assert rows(merged) == [(1, "new", "e", "update")]
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_upsert_keeps_the_count(spark, small):
+def test_upsert_keeps_the_count(spark):
     target = spark.range(2000).select(F.col("id").cast("int").alias("k"), F.lit("a").alias("v"), F.lit("t").alias("batch"))
     delta = target.filter("k < 10").withColumn("v", F.lit("b"))
-    once = mg.upsert(target, delta, ["k"], small)
+    once = mg.upsert(target, delta, ["k"])
     assert once.count() == 2000 and once.filter("v = 'b'").count() == 10
     assert mg.upsert(once, delta, ["k"]).exceptAll(once).count() == 0
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_insert_ignore_keeps_the_first(spark, rows, small):
-    got = mg.insert_ignore(table(spark, [(1, "a", "t")]), table(spark, [(1, "b", "d"), (2, "q", "d"), (2, "p", "d")]), ["k"], small=small)
+def test_insert_ignore_keeps_the_first(spark, rows):
+    delta = table(spark, [(1, "b", "d"), (2, "q", "d"), (2, "p", "d")])
+    got = mg.insert_ignore(table(spark, [(1, "a", "t")]), delta, ["k"], mg.full_order(delta))
     assert rows(got) == [(1, "a", "t"), (2, "p", "d")]
 
 
+def test_statistics_count_a_repeated_key_once(spark):
+    delta = spark.createDataFrame([(1, "z-old", 1), (1, "a-first", 2), (1, "same", 3), (2, "new", 4), (2, "newer", 5)], "k int, v string, seq int")
+    target = spark.createDataFrame([(1, "same", 0), (3, "other", 0)], "k int, v string, seq int")
+    merged = mg.merge(target, delta, ["k"], [F.desc("seq")], skip=["seq"])
+    assert {r.k: (r.v, r._action) for r in merged.collect()} == {1: ("same", "unchanged"), 2: ("newer", "insert"), 3: ("other", "kept")}
+    assert tuple(mg.merge_stats(merged).first()) == (2, 1, 0, 1, 1)
+
+
+def test_replace_takes_the_last_row_of_a_key(spark, rows):
+    delta = table(spark, [(1, "z", "1"), (1, "a", "2"), (1, "m", "3")])
+    assert rows(mg.insert_or_replace(table(spark, [(1, "x", "0")]), delta, ["k"], [F.desc("batch")])) == [(1, "m", "3")]
+
+
+def test_upsert_without_a_key_replaces_by_the_primary_key(spark, rows):
+    delta = table(spark, [(1, "z", "1"), (1, "a", "2")])
+    target = table(spark, [(1, "x", "0"), (2, "y", "0")])
+    for keys in ([], ["absent"]):
+        assert rows(mg.upsert(target, delta, keys, ["k"], [F.desc("batch")])) == [(1, "a", "2"), (2, "y", "0")]
+    with pytest.raises(ValueError):
+        mg.upsert(target, delta, [])
+
+
+def test_small_and_large_changes_of_a_double_are_updates(spark):
+    values = [0.0, 1.0, 1e33, float("nan"), None]
+    target = spark.createDataFrame(list(enumerate(values)), "k int, v double")
+    delta = spark.createDataFrame(list(enumerate([1e-8, 1.0, 1.0000001e33, float("nan"), float("nan")])), "k int, v double")
+    merged = mg.merge(target, delta, ["k"], [F.col("v")])
+    assert {r.k: r._action for r in merged.collect()} == {0: "update", 1: "unchanged", 2: "update", 3: "unchanged", 4: "update"}
+    keys = target.select(mg.surrogate_key(target, ["v"]).alias("h"))
+    assert keys.distinct().count() == 5
+
+
+def test_the_hash_on_the_target_is_used_and_kept(spark):
+    delta = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    target = delta.withColumn("_ROW_HASH", mg.row_hash(delta))
+    target = target.withColumn("_ROW_HASH", F.when(F.col("k") == 1, F.lit("stale")).otherwise(F.col("_ROW_HASH")))
+    merged = mg.merge(target, delta, ["k"], [F.col("v")])
+    assert {r.k: r._action for r in merged.collect()} == {1: "update", 2: "unchanged"}
+    assert merged.select("k", "v", "_ROW_HASH").exceptAll(delta.withColumn("_ROW_HASH", mg.row_hash(delta))).isEmpty()
+
+
 def test_surrogate_key_joins_null_and_empty(spark):
     df = spark.createDataFrame([(1, None), (1, "")], "a int, b string")
     assert df.select(mg.surrogate_key(df).alias("h")).distinct().count() == 1
@@ -96,11 +137,21 @@ def test_versioned_table(spark, tmp_path):
 
 def test_watermark_round_trip(spark, tmp_path):
     store = sinks.WatermarkStore(spark, str(tmp_path / "w"), create=True)
+    now = dt.datetime(2024, 6, 1)
     assert store.get("f", "t") is None
     for day in (1, 2):
-        store.set("f", "t", "at", dt.datetime(2024, 1, day))
-    store.set("g", "t", "at", dt.datetime(2024, 5, 5))
+        store.set("f", "t", "at", dt.datetime(2024, 1, day), now)
+    store.set("g", "t", "at", dt.datetime(2024, 5, 5), now)
     assert store.get("f", "t") == dt.datetime(2024, 1, 2) and store.all().count() == 2
+    assert store.marks("timestamp_ntz").agg(F.max("value")).first()[0] == dt.datetime(2024, 5, 5)
+
+
+@pytest.mark.parametrize("value", [42, 10**15, "z9", 2.5, dt.date(2024, 2, 3), Decimal("12.500000000000000000")])
+def test_watermark_of_any_type(spark, tmp_path, value):
+    store = sinks.WatermarkStore(spark, str(tmp_path / "w"), create=True)
+    store.set("f", "t", "c", value, dt.datetime(2024, 6, 1))
+    assert store.get("f", "t") == value and type(store.get("f", "t")) is type(value)
+    assert store.all().first().updated_at == dt.datetime(2024, 6, 1)
 
 
 def test_strictly_after_the_mark(spark):

@@ -8,6 +8,7 @@ from tidemill.operators import isolation_forest as iso
 from tidemill.operators import lineage as ln
 from tidemill.operators import retrieval as rt
 from tidemill.operators import run_model as rm
+from tidemill.plans import build
 
 
 def test_forest_finds_far_points_and_is_reproducible(spark):
@@ -72,3 +73,58 @@ def test_reach_handles_cycles_and_shortest_depth(spark, rows):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("c", "d"), ("x", "y")], "src string, dst string")
     seeds = spark.createDataFrame([("a",), ("x",)], "seed string")
     assert rows(ln.reach(seeds, edges)) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("x", "y", 1)]
+
+
+def test_a_deep_chain_is_followed_to_its_end(spark):
+    edges = spark.range(40).selectExpr("concat('n', id) AS src", "concat('n', id + 1) AS dst")
+    seeds = spark.createDataFrame([("n0",)], "seed string")
+    found = ln.reach(seeds, edges)
+    assert found.count() == 40 and found.agg(F.max("depth")).first()[0] == 40
+    with pytest.raises(RecursionError):
+        ln.reach(seeds, edges, guard=5)
+
+
+def test_models_come_after_what_they_read():
+    order = build.build_order()
+    assert len(order) == len(build.MODELS) == 17
+    place = {name: i for i, name in enumerate(order)}
+    assert all(place[r] < place[name] for name, (_, reads) in build.MODELS.items() for r in reads if r in place)
+    with pytest.raises(Exception, match="cycle"):
+        build.build_order({"a": (None, ["b"]), "b": (None, ["a"])})
+
+
+@pytest.mark.parametrize("rows", [100, 512, 2000, 60_000])
+def test_every_tree_draws_from_all_rows(spark, rows):
+    df = spark.range(rows).select("id", F.col("id").cast("double").alias("x")).repartition(3)
+    drawn = iso.draw(df, "id", 20, 256, 7)
+    sizes = {r.tree: r.n for r in drawn.groupBy("tree").agg(F.count("*").alias("n")).collect()}
+    assert sizes == dict.fromkeys(range(20), min(256, rows))
+    assert drawn.select("tree", "id").distinct().count() == drawn.count()
+    again = iso.draw(df.repartition(5), "id", 20, 256, 7)
+    assert sorted(map(tuple, again.select("tree", "id").collect())) == sorted(map(tuple, drawn.select("tree", "id").collect()))
+    if rows > 20 * 256:
+        assert drawn.select("id").distinct().count() > 15 * 256
+
+
+def test_nearest_items_are_kept_per_task(spark):
+    rng = np.random.default_rng(3)
+    items = [(i, rng.normal(size=4).tolist(), None, i % 7 == 0) for i in range(3000)] + [(9000, None, None, False), (9001, [], None, False)]
+    store = spark.createDataFrame(items, "item_id long, embedding array<double>, tag string, deprecated boolean").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0], None), (2, None, None), (3, [0.0, 1.0, 1.0, 0.0], None)],
+                                    "query_id long, embedding array<double>, tag string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        one_task = rt._by_broadcast(queries.filter("embedding is not null"), store.filter("size(embedding) > 0").drop("deprecated"), 5, 2.0)
+        assert one_task.count() == 2 * 5
+        found = rt.recall(queries, store, k=5, max_distance=2.0)
+        blocks = rt.recall(queries, store, k=5, max_distance=2.0, max_queries=1, block_rows=500)
+        rows = sorted((r.query_id, r.rank, r.item_id) for r in found.collect())
+        assert rows == sorted((r.query_id, r.rank, r.item_id) for r in blocks.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    unit = np.array([v for _, v, _, old in items if v and not old])
+    ids = np.array([i for i, v, _, old in items if v and not old])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for q_id, v in ((1, [1.0, 0, 0, 0]), (3, [0, 1.0, 1, 0])):
+        d = 1 - unit @ (np.array(v) / np.linalg.norm(v))
+        assert [r[2] for r in rows if r[0] == q_id] == ids[np.lexsort((ids, np.round(d, 9)))[:5]].tolist()

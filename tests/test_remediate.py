@@ -30,7 +30,7 @@ FIXES = {
     "data_quality": fx.data_quality,
     "connection": fx.connection,
     "volume": fx.volume,
-    "timeout": fx.timeout,
+    "timeout": lambda df: fx.timeout(df, 500_000),
     "logic": fx.logic,
     "rate_limit": lambda df: fx.rate_limit(df, ["id", "amount", "note"]),
     "cdc_lag": lambda df: fx.cdc_lag(df, "id", "event_time"),

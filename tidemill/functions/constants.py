@@ -298,3 +298,13 @@ INSIGHTS = [
     ("E-commerce order volume trend", "Monthly order volume of {eco_ord} units. Monitor for seasonal patterns and demand shifts.", "info", "{eco_ord} orders", "30d", "marts.fct_ecommerce_summary"),
     ("Cost optimization savings tracked", "Query optimizer has identified savings opportunities. Review optimization history for details.", "opportunity", "cost savings", "30d", "public.query_optimizations"),
 ]
+
+# Weak labels of failed runs in test order (label, measure, comparison, bound); a failed run that meets none
+# is OTHER_FAILURE and a run that did not fail is NO_FAILURE. Codes of source types are their places.
+WEAK_LABELS = [
+    ("ZERO_LOAD", "loaded", "<", 10),
+    ("PIPELINE_DELAY", "duration", ">", 600),
+    ("NULL_SPIKE", "failed", ">", 10),
+]
+OTHER_FAILURE, NO_FAILURE = "CONSECUTIVE_FAILURES", "NORMAL"
+DEFAULT_TRAINING_SECONDS = 120

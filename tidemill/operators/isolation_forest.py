@@ -1,8 +1,8 @@
 """Isolation forest: trees grown in parallel on small samples, rows scored where they are.
 
-A bounded pool of rows (chosen by content hash) is the only data the trees see; each tree takes its
-subsample from the pool by a hash of row and tree, so a forest is reproducible. The grown forest has
-at most TREES * 2 * SUBSAMPLE nodes and travels to the tasks as arrays.
+Every tree draws its subsample from all rows by hashes of row and draw, in one pass for all trees, so a
+forest is reproducible. The grown forest has at most TREES * 2 * SUBSAMPLE nodes and travels to the
+tasks as arrays.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemill.functions.ordered import exact_percentiles, exact_sample
+from tidemill.functions.ordered import exact_percentiles
 from tidemill.session import cut_lineage
 
 # Task code travels with its functions, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TREES, SUBSAMPLE, POOL_ROWS = 200, 256, 8_192
+TREES, SUBSAMPLE = 200, 256
 CONTAMINATION = 0.08
 _NODES = "tree int, rows int, node int, feature int, threshold double, child int, path double"
 EULER = 0.5772156649015329
@@ -86,13 +86,29 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int
     return nodes
 
 
-def fit(df: DataFrame, columns: list[str], key: str, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 42) -> Forest:
-    pool = exact_sample(df.select(key, *columns), POOL_ROWS)
-    ids = df.sparkSession.range(trees).select(F.col("id").cast("int").alias("tree"))
-    # Bounded on both sides: POOL_ROWS rows by a fixed number of trees.
-    draws = pool.crossJoin(F.broadcast(ids))
+def draw(df: DataFrame, key: str, trees: int, subsample: int, seed: int) -> DataFrame:
+    """``df`` with ``tree``: ``subsample`` rows for each tree, or all rows where there are no more.
+
+    A row takes part in as many draws as it takes for twice the wanted number; each picks a tree by hash. So what is
+    shuffled is about twice the samples, whatever the size of ``df``.
+    """
+    n = df.count()
+    wanted = 2 * trees * subsample
+    if n <= 2 * subsample:
+        drawn = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    else:
+        per_row = -(-wanted // n)
+        share = F.pmod(F.xxhash64(key, "_draw", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+        drawn = df.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(per_row - 1)))) \
+            .filter(share < wanted / (n * per_row)) \
+            .withColumn("tree", F.pmod(F.xxhash64(F.lit(seed), "_draw", key), F.lit(trees)).cast("int")) \
+            .dropDuplicates([key, "tree"]).drop("_draw")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.xxhash64(key, "tree", F.lit(seed)), key))
-    samples = draws.withColumn("_rn", rank).filter(F.col("_rn") <= subsample).select("tree", key, *columns)
+    return drawn.withColumn("_rn", rank).filter(F.col("_rn") <= subsample).drop("_rn")
+
+
+def fit(df: DataFrame, columns: list[str], key: str, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 42) -> Forest:
+    samples = draw(df.select(key, *columns), key, trees, subsample, seed)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)

@@ -35,8 +35,8 @@ def daily_incidents(incidents: DataFrame, as_of: Column, days: int = 7) -> DataF
         "date", F.date_format("day", "MMM dd"))
 
 
-def sla_by_flow(runs: DataFrame, as_of: Column, days: int = 30, top: int = 15, approx: bool = False) -> DataFrame:
-    """Runs, p50/p95 duration, success %, breaches and last run per flow; the slowest ``top`` by p95.
+def sla_by_flow(runs: DataFrame, as_of: Column, days: int = 30, top: int | None = None, approx: bool = False) -> DataFrame:
+    """Runs, p50/p95 duration, success %, breaches and last run per flow; with ``top``, the slowest by p95.
 
     ``approx`` takes the percentiles from a sketch in the same pass; the exact form needs two passes.
     """
@@ -54,7 +54,7 @@ def sla_by_flow(runs: DataFrame, as_of: Column, days: int = 30, top: int = 15, a
         exact = exact_percentiles(recent, ["pipeline_name"], "duration_seconds", {"p50": 0.5, "p95": 0.95})
         table = recent.groupBy("pipeline_name").agg(*aggs).join(
             exact.select("pipeline_name", rnd(F.col("p50"), 1).alias("p50_s"), rnd(F.col("p95"), 1).alias("p95_s")), "pipeline_name", "left")
-    return table.orderBy(F.desc_nulls_last("p95_s"), "pipeline_name").limit(top)
+    return table if top is None else table.orderBy(F.desc_nulls_last("p95_s"), "pipeline_name").limit(top)
 
 
 def daily_errors(runs: DataFrame, as_of: Column, days: int = 14) -> DataFrame:

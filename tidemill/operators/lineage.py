@@ -94,22 +94,29 @@ def column_mappings(models: DataFrame, key: str) -> DataFrame:
     return base.select(key, F.inline(chosen))
 
 
-def reach(seeds: DataFrame, edges: DataFrame, max_depth: int = 32) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, guard: int = 100_000) -> DataFrame:
     """(seed, node, depth) of everything downstream of each seed, at its smallest depth.
 
+    It ends when a round finds nothing new; a graph deeper than ``guard`` rounds raises.
+
     Breadth first: each round joins only the newest nodes with the edges and drops those seen before.
     Rounds are written to the shared checkpoint folder, so a lost executor does not replay the loop.
     """
-    edges = cut_lineage(edges.select("src", "dst").distinct(), "edges")
+    edges = cut_lineage(edges.select("src", "dst"), "edges")
     frontier = cut_lineage(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct(), "reach")
-    seen = frontier
-    for depth in range(1, max_depth + 1):
+    seen, depth = frontier, 0
+    while True:
+        depth += 1
+        if depth > guard:
+            raise RecursionError(f"the graph is deeper than {guard}")
         step = frontier.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
         fresh = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
         frontier = cut_lineage(fresh, "reach")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % 16 == 0:
+            seen = cut_lineage(seen, "seen")  # one table again, so a deep graph does not read hundreds of them
     return seen.filter(F.col("depth") > 0)
 
 

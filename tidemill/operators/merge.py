@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Batches up to this many keys are broadcast, so the target is filtered in place and never shuffled.
-SMALL_BATCH_ROWS = 1_000_000
-
 META_COLUMNS = ["_SOURCE", "_INGESTED_AT", "_RUN_ID", "_ROW_HASH"]
 
 
@@ -27,51 +24,40 @@ def full_order(df: DataFrame, first: list[Column] = ()) -> list[Column]:
     return [*first, *[F.col(f"`{c}`") for c in df.columns]]
 
 
-def batch_keys(batch: DataFrame, keys: list[str], small: int | None = None) -> tuple[DataFrame, bool]:
-    """Distinct keys of a batch, and whether they were few enough to be marked for broadcast."""
-    limit = SMALL_BATCH_ROWS if small is None else small
-    distinct = batch.select(*keys).distinct()
-    # Stops counting rows just above the limit.
-    few = distinct.limit(limit + 1).count() <= limit
-    return (F.broadcast(distinct) if few else distinct), few
-
-
 def append(target: DataFrame, delta: DataFrame) -> DataFrame:
     return target.unionByName(delta, allowMissingColumns=True)
 
 
-def insert_ignore(target: DataFrame, delta: DataFrame, keys: list[str], order: list[Column] | None = None,
-                  small: int | None = None) -> DataFrame:
-    """Existing keys win; within the batch the first row per key wins."""
-    batch = pick_one(delta, keys, order or full_order(delta))
-    wanted, _ = batch_keys(delta, keys, small)
-    existing = target.join(wanted, keys, "left_semi").select(*keys).distinct()
+def insert_ignore(target: DataFrame, delta: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Existing keys win; within the batch the first row per key in ``order`` wins."""
+    batch = pick_one(delta, keys, order)
+    existing = target.join(delta.select(*keys).distinct(), keys, "left_semi").select(*keys).distinct()
     return target.unionByName(batch.join(existing, keys, "left_anti"))
 
 
-def insert_or_replace(target: DataFrame, delta: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    """The batch wins over existing rows; within the batch the last row per key wins (``order`` lists newest first)."""
-    return upsert(target, pick_one(delta, keys, order or full_order(delta)), keys)
+def insert_or_replace(target: DataFrame, delta: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The batch wins over existing rows; within the batch the first row per key in ``order`` (newest first) wins."""
+    return upsert(target, pick_one(delta, keys, order), keys)
 
 
-def upsert(target: DataFrame, delta: DataFrame, keys: list[str], small: int | None = None) -> DataFrame:
-    """Delete target rows whose key is in the batch, then insert the batch."""
-    touched, _ = batch_keys(delta, keys, small)
-    return target.join(touched, keys, "left_anti").unionByName(delta)
+def upsert(target: DataFrame, delta: DataFrame, keys: list[str], primary_key: list[str] | None = None,
+           order: list[Column] | None = None) -> DataFrame:
+    """Delete target rows whose key is in the batch, then insert the batch.
 
-
-def text_of(c: Column, type_name: str) -> Column:
-    """Stable text of a value: floats through decimal(38,6), null as ''."""
-    if type_name in ("double", "float"):
-        c = c.cast("decimal(38,6)")
-    return F.coalesce(c.cast("string"), F.lit(""))
+    Without a usable key (none given, or one that the batch lacks) the batch replaces by ``primary_key``; ``order`` then
+    lists its newest row first. The keys of a small batch are broadcast by adaptive execution.
+    """
+    if not keys or any(k not in delta.columns for k in keys):
+        if not primary_key or order is None:
+            raise ValueError("an upsert needs a key of the batch, or a primary key and the order of its rows")
+        return insert_or_replace(target, delta, primary_key, order)
+    return target.join(delta.select(*keys).distinct(), keys, "left_anti").unionByName(delta)
 
 
 def surrogate_key(df: DataFrame, columns: list[str] | None = None) -> Column:
     """md5 of the columns' text joined by ||; null and '' are the same by design."""
-    types = dict(df.dtypes)
     columns = columns or [c for c in df.columns if not c.startswith("_")]
-    return F.md5(F.concat_ws("||", *[text_of(F.col(c), types[c]) for c in columns]))
+    return F.md5(F.concat_ws("||", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]))
 
 
 def choose_key(df: DataFrame, cursor: str | None) -> tuple[DataFrame, str]:
@@ -82,26 +68,29 @@ def choose_key(df: DataFrame, cursor: str | None) -> tuple[DataFrame, str]:
 
 
 def row_hash(df: DataFrame, skip: list[str] = ()) -> Column:
-    return surrogate_key(df, [c for c in df.columns if c not in META_COLUMNS and c not in skip])
+    """md5 of the row's values at full precision; null, '' and NaN differ."""
+    columns = [F.col(f"`{c}`") for c in df.columns if c not in META_COLUMNS and c not in skip]
+    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
 
 
-def merge(target: DataFrame, delta: DataFrame, keys: list[str], order: list[Column] | None = None,
-          skip: list[str] = (), small: int | None = None) -> DataFrame:
+def merge(target: DataFrame, delta: DataFrame, keys: list[str], order: list[Column], skip: list[str] = (),
+          whole: bool = False) -> DataFrame:
     """Content-hash merge.
 
-    Returns the merged rows with ``_action``: insert, update (hash differs), unchanged, or kept
-    (not in the batch). The batch is deduplicated first; ``order`` lists the winning row first.
-    A small batch leaves the target where it is: rows outside the batch are passed through by a
-    broadcast anti join and only the touched ones are hashed and joined. A large batch meets the
-    target in one full outer join.
+    Returns the merged rows with ``_action``: insert, update (hash differs), unchanged, or kept (not in the batch).
+    The batch is deduplicated first; ``order`` lists the winning row first. A target with a ``_ROW_HASH`` column is
+    compared by it, others are hashed. Rows outside the batch pass through an anti join, which adaptive execution
+    broadcasts for a small batch, so the target stays where it is; only the touched rows are compared. ``whole``, for
+    a batch of the size of the target, meets it in one full outer join instead of reading it twice.
     """
-    batch = pick_one(delta, keys, order or full_order(delta))
-    wanted, few = batch_keys(delta, keys, small)
+    batch = pick_one(delta, keys, order)
+    wanted = batch.select(*keys)
     columns = target.columns
+    held_hash = F.col("_ROW_HASH") if "_ROW_HASH" in columns else row_hash(target, skip)
     src = batch.select(F.struct(*batch.columns).alias("s"), row_hash(batch, skip).alias("_sh"), *keys)
-    held = target.join(wanted, keys, "left_semi").select(*columns) if few else target
-    tgt = held.select(F.struct(*columns).alias("t"), row_hash(target, skip).alias("_th"), *keys)
-    both = src.join(tgt, keys, "left" if few else "full_outer")
+    held = target if whole else target.join(wanted, keys, "left_semi").select(*columns)
+    tgt = held.select(F.struct(*columns).alias("t"), held_hash.alias("_th"), *keys)
+    both = src.join(tgt, keys, "full_outer" if whole else "left")
     action = (
         F.when(F.col("t").isNull(), "insert")
         .when(F.col("s").isNull(), "kept")
@@ -109,26 +98,26 @@ def merge(target: DataFrame, delta: DataFrame, keys: list[str], order: list[Colu
         .otherwise("unchanged")
     )
     use_source = F.col("_action").isin("insert", "update")
-    met = both.withColumn("_action", action).select(
-        *[F.when(use_source, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in columns], "_action")
-    if not few:
+
+    def value(c: str) -> Column:
+        new = F.col("_sh") if c == "_ROW_HASH" and c not in batch.columns else F.col(f"s.`{c}`")
+        return F.when(use_source, new).otherwise(F.col(f"t.`{c}`")).alias(c)
+
+    met = both.withColumn("_action", action).select(*map(value, columns), "_action")
+    if whole:
         return met
     kept = target.join(wanted, keys, "left_anti").select(*columns, F.lit("kept").alias("_action"))
     return kept.unionByName(met)
 
 
-def merge_stats(merged: DataFrame, delta: DataFrame) -> DataFrame:
-    """(ingested, inserts, updates, unchanged, loaded)."""
-    n = delta.agg(F.count(F.lit(1))).scalar()
-    counts = merged.agg(
-        F.count_if(F.col("_action") == "insert").alias("inserts"),
-        F.count_if(F.col("_action") == "update").alias("updates"),
-    )
-    return counts.select(
-        n.alias("ingested"), "inserts", "updates",
-        F.greatest(n - F.col("inserts") - F.col("updates"), F.lit(0)).alias("unchanged"),
-        (F.col("inserts") + F.col("updates")).alias("loaded"),
-    )
+def merge_stats(merged: DataFrame) -> DataFrame:
+    """(ingested, inserts, updates, unchanged, loaded) of the deduplicated batch."""
+    def n(action: str) -> Column:
+        return F.count_if(F.col("_action") == action)
+
+    return merged.agg(F.count_if(F.col("_action") != "kept").alias("ingested"), n("insert").alias("inserts"),
+                      n("update").alias("updates"), n("unchanged").alias("unchanged")) \
+        .withColumn("loaded", F.col("inserts") + F.col("updates"))
 
 
 def reconcile(source: dict[str, DataFrame], destination: dict[str, DataFrame]) -> DataFrame:

@@ -18,7 +18,10 @@ from tidemill.functions.exprs import dbl, numeric_columns, rnd, safe_divide, tem
 
 
 def _bound_text(c: Column, type_name: str) -> Column:
-    return (c.cast("decimal(38,6)") if type_name in ("double", "float") else c).cast("string")
+    """Doubles with six decimals; those that do not fit (huge, infinite, NaN) as they print."""
+    if type_name in ("double", "float"):
+        return F.coalesce(c.try_cast("decimal(38,6)").cast("string"), c.cast("string"))
+    return c.cast("string")
 
 
 def profile(df: DataFrame, table: str, approx_distinct: bool = False) -> DataFrame:
@@ -118,7 +121,12 @@ def _rule_aggs(r: Rule, as_of: Column) -> tuple[Column, Column, Column]:
         hours = F.timestamp_diff("MICROSECOND", F.max(c), F.max(as_of)) / F.lit(3.6e9)
         return hours, F.coalesce(hours > r.threshold, F.lit(True)), F.lit(0).cast("bigint")
     if r.kind == "range":
-        bad = F.count_if(~c.between(r.low, r.high))
+        outside = F.lit(False)
+        if r.low is not None:
+            outside = outside | (c < r.low)
+        if r.high is not None:
+            outside = outside | (c > r.high)
+        bad = F.count_if(outside)
         return dbl(bad), bad > r.threshold, bad
     if r.kind == "regex":
         bad = F.count_if(~c.rlike(r.pattern))
@@ -139,7 +147,12 @@ def run_rules(tables: dict[str, DataFrame], rules: list[Rule], as_of: Column) ->
             for i, r in enumerate(fused):
                 metric, failed, bad = _rule_aggs(r, F.col("_as_of"))
                 aggs += [metric.alias(f"m{i}"), failed.alias(f"x{i}"), bad.alias(f"e{i}")]
-            rows = F.array(*[_result(r, F.col(f"m{i}"), F.col(f"x{i}"), F.col(f"e{i}")) for i, r in enumerate(fused)])
+                if r.kind == "range":
+                    aggs += [dbl(F.min(r.column)).alias(f"a{i}"), dbl(F.max(r.column)).alias(f"b{i}")]
+            rows = F.array(*[
+                _result(r, F.col(f"m{i}"), F.col(f"x{i}"), F.col(f"e{i}"),
+                        *((F.col(f"a{i}"), F.col(f"b{i}")) if r.kind == "range" else ()))
+                for i, r in enumerate(fused)])
             parts.append(dated.agg(*aggs).select("row_count", F.inline(rows)))
         for r in enabled:
             if r.table == table and r.kind == "referential":
@@ -157,11 +170,23 @@ def run_rules(tables: dict[str, DataFrame], rules: list[Rule], as_of: Column) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def _result(r: Rule, metric: Column, failed: Column, bad: Column) -> Column:
+def _result(r: Rule, metric: Column, failed: Column, bad: Column, low: Column | None = None, high: Column | None = None) -> Column:
+    """A result row; a range rule also tells the smallest and largest value."""
+    nothing = F.lit(None).cast("double")
+    low, high = nothing if low is None else low, nothing if high is None else high
+
+    def text(c: Column) -> Column:
+        return c.cast("decimal(30,4)").cast("string")
+
+    message = F.concat(
+        F.lit(f"{r.kind}{' of ' + r.column if r.column else ''}: "), F.coalesce(text(rnd(metric, 4)), F.lit("no value")),
+        F.lit(f", threshold {r.threshold:.4f}"),
+        F.coalesce(F.concat(F.lit(", values "), text(rnd(low, 4)), F.lit(" to "), text(rnd(high, 4))), F.lit("")))
     return F.struct(
         F.lit(r.rule_id).alias("rule_id"), F.lit(r.table).alias("table_name"), F.lit(r.kind).alias("kind"),
         F.when(failed, "fail").otherwise("pass").alias("status"), rnd(metric, 4).alias("metric"),
         F.lit(float(r.threshold)).alias("threshold"), bad.alias("error_rows"),
+        rnd(low, 4).alias("min_value"), rnd(high, 4).alias("max_value"), message.alias("message"),
     )
 
 

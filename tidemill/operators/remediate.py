@@ -19,7 +19,7 @@ from tidemill.session import cut_lineage
 EPOCH = "1970-01-01 00:00:00"
 UNKNOWN = "UNKNOWN"
 SENTINEL_NUMBER, SENTINEL_TEXT = -1, "RECOVERY_SENTINEL"
-SAMPLE_ROWS, FIRST_ROWS, TEXT_LIMIT, SALTS = 500_000, 10_000, 65_535, 8
+FIRST_ROWS, TEXT_LIMIT, SALTS = 10_000, 65_535, 8
 
 # Column names that mark keys and event times.
 KEY_NAMES = ["id", "_id", "key", "order_id", "user_id", "trip_id"]
@@ -120,7 +120,7 @@ def volume(df: DataFrame) -> DataFrame:
     return df.na.drop("all")
 
 
-def timeout(df: DataFrame, max_rows: int = SAMPLE_ROWS) -> DataFrame:
+def timeout(df: DataFrame, max_rows: int) -> DataFrame:
     """Sample to at most max_rows by content hash, then narrow number columns to the smallest type that holds them."""
     total = df.count()
     sampled = exact_sample(df, max_rows) if total > max_rows else df

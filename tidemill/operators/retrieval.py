@@ -1,7 +1,7 @@
 """Exact nearest-neighbour retrieval by cosine distance with a metadata filter.
 
-Each task multiplies its batch of vectors with the query matrix and keeps the k nearest per query,
-so what is shuffled is k rows per query and task. A query set above ``MAX_QUERIES`` is not gathered:
+Each task multiplies its vectors, a slice at a time, with the query matrix and keeps the k nearest per query
+until its end, so what is shuffled is k rows per query and task. A query set above ``MAX_QUERIES`` is not gathered:
 queries and store are cut into blocks that meet pairwise inside Spark.
 """
 
@@ -26,6 +26,7 @@ MAX_DISTANCE = 0.35
 REUSE_SIMILARITY = 0.90
 MAX_QUERIES = 4096
 BLOCK_ROWS = 200_000
+CELLS = 1 << 21
 
 _OUT = "query_id bigint, item_id bigint, distance double"
 
@@ -40,22 +41,34 @@ def _matrix(column) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def _nearest(query_ids, queries, query_tags, item_ids, items, item_tags, k, max_distance) -> pa.RecordBatch:
-    """The k nearest accepted items per query, ties by item id. A null query tag matches every item."""
-    q_out, i_out, d_out = [], [], []
-    distance = 1.0 - items @ queries.T if len(item_ids) and len(query_ids) else np.zeros((len(item_ids), len(query_ids)))
-    for j in range(len(query_ids)):
-        d = distance[:, j]
-        ok = d <= max_distance
-        if query_tags[j] is not None:
-            ok &= item_tags == query_tags[j]
-        rows = np.flatnonzero(ok)
-        best = rows[np.lexsort((item_ids[rows], np.round(d[rows], 9)))][:k]
-        q_out += [query_ids[j]] * len(best)
-        i_out += item_ids[best].tolist()
-        d_out += d[best].tolist()
-    return pa.RecordBatch.from_pydict({
-        "query_id": pa.array(q_out, pa.int64()), "item_id": pa.array(i_out, pa.int64()), "distance": pa.array(d_out, pa.float64())})
+class Nearest:
+    """The k nearest accepted items of each query so far, ties by item id. A null query tag matches every item."""
+
+    def __init__(self, ids: list[int], queries: np.ndarray, tags: np.ndarray, k: int, max_distance: float):
+        self.ids, self.queries, self.tags, self.k, self.max_distance = ids, queries, tags, k, max_distance
+        self.held = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+
+    def add(self, item_ids: np.ndarray, items: np.ndarray, item_tags: np.ndarray) -> None:
+        step = max(1, CELLS // max(1, len(self.ids)))
+        for a in range(0, len(item_ids) if self.ids else 0, step):
+            part = slice(a, a + step)
+            distance, tags, ids = 1.0 - items[part] @ self.queries.T, item_tags[part], item_ids[part]
+            for j, (best, near) in enumerate(self.held):
+                ok = distance[:, j] <= self.max_distance
+                if self.tags[j] is not None:
+                    ok &= tags == self.tags[j]
+                if ok.any():
+                    best, near = np.concatenate([best, ids[ok]]), np.concatenate([near, distance[ok, j]])
+                    first = np.lexsort((best, np.round(near, 9)))[:self.k]
+                    self.held[j] = best[first], near[first]
+
+    def rows(self) -> pa.RecordBatch:
+        n = [len(best) for best, _ in self.held]
+        empty = [np.zeros(0)]
+        return pa.RecordBatch.from_pydict({
+            "query_id": pa.array(np.repeat(np.array(self.ids, np.int64), n), pa.int64()),
+            "item_id": pa.array(np.concatenate([b for b, _ in self.held] or empty).astype(np.int64), pa.int64()),
+            "distance": pa.array(np.concatenate([d for _, d in self.held] or empty), pa.float64())})
 
 
 def _tags(column) -> np.ndarray:
@@ -67,8 +80,12 @@ def recall(queries: DataFrame, store: DataFrame, k: int = TOP_K, max_distance: f
     """(query_id, item_id, distance, rank) of the k nearest store items within max_distance.
 
     ``queries`` (query_id, embedding, tag) and ``store`` (item_id, embedding, tag): a query with a tag
-    only meets items with the same tag.
+    only meets items with the same tag. Null and empty vectors are near nothing. Items whose column ``deprecated``, if
+    the store has one, is true are left out.
     """
+    if "deprecated" in store.columns:
+        store = store.filter(~F.coalesce("deprecated", F.lit(False)))
+    queries, store = (x.filter(F.size("embedding") > 0) for x in (queries, store))
     queries = queries.select(F.col("query_id").cast("bigint"), "embedding", F.col("tag").cast("string"))
     store = store.select(F.col("item_id").cast("bigint"), "embedding", F.col("tag").cast("string"))
     n_queries = queries.count()
@@ -85,9 +102,10 @@ def _by_broadcast(queries: DataFrame, store: DataFrame, k: int, max_distance: fl
     ids, matrix, tags = table["query_id"].to_pylist(), _matrix(table["embedding"]), _tags(table["tag"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Nearest(ids, matrix, tags, k, max_distance)
         for b in batches:
-            yield _nearest(ids, matrix, tags, np.asarray(b.column("item_id")), _matrix(b.column("embedding")),
-                           _tags(b.column("tag")), k, max_distance)
+            best.add(np.asarray(b.column("item_id")), _matrix(b.column("embedding")), _tags(b.column("tag")))
+        yield best.rows()
 
     return store.mapInArrow(scan, _OUT)
 
@@ -102,9 +120,9 @@ def _by_blocks(queries: DataFrame, store: DataFrame, k: int, max_distance: float
     s = store.withColumn("sb", F.pmod(F.xxhash64("item_id"), F.lit(s_blocks)).cast("int")).withColumn("qb", blocks(q_blocks))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        batch = _nearest(left["query_id"].to_pylist(), _matrix(left["embedding"]), _tags(left["tag"]),
-                         np.asarray(right["item_id"]), _matrix(right["embedding"]), _tags(right["tag"]), k, max_distance)
-        return pa.Table.from_batches([batch])
+        best = Nearest(left["query_id"].to_pylist(), _matrix(left["embedding"]), _tags(left["tag"]), k, max_distance)
+        best.add(np.asarray(right["item_id"]), _matrix(right["embedding"]), _tags(right["tag"]))
+        return pa.Table.from_batches([best.rows()])
 
     return q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInArrow(meet, _OUT)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemill.functions import constants as k
 from tidemill.functions.exprs import dbl, dow, rnd, safe_divide
 from tidemill.functions.ordered import exact_sample
 from tidemill.functions.series import value_ranks
@@ -47,18 +48,17 @@ def detector_features(runs: DataFrame) -> DataFrame:
 def training_set(runs: DataFrame) -> DataFrame:
     """Classifier features with weak labels from status, duration and failed records."""
     loaded = F.coalesce("records_loaded", "records_ingested", F.lit(0))
-    bad = F.col("status") == "failed"
-    label = (
-        F.when(bad & (loaded < 10), "ZERO_LOAD").when(bad & (F.col("duration_seconds") > 600), "PIPELINE_DELAY")
-        .when(bad & (F.coalesce("records_failed", F.lit(0)) > 10), "NULL_SPIKE").when(bad, "CONSECUTIVE_FAILURES")
-        .otherwise("NORMAL")
-    )
+    measures = {"loaded": loaded, "duration": F.col("duration_seconds"), "failed": F.coalesce("records_failed", F.lit(0))}
+    label = F.when(F.col("status").isNull() | (F.col("status") != "failed"), k.NO_FAILURE)
+    for name, measure, comparison, bound in k.WEAK_LABELS:
+        label = label.when(measures[measure] < bound if comparison == "<" else measures[measure] > bound, name)
+    label = label.otherwise(k.OTHER_FAILURE)
     code = F.when(F.lit(False), 0)
     for i, name in enumerate(SOURCE_CODES):
         code = code.when(F.col("source_type") == name, i)
     return runs.select(
         "run_no", dbl(loaded).alias("records_loaded"), _number("records_failed").alias("records_failed"),
-        dbl(F.coalesce("duration_seconds", F.lit(120))).alias("duration_seconds"), dbl(F.hour("started_at")).alias("hour_of_day"),
+        dbl(F.coalesce("duration_seconds", F.lit(k.DEFAULT_TRAINING_SECONDS))).alias("duration_seconds"), dbl(F.hour("started_at")).alias("hour_of_day"),
         dbl(dow(F.col("started_at"))).alias("day_of_week"), dbl(code.otherwise(0)).alias("source_code"),
         F.when(F.col("status") == "success", 1.0).otherwise(0.0).alias("success_flag"), label.alias("label"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.exprs import rnd, safe_divide
 from tidemill.operators.quality import schema_drift
 from tidemill.operators.remediate import verify
+from tidemill.session import cut_lineage
 
 MAX_NULL_RATE = 0.20
 ROW_TOLERANCE = 0.01
@@ -36,8 +37,11 @@ def schema_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def validate(before: DataFrame, fix: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(check, passed, value) for ``fix``: applied once, and again to its own output."""
-    once = fix(before)
+    """(check, passed, value) for ``fix``: applied once, and again to its own output.
+
+    The repaired table is written once; every measure reads that.
+    """
+    once = cut_lineage(fix(before), "repaired")
     twice = fix(once)
     again = twice.agg(F.count("*")).scalar()
     changed = schema_changes(before, once).agg(F.count("*")).scalar()

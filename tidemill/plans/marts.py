@@ -34,15 +34,21 @@ def fct_orders(orders: DataFrame) -> DataFrame:
 
 def fct_ecommerce_summary(orders: DataFrame) -> DataFrame:
     """Revenue, volume and completion per day, category and city."""
-    by_cell = orders.groupBy(F.to_date("ordered_at").alias("order_date"), "category", "city").agg(
+    # One row per order and customer first: the two distinct counts then expand those rows, not the lines.
+    per_order = orders.groupBy(F.to_date("ordered_at").alias("order_date"), "category", "city", "order_id", "customer_id").agg(
+        F.sum("quantity").alias("units"), F.sum("total_amount").alias("revenue"), F.count("total_amount").alias("amounts"),
+        F.count(F.lit(1)).alias("lines"), F.count_if("is_completed").alias("completed"),
+        F.count_if(F.col("status") == "cancelled").alias("cancelled"),
+    )
+    by_cell = per_order.groupBy("order_date", "category", "city").agg(
         F.count_distinct("order_id").alias("order_count"),
         F.count_distinct("customer_id").alias("unique_customers"),
-        F.sum("quantity").alias("total_units_sold"),
-        dbl(F.sum("total_amount")).alias("total_revenue"),
-        rnd(ratio_sum(F.col("total_amount")), 2).alias("avg_order_value"),
-        F.count_if("is_completed").alias("completed_orders"),
-        F.count_if(F.col("status") == "cancelled").alias("cancelled_orders"),
-        share_pct(F.col("is_completed")).alias("completion_rate_pct"),
+        F.sum("units").alias("total_units_sold"),
+        dbl(F.sum("revenue")).alias("total_revenue"),
+        rnd(safe_divide(F.sum("revenue"), F.sum("amounts")), 2).alias("avg_order_value"),
+        F.sum("completed").alias("completed_orders"),
+        F.sum("cancelled").alias("cancelled_orders"),
+        rnd(100.0 * safe_divide(F.sum("completed"), F.sum("lines")), 1).alias("completion_rate_pct"),
     )
     # The month follows from the day, so it need not travel through the shuffle as a key.
     return by_cell.withColumn("order_month_key", F.date_format("order_date", "yyyy-MM"))

@@ -232,7 +232,7 @@ def _scored_runs(t):
     })
 
 
-@query("a22_alerts", f"""WITH r AS (SELECT *, CAST(records_failed AS DOUBLE) / 100.0 AS confidence, CAST(duration_seconds AS DOUBLE) / 20.0 AS daily_cost,
+_ALERTS = f"""WITH r AS (SELECT *, CAST(records_failed AS DOUBLE) / 100.0 AS confidence, CAST(duration_seconds AS DOUBLE) / 20.0 AS daily_cost,
         row_number() OVER (PARTITION BY pipeline_name ORDER BY started_at DESC, run_no DESC) AS rn FROM fleet),
     two AS (SELECT a.*, p.records_loaded AS prior FROM r a LEFT JOIN r p ON p.pipeline_name = a.pipeline_name AND p.rn = 2 WHERE a.rn = 1),
     v AS (SELECT pipeline_name, unnest([
@@ -245,17 +245,31 @@ def _scored_runs(t):
     lf AS (SELECT pipeline_name, 'pipeline_failure' AS condition, max(started_at) AS last_fired_at FROM r WHERE status = 'failed' AND rn > 1 GROUP BY 1)
     SELECT v.pipeline_name, v.alert, v.condition, channel, {R('value', 4)} AS value FROM v
     LEFT JOIN lf ON lf.pipeline_name = v.pipeline_name AND lf.condition = v.condition
-    WHERE value > threshold AND (last_fired_at IS NULL OR (epoch_us({AS_OF}) - epoch_us(last_fired_at)) // 60000000 >= cool)""", "fleet")
-def _(t):
+    WHERE value > threshold AND (last_fired_at IS NULL OR (epoch_us({AS_OF}) - epoch_us(last_fired_at)) // 60000000 >= cool)"""
+
+
+def _last_failures(t):
     runs = _scored_runs(t)
     older = an.latest_run(runs).select("pipeline_name", F.col("run_no").alias("newest"))
-    last = (
+    return (
         runs.filter(F.col("status") == "failed").join(older, "pipeline_name").filter(F.col("run_no") != F.col("newest"))
         .groupBy("pipeline_name").agg(F.max("started_at").alias("last_fired_at"))
         .withColumn("condition", F.lit("pipeline_failure"))
     )
+
+
+@query("a22_alerts", _ALERTS, "fleet")
+def _(t):
     everything_on = [(*rule[:5], True) for rule in k.ALERT_RULES]
-    return an.alerts(runs, t.as_of, last, rules=everything_on)
+    return an.alerts(_scored_runs(t), t.as_of, _last_failures(t), rules=everything_on)
+
+
+_OFF = ", ".join(lit(rule[1]) for rule in k.ALERT_RULES if not rule[5])
+
+
+@query("a22_alerts_enabled", f"SELECT * FROM ({_ALERTS}) WHERE condition NOT IN ({_OFF})", "fleet")
+def _(t):
+    return an.alerts(_scored_runs(t), t.as_of, _last_failures(t))
 
 
 _SCHEDULES = ["*/30 * * * *", "0 * * * *", "0 */6 * * *", "@daily", "*/7 * * * *", "0 */5 * * *", "", "weekly"]

@@ -263,7 +263,7 @@ def _suite_sql(tables: dict) -> str:
     return f"SELECT *, CASE WHEN failures = 0 THEN 'pass' ELSE 'fail' END AS status FROM ({body})"
 
 
-_BUILT = {"stg_trips": "stg_trips", "stg_orders": "stg_orders", "fct_trips": "fct_trips",
+_BUILT = {"raw_trips": "taxi", "raw_orders": "shop", "stg_trips": "stg_trips", "stg_orders": "stg_orders", "fct_trips": "fct_trips",
           "dim_customers": "dim_customers", "fct_ecommerce_summary": "fct_summary", "dim_taxi_zones": "dim_zones"}
 
 
@@ -279,7 +279,19 @@ def _(t):
 
 @query("t04_build_and_test_models", _suite_sql(_BUILT), " ".join(_BUILT.values()))
 def _(t):
-    return build.build_models(t.taxi, t.shop, scratch_path(t.spark, "marts"))
+    return build.build_models(_sources(t), scratch_path(t.spark, "marts"))
+
+
+def _sources(t):
+    return {"raw_trips": t.taxi, "raw_orders": t.shop, "shop_items": t.shop_items, "shop_products": t.shop_products,
+            "shop_orders": t.shop_orders}
+
+
+@query("t03_source_suites", _suite_sql({"raw_trips": "taxi", "raw_orders": "shop"}), "taxi shop")
+def _(t):
+    known = _sources(t)
+    trips, orders = (model_tests.run_tests(n, known[n], model_tests.SUITES[n]) for n in ("raw_trips", "raw_orders"))
+    return trips.unionByName(orders)
 
 
 @query("t04_suite_totals", f"""SELECT count(*) FILTER (WHERE status = 'pass') AS passed, count(*) FILTER (WHERE status = 'fail') AS failed,

@@ -11,7 +11,7 @@ from tidemill.operators import kpi
 from tidemill.plans import marts, staging
 from tidemill.plans.oracle import AS_OF, AVG, D, ORDERS_AS_OF, PCT, R, case, lit
 from tidemill.plans.registry import query
-from tidemill.sources.bindings import PIPELINES
+from tidemill.sources.bindings import PIPELINES, RAW_TABLES
 
 _SUCC = "status = 'success'"
 
@@ -35,7 +35,7 @@ def _(t):
 
 _SLA = f"""SELECT pipeline_name, count(*) AS total_runs, {PCT(_SUCC)} AS success_rate, count(*) FILTER (WHERE duration_seconds > 300) AS sla_breaches,
     max(started_at) AS last_run_at, {R('quantile_cont(CAST(duration_seconds AS DOUBLE), 0.5)', 1)} AS p50_s, {R('quantile_cont(CAST(duration_seconds AS DOUBLE), 0.95)', 1)} AS p95_s
-    FROM {{runs}} WHERE started_at >= {AS_OF} - INTERVAL 30 DAY AND duration_seconds IS NOT NULL GROUP BY 1 ORDER BY p95_s DESC NULLS LAST, pipeline_name LIMIT 15"""
+    FROM {{runs}} WHERE started_at >= {AS_OF} - INTERVAL 30 DAY AND duration_seconds IS NOT NULL GROUP BY 1"""
 
 
 @query("o04_sla_by_flow", _SLA.format(runs="runs"), "runs")
@@ -168,10 +168,10 @@ def _(t):
     return kpi.deliveries(sent, reports, 50)
 
 
-@query("o18_table_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in ("orders", "lineitem", "events", "customer")))
+@query("o18_table_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in RAW_TABLES))
 def _(t):
     from tidemill.sources.readers import catalog_listing
-    return catalog_listing({n: t.raw(n) for n in ("orders", "lineitem", "events", "customer")}).select("table_name", "row_count")
+    return catalog_listing({n: t.raw(n) for n in RAW_TABLES}).select("table_name", "row_count")
 
 
 # ---- insights --------------------------------------------------------------------------------

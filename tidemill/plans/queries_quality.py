@@ -105,9 +105,14 @@ def _rule_sql(r: q.Rule) -> str:
         metric, failed = D(bad), f"{bad} > 0"
     else:
         bad, metric, failed = zero, f"CASE WHEN {n} > 0 THEN 1.0 ELSE 0.0 END", f"NOT {n} > 0"
+    low, high = (R(f"CAST({f}({c}) AS DOUBLE)", 4) if r.kind == "range" else "CAST(NULL AS DOUBLE)" for f in ("min", "max"))
+    values = f"', values ' || CAST(CAST({low} AS DECIMAL(30,4)) AS VARCHAR) || ' to ' || CAST(CAST({high} AS DECIMAL(30,4)) AS VARCHAR)"
+    message = f"""{lit(r.kind + (' of ' + c if c else '') + ': ')} || coalesce(CAST(CAST({R(metric, 4)} AS DECIMAL(30,4)) AS VARCHAR), 'no value')
+        || ', threshold {r.threshold:.4f}' || coalesce({values}, '')"""
     return f"""SELECT {n} AS row_count, {lit(r.rule_id)} AS rule_id, {lit(r.table)} AS table_name, {lit(r.kind)} AS kind,
         CASE WHEN {failed} THEN 'fail' ELSE 'pass' END AS status, {R(metric, 4)} AS metric,
-        {float(r.threshold)}::DOUBLE AS threshold, {bad} AS error_rows FROM {source}"""
+        {float(r.threshold)}::DOUBLE AS threshold, {bad} AS error_rows, {low} AS min_value, {high} AS max_value,
+        {message} AS message FROM {source}"""
 
 
 def _rule_tables(t):

@@ -11,33 +11,21 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions.constants import ANOMALY_TYPES, SLA_SECONDS
+from tidemill.functions.constants import ANOMALY_TYPES, ERROR_SIGNATURES, SLA_SECONDS
 from tidemill.functions.exprs import decode, pick
 from tidemill.session import pin_semantics
 from tidemill.sources.readers import spread
 
+RAW_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+              "conversations").split()
 PIPELINES = list(SLA_SECONDS)
 SOURCE_TYPES = ["csv", "postgresql", "rest_api", "google_sheets"]
 STRATEGIES = ["retry", "rollback", "schema_patch"]
 OUTCOMES = ["approved", "auto_healed", "rejected", "expired"]
 INCIDENT_STATES = ["open", "pending_approval", "auto_healed", "resolved", "rejected"]
-ERROR_MESSAGES = [
-    "could not connect to server: Connection refused",
-    "duplicate key value violates unique constraint",
-    "warehouse suspended due to inactivity",
-    "stream has become stale after 14 days",
-    "schema evolution detected in source",
-    "quota exceeded for project: bq-etl-prod",
-    "schema mismatch in streaming insert destination",
-    "lock wait timeout exceeded; try restarting transaction",
-    "binlog format is not row - cannot use CDC",
-    "oplog is too small to guarantee consistency",
-    "changestream cursor timeout after 30s",
-    "stl_load_errors: invalid input for column",
-    "catalog error: table not found",
-    "offset out of range for partition 3",
-    "worker left without a message",
-]
+# A message around every fourth signature, and one without any.
+ERROR_MESSAGES = [f"step {i} ended: {text} (see log {i})" for i, (text, _) in enumerate(ERROR_SIGNATURES[::4])] + [
+    "the run ended and said nothing more"]
 ORDER_STATUS = {"F": "delivered", "O": "shipped", "P": "cancelled"}
 SHOP_STATUS = {"F": "completed", "O": "shipped", "P": "cancelled"}
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,10 +81,15 @@ def load_counted(df: DataFrame, path: str, ok: Column) -> dict:
     return seen.get
 
 
+# Spark type of a mark by the Python type of its value.
+MARK_TYPES = {bool: "boolean", int: "bigint", float: "double", Decimal: "decimal(38,18)", dt.datetime: "timestamp_ntz",
+              dt.date: "date", str: "string"}
+
+
 class WatermarkStore:
-    """High-water marks per (flow, table), kept as a versioned table with typed values."""
+    """High-water marks per (flow, table), kept as a versioned table: text of the value, its type and when it was set."""
 
-    SCHEMA = "flow string, table_name string, column_name string, value timestamp_ntz"
+    SCHEMA = "flow string, table_name string, column_name string, value string, value_type string, updated_at timestamp_ntz"
 
     def __init__(self, spark: SparkSession, path: str, create: bool = False):
         self.spark, self.table = spark, VersionedTable(spark, path, create)
@@ -89,12 +97,23 @@ class WatermarkStore:
     def all(self) -> DataFrame:
         return self.table.read() if self.table.version() else self.spark.createDataFrame([], self.SCHEMA)
 
-    def get(self, flow: str, table_name: str):
-        row = self.all().filter((F.col("flow") == flow) & (F.col("table_name") == table_name)).select("value").first()
-        return row[0] if row else None
+    def marks(self, value_type: str) -> DataFrame:
+        """(flow, table_name, value) of the marks of one type, as that type."""
+        return self.all().filter(F.col("value_type") == value_type).select(
+            "flow", "table_name", F.col("value").cast(value_type).alias("value"))
 
-    def set(self, flow: str, table_name: str, column: str, value) -> None:
-        new = self.spark.createDataFrame([(flow, table_name, column, value)], self.SCHEMA)
+    def get(self, flow: str, table_name: str):
+        one = self.all().filter((F.col("flow") == flow) & (F.col("table_name") == table_name)).select("value", "value_type").first()
+        if one is None:
+            return None
+        return self.spark.range(1).select(F.lit(one.value).cast(one.value_type)).first()[0]
+
+    def set(self, flow: str, table_name: str, column: str, value, updated_at: dt.datetime) -> None:
+        kind = next(v for k, v in MARK_TYPES.items() if type(value) is k)
+        new = self.spark.createDataFrame([(flow, table_name, column, value, updated_at)],
+                                         f"flow string, table_name string, column_name string, value {kind}, updated_at timestamp_ntz")
+        new = new.select("flow", "table_name", "column_name", F.col("value").cast("string").alias("value"),
+                         F.lit(kind).alias("value_type"), "updated_at")
         rest = self.all().join(new.select("flow", "table_name"), ["flow", "table_name"], "left_anti")
         self.table.replace(rest.unionByName(new).coalesce(1))
 

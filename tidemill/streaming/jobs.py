@@ -129,14 +129,20 @@ def split_late(batch: DataFrame, time: str, newest: Column, lateness: str) -> Da
 
 
 def start_late_split(source: DataFrame, time: str, lateness: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Write on-time and late rows apart (partition is_late); lateness is judged against earlier batches."""
+    """Write on-time and late rows apart (partition is_late); lateness is judged against earlier batches.
+
+    Each batch leaves the newest time so far in a one-row table of its own under ``target``_newest, which the next one
+    reads; a replayed batch writes over its own.
+    """
     spark = source.sparkSession
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        newest = F.lit(None).cast("timestamp_ntz")
+        before = F.lit(None).cast("timestamp_ntz")
         if batch_id:
-            newest = spark.read.schema(batch.schema).parquet(target).filter(F.col("batch") < batch_id).agg(F.max(time)).scalar()
-        split_late(batch, time, newest, lateness).write.mode("overwrite").partitionBy("is_late").parquet(f"{target}/batch={batch_id}")
+            before = spark.read.schema("newest timestamp_ntz").parquet(f"{target}_newest/{batch_id - 1}").scalar()
+        split_late(batch, time, before, lateness).write.mode("overwrite").partitionBy("is_late").parquet(f"{target}/batch={batch_id}")
+        newest = batch.agg(F.max(F.col(time).cast("timestamp_ntz")).alias("own")).select(F.greatest("own", before).alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{target}_newest/{batch_id}")
 
     return _available(source, checkpoint).foreachBatch(split).start()
 
