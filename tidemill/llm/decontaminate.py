@@ -217,8 +217,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_sha
     if drop_share > 0:
         @F.udf("string", useArrow=True)
         def cut(text, starts, ends):
-            words = Words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), ALNUM)
+            if not starts:
+                return text
             raw, at, parts = text.encode(), 0, []
+            words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
             for a, b in zip(starts, ends, strict=True):
                 parts.append(raw[at:words.starts[a]])
                 at = int(words.ends[b - 1])
