@@ -103,7 +103,10 @@ def with_features(docs: DataFrame, names: dict[str, str]) -> DataFrame:
         "n_common": F.regexp_count(col(text), F.lit(rf"(?i)(?<!\p{{L}})(?:{'|'.join(COMMON)})(?!\p{{L}})")),
         "n_noise": F.regexp_count(col(text), F.lit(r"[^\x20\x09-\x0D\p{L}\p{N}]{2,}+")),
     }
-    return base.select(*own, *(F.coalesce(values[f], F.lit(0)).cast("long").alias(names[f]) for f in FEATURES))
+    # As output of a generator the features are taken once per row: filters on them are not moved below it, where each
+    # use would be worked out anew.
+    return base.select(*own, F.inline(F.array(F.struct(
+        *(F.coalesce(values[f], F.lit(0)).cast("long").alias(names[f]) for f in FEATURES)))))
 
 
 def votes(feature: dict[str, Column]) -> dict[str, Column]:
