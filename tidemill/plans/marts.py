@@ -130,12 +130,11 @@ def most_frequent(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 def dim_customers(orders: DataFrame) -> DataFrame:
     """Lifetime value, favourite category and city, and segment per customer.
 
-    One pass with grouping sets: per customer, per (customer, category) and per (customer, city),
-    all summed before the shuffle; the two modes are then picked among a customer's few group rows.
+    The lines are summed per (customer, category, city) once; grouping sets then run over those sums: per customer, per
+    (customer, category) and per (customer, city). The two modes are picked among a customer's few group rows.
     """
     keys = ["customer_id", "category", "city"]
-    sets = orders.groupingSets([["customer_id"], ["customer_id", "category"], ["customer_id", "city"]], *keys).agg(
-        F.grouping_id().alias("g"),
+    cells = orders.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.sum("total_amount").alias("revenue"),
         F.min("ordered_at").alias("first_at"),
@@ -143,6 +142,10 @@ def dim_customers(orders: DataFrame) -> DataFrame:
         F.count_if("is_completed").alias("done"),
         F.count_if(F.col("status") == "cancelled").alias("cancelled"),
     )
+    sets = cells.groupingSets([["customer_id"], ["customer_id", "category"], ["customer_id", "city"]], *keys).agg(
+        F.grouping_id().alias("g"), *(F.sum(c).alias(c) for c in ("n", "revenue", "done", "cancelled")),
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"),
+    )
     # Grouping ids: 3 = customer, 1 = (customer, category), 2 = (customer, city).
     per_customer, by_category, by_city = F.col("g") == 3, F.col("g") == 1, F.col("g") == 2
 

@@ -100,6 +100,12 @@ def _(t):
     return rm.class_scores(rm.predict(rm.fit_classifier(train), test))
 
 
+@query("x08_confidence")
+def _(t):
+    train, test = rm.split(rm.balance(rm.training_set(_half_runs(t))))
+    return rm.predict(rm.fit_classifier(train), test).select("run_no", "label", "predicted", "confidence")
+
+
 def _guess(t):
     """Predictions of a simple rule, so that the scores can be checked exactly."""
     train = rm.training_set(_half_runs(t))
@@ -298,7 +304,21 @@ def _(t):
     return t.spark.read.parquet(target).groupBy("event_type", F.col("is_late").cast("boolean").alias("is_late")).agg(F.count("*").alias("rows"))
 
 
-@query("z06_hourly_rollup", f"""SELECT pipeline_name, engine, date_trunc('hour', recorded_at) AS window_start, count(*) AS samples, max(consumer_lag) AS max_lag, max(watermark_lag_ms) AS max_watermark_lag_ms,
-    {R(AVG('micro_batch_ms'), 2)} AS avg_batch_ms, {R(AVG('records_per_second'), 2)} AS avg_records_per_second FROM stream_metrics GROUP BY 1, 2, 3""", "stream_metrics")
+_HOURLY = f"""SELECT pipeline_name, engine, date_trunc('hour', recorded_at) AS window_start, count(*) AS samples, max(consumer_lag) AS max_lag, max(watermark_lag_ms) AS max_watermark_lag_ms,
+    {R(AVG('micro_batch_ms'), 2)} AS avg_batch_ms, {R(AVG('records_per_second'), 2)} AS avg_records_per_second FROM stream_metrics GROUP BY 1, 2, 3"""
+
+
+@query("z06_hourly_rollup", _HOURLY, "stream_metrics")
 def _(t):
     return jobs.rollup(t.stream_metrics, "1 hour")
+
+
+@query("z06_hourly_rollup_stream", f"SELECT * FROM ({_HOURLY}) WHERE window_start + INTERVAL 3 HOUR <= (SELECT max(recorded_at) FROM stream_metrics)", "stream_metrics")
+def _(t):
+    # Windows that the watermark, two hours behind the newest row, has passed.
+    rows = t.stream_metrics.withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
+    landing, target = _land(rows, t.spark, "metrics", 1), scratch_path(t.spark, "hours")
+    source = jobs.file_stream(t.spark, landing, rows.schema)
+    jobs.start_rollup(source, "1 hour", "2 hours", target, scratch_path(t.spark, "mark")).awaitTermination()
+    hours = t.spark.read.parquet(target)
+    return hours.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -54,24 +54,28 @@ def _(t):
     return fx.volume(t.damaged.select("customer_id", "amount", "category"))
 
 
-@query("f05_timeout_types", "SELECT count(*) AS n, count(DISTINCT order_id) AS keys, max(customer_id) AS top_customer, TRUE AS narrowed FROM damaged", "damaged")
+@query("f05_timeout_types", """SELECT order_id, customer_id, CAST(CAST(amount AS FLOAT) AS DOUBLE) AS amount,
+    'float' AS amount_type, CASE WHEN (SELECT max(order_id) FROM damaged) < 128 THEN 'tinyint'
+        WHEN (SELECT max(order_id) FROM damaged) < 32768 THEN 'smallint' WHEN (SELECT max(order_id) FROM damaged) < 2147483648 THEN 'int' ELSE 'bigint' END AS key_type
+    FROM damaged""", "damaged")
 def _(t):
     # The row limit has its own query; here every row stays.
     fixed = fx.timeout(t.damaged.select("order_id", "customer_id", "amount"), max_rows=10**15)
     types = dict(fixed.dtypes)
-    narrowed = types["amount"] == "float" and all(types[c] in ("tinyint", "smallint", "int") for c in ("order_id", "customer_id"))
-    return fixed.agg(F.count("*").alias("n"), F.count_distinct("order_id").alias("keys"),
-                     F.max("customer_id").cast("bigint").alias("top_customer")).withColumn("narrowed", F.lit(narrowed))
+    return fixed.select(F.col("order_id").cast("bigint"), F.col("customer_id").cast("bigint"), F.col("amount").cast("double"),
+                        F.lit(types["amount"]).alias("amount_type"), F.lit(types["order_id"]).alias("key_type"))
 
 
-@query("f05_timeout_sample", "SELECT least(count(*), 5000) AS n, TRUE AS all_known FROM lineitem")
+@query("f05_timeout_sample", "SELECT least(count(*), 5000) AS n, TRUE AS all_known, TRUE AS repeatable FROM lineitem")
 def _(t):
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
     fixed = fx.timeout(lines, max_rows=5000)
-    known = lines.select("l_orderkey", "l_linenumber", "l_partkey").distinct()
-    missing = fixed.select(*[F.col(c).cast(dict(known.dtypes)[c]).alias(c) for c in known.columns]).join(
-        known, known.columns, "left_anti").agg(F.count("*")).scalar()
-    return fixed.agg(F.count("*").alias("n")).withColumn("all_known", missing == 0)
+    again = fx.timeout(lines.repartition(7), max_rows=5000)
+    known = lines.distinct()
+    same = [F.col(c).cast(dict(known.dtypes)[c]).alias(c) for c in known.columns]
+    missing = fixed.select(*same).join(known, known.columns, "left_anti").agg(F.count("*")).scalar()
+    sums = [x.select(F.sum(F.xxhash64(*(c.cast("bigint") for c in same)).cast("decimal(38,0)"))).scalar() for x in (fixed, again)]
+    return fixed.agg(F.count("*").alias("n")).withColumn("all_known", missing == 0).withColumn("repeatable", sums[0] == sums[1])
 
 
 @query("f06_logic", """SELECT DISTINCT order_id, coalesce(customer_id, 0) AS customer_id, coalesce(amount, 0) AS amount, trim(category) AS category, event_time FROM damaged""", "damaged")
