@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemill.session import cut_lineage
+
 BUCKET = "_bucket"
 
 
@@ -78,7 +80,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     for i in range(len(ps)):
         bounds[f"_lo{i}"] = F.when(small, F.lit(-math.inf)).otherwise(F.col("_b")[2 * i])
         bounds[f"_hi{i}"] = F.when(small, F.lit(math.inf)).otherwise(F.col("_b")[2 * i + 1])
-    sketch = sketch.select(*keys, "n", *[c.alias(name) for name, c in bounds.items()])
+    # A written table has a known size, so the planner broadcasts a small sketch and leaves the rows where they are.
+    sketch = cut_lineage(sketch.select(*keys, "n", *[c.alias(name) for name, c in bounds.items()]), "sketch")
     joined = join_on(rows, sketch, keys) if keys else rows.crossJoin(F.broadcast(sketch))
     lows, highs = [F.col(f"_lo{i}") for i in range(len(ps))], [F.col(f"_hi{i}") for i in range(len(ps))]
     segment = reduce(lambda a, b: a + b, [(v >= lo).cast("int") for lo in lows] + [(v > hi).cast("int") for hi in highs])
