@@ -136,6 +136,12 @@ def _(t):
     return _shown(rt.recall(_centroids(t), _store(t), max_distance=0.9, max_queries=4, block_rows=300))
 
 
+@query("l11_recall_skips_deprecated", f"WITH {_CENT}, {_near('same AND distance <= 0.9 AND item_id % 7 <> 0')} SELECT query_id, item_id, {R('distance', 6)} AS distance, rank FROM near")
+def _(t):
+    store = _store(t).withColumn("deprecated", F.col("item_id") % 7 == 0)
+    return _shown(rt.recall(_centroids(t), store, max_distance=0.9))
+
+
 @query("l12_similar_queries", f"""WITH {_CENT}, {_near('distance < 0.9')}, s AS (SELECT query_id, item_id, {R('1 - distance', 3)} AS similarity,
     CAST(item_id % 11 AS DOUBLE) / 10.0::DOUBLE AS quality_score FROM near)
     SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY quality_score DESC, item_id) AS INTEGER) AS position FROM s""")

@@ -281,6 +281,11 @@ def _(t):
     return ins.drill_down("zones", _zones(t), "30d", t.as_of)
 
 
+@query("i07_drill_customers", f"SELECT customer_segment, count(*) AS customers, {_LTV} AS avg_ltv FROM dim_customers GROUP BY 1", "dim_customers")
+def _(t):
+    return ins.drill_down("customers", _customers(t), "30d", t.as_of)
+
+
 def _rounded(x: str, digits: int) -> str:
     return f"CAST(round(CAST({x} AS DECIMAL(38,6)), {digits}) AS DECIMAL(18,{digits}))"
 
