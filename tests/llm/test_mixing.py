@@ -92,8 +92,8 @@ def test_no_words_and_empty_table(spark):
 
 def test_draw(spark):
     rows = [(i, " ".join(["w"] * (5 + i % 9)), f"s{i % 2}") for i in range(200)] + [(1, "same row", "s1")] * 4
-    df = spark.createDataFrame(rows, DOCS).withColumn("copies", F.lit("own"))
+    df = spark.createDataFrame(rows, DOCS).withColumn("copies", F.lit("own")).withColumn("size", F.create_map(F.lit("k"), F.lit(1)))
     mixed, drawn = m.mix(df), m.draw(df)
-    assert drawn.columns == ["doc_id", "text", "source", "copies", "copies_", "taken"]
+    assert drawn.columns == ["doc_id", "text", "source", "copies", "size", "copies_", "taken"]
     assert drawn.agg(F.sum("taken")).first()[0] == mixed.agg(F.sum("taken")).first()[0]
     assert drawn.filter("doc_id = 1 and text = 'same row'").count() <= 1

@@ -7,14 +7,15 @@ most D = (a + b)(100 - p) / (100 + p) such shingles (p: the threshold in percent
 r + 1 agree (pigeonhole). Documents of a size band are joined on (band, cell, value); a document also probes the band
 below if a partner can lie there. Candidates are verified on the whole sets.
 
-Nothing is lost by leaving out cells that hardly tell documents apart. Empty cells and those whose value more than
-``HOT`` classes share (a passage in many documents) are set aside. A pair that agrees only on such cells agrees on
-r + 1 of them, so each document may leave out its r most frequent ones, which is nearly always all of them (a prefix
-filter over cells), and a document that shares no more cells than that has no link at all. Documents with more than r empty cells also join on the n - ceil(p n / 100) + 1 smallest of their
-shingle hashes.
+Cells that hardly tell documents apart are left out without loss: the empty ones, and the values that many documents
+share (a common passage). A document may leave out its r most frequent cells, counting the empty ones, as r + 1 agree
+with any partner (a prefix filter over cells; r follows from the document's own size); a document that shares no more
+cells than that has no link at all. Documents with more than r empty cells also join on the n - ceil(p n / 100) + 1
+smallest of their shingle hashes.
 
 Sets are compared as sets of 64-bit shingle hashes, and documents of the same set are one class (64-bit hash): within
-a pair a false match has a chance of about a * b / 2**64.
+a pair a false match has a chance of about a * b / 2**64. Cells travel as a bucket and 32 bits; two values that meet
+by chance are one candidate more.
 
 Scale. Only classes take part, so copies cost nothing. Signatures travel as packed arrays, one per task and bucket.
 A signature that is frequent within one task is not gathered: its rows are spread and only its count goes to the

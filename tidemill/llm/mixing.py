@@ -19,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import fresh, table
@@ -117,6 +117,11 @@ def _flight(level: int, last: bool):
     return run
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of the whole row; maps, which have no hash, by their text."""
+    return F.xxhash64(*(F.to_json(F.struct(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes))
+
+
 def mix(docs: DataFrame, id_column: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
         block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``key``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
@@ -126,7 +131,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", weights: tuple[int, ...] = W
     others; an empty table gives an empty result.
     """
     own = sizes(docs.select(F.col(f"`{id_column}`").alias("id"), "text", F.col("source").cast("string").alias("source"),
-                            F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("key"))).drop("text")
+                            _row_hash(docs).alias("key"))).drop("text")
     rows = cut_lineage(own, "sizes")
     by_source = cut_lineage(targets(
         rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
@@ -164,7 +169,7 @@ def draw(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     wanted = found.groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies), F.sum("taken").alias(taken)) \
         .filter(F.col(taken) > 0)
     own = [F.col(f"`{c}`") for c in docs.columns]
-    once = docs.withColumn(key, F.xxhash64(*own)).groupBy(key).agg(F.first(F.struct(*own)).alias(row))
+    once = docs.withColumn(key, _row_hash(docs)).groupBy(key).agg(F.first(F.struct(*own)).alias(row))
     return once.join(wanted, key).select(*(F.col(row)[c].alias(c) for c in docs.columns), copies, taken)
 
 
