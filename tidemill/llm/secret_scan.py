@@ -93,7 +93,7 @@ class Ledger:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def seen(self) -> DataFrame:
-        """A triple written twice, by a scan that was repeated after a loss, counts once."""
+        """A triple written twice counts once."""
         return self._read("seen", self.SEEN)
 
     def findings(self) -> DataFrame:
@@ -118,31 +118,31 @@ def _address() -> Column:
     return F.sha2(_text(), 256)
 
 
-def with_blob(docs: DataFrame) -> DataFrame:
-    """``blob`` (content address of the text) and ``text``; null is the empty text."""
-    return docs.select(_address().alias("blob"), _text().alias("text"))
+def unseen(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...], id_column: str = "doc_id") -> DataFrame:
+    """(blob, rules, text): each blob that lacks a scan by some rule of this version, from the path of smallest id.
 
-
-def unseen(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, rules, text): one copy of each blob that lacks a scan by some rule of this version."""
+    Only addresses are compared with the ledger. Texts are joined to what is left by address and id, so the copies of one
+    text do not meet, and no text moves when little is new.
+    """
     wanted = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
     known = ledger.seen().groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("known"))
-    # The partial aggregate keeps one copy per task, so the copies of one text do not meet in one place.
-    blobs = with_blob(docs).groupBy("blob").agg(F.first("text").alias("text"))
+    rows = docs.select(F.col(f"`{id_column}`").alias("id"), _address().alias("blob"), _text().alias("text"))
+    owners = rows.groupBy("blob").agg(F.min(F.struct(F.col("id").isNull(), "id")).alias("owner"))
     lacking = F.array_except(wanted, F.coalesce(F.col("known"), F.array().cast(
         "array<struct<rule:string,version:int>>")))
-    return blobs.join(known, "blob", "left").withColumn("rules", lacking["rule"]) \
-        .filter(F.size("rules") > 0).select("blob", "rules", "text")
+    todo = owners.join(known, "blob", "left").select(
+        F.col("blob").alias("b"), F.col("owner.id").alias("i"), lacking["rule"].alias("rules")).filter(F.size("rules") > 0)
+    return rows.join(todo, (F.col("blob") == F.col("b")) & F.col("id").eqNullSafe(F.col("i"))).select("blob", "rules", "text")
 
 
-def scan(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id") -> DataFrame:
     """``docs`` with ``blob`` and ``found``, the spans of ``rules`` by start and then in the order of the rules.
 
-    Null text counts as empty; copies and repeated rows share a blob, which is scanned once; an empty table gives an
-    empty result. Columns of ``docs`` named blob or found give way to the results.
+    Null text counts as empty; copies share a blob, which is scanned once (rows that repeat the id too may be scanned again,
+    and count once); an empty table gives an empty result. Columns of ``docs`` named blob or found give way to the results.
     """
     schema = f"blob string, rules array<string>, found {FOUND}"
-    scanned = cut_lineage(unseen(docs, ledger, rules).mapInArrow(_scanner(list(rules)), schema), "scanned")
+    scanned = cut_lineage(unseen(docs, ledger, rules, id_column).mapInArrow(_scanner(list(rules)), schema), "scanned")
     ledger.append(scanned, rules)
     place = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))))
     now = F.create_map(*(x for r in rules for x in (F.lit(r.name), F.lit(r.version))))

@@ -27,7 +27,6 @@ RECORDS_PER_FILE = 4096
 LEAST_REVISIT = 100
 DATE = "2000-01-01T00:00:00Z"
 
-RECORD = "type string, record_id string, headers map<string,string>, segment int, origin string, total long, block binary"
 PAGE = ("page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, "
         "intact boolean, payload binary")
 
@@ -152,38 +151,50 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = pa.schema([("type", pa.string()), ("record_id", pa.string()), ("headers", pa.map_(pa.string(), pa.string())),
-                       ("segment", pa.int32()), ("origin", pa.string()), ("total", pa.int64()), ("block", pa.binary())])
+def _number(headers: dict[str, str], name: str) -> int | None:
+    return int(headers[name]) if name in headers else None
 
-    def number(headers, name):
-        return int(headers[name]) if name in headers else None
+
+def _task(schema: pa.Schema, rows_of):
+    """A task function over file contents: ``rows_of`` gives the rows of a record, batches hold some 4 MB."""
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)],
-                                          schema=kinds)
-
-    for batch in batches:
-        for content in batch.column(0):
-            rows, size = [], 0
-            for headers, block in records(_unzipped(content.as_py())):
-                segment = number(headers, "warc-segment-number")
-                own = headers.get("warc-record-id")
-                rows.append((headers.get("warc-type"), own, list(headers.items()), segment,
-                             None if segment is None else headers.get("warc-segment-origin-id", own),
-                             number(headers, "warc-segment-total-length"), block))
-                size += len(block) + 1000
-                if size > 4 << 20:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)],
+                                          schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                rows, size = [], 0
+                for headers, block in records(_unzipped(content.as_py())):
+                    for row in rows_of(headers, block):
+                        rows.append(row)
+                        size += len(row[-1] or b"") + 1000
+                    if size > 4 << 20:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
                     yield batch_of(rows)
-                    rows, size = [], 0
-            if rows:
-                yield batch_of(rows)
+
+    return run
+
+
+HEADERS = pa.map_(pa.string(), pa.string())
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("content")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under ``path`` as it stands."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("content").mapInArrow(_parsed, RECORD)
+    """Every record of the archives under ``path`` as it stands: type, record_id, headers, block."""
+    schema = pa.schema([("type", pa.string()), ("record_id", pa.string()), ("headers", HEADERS), ("block", pa.binary())])
+
+    def rows(headers, block):
+        yield headers.get("warc-type"), headers.get("warc-record-id"), list(headers.items()), block
+
+    return _files(spark, path).mapInArrow(
+        _task(schema, rows), "type string, record_id string, headers map<string,string>, block binary")
 
 
 def dechunked(body: bytes) -> bytes | None:
@@ -208,7 +219,7 @@ def decode(headers: dict[str, str], message: bytes | None) -> tuple:
     head, _, body = (message or b"").partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
     digest = headers.get("warc-payload-digest", "").removeprefix("sha256:")
-    page, refers = (int(headers[x]) if x in headers else None for x in ("x-page-id", "x-refers-to-page-id"))
+    page, refers = _number(headers, "x-page-id"), _number(headers, "x-refers-to-page-id")
     uri, kind = headers.get("warc-target-uri"), headers.get("warc-type")
     if kind == "revisit":
         size = int(fields["content-length"]) if "content-length" in fields else None
@@ -228,20 +239,38 @@ def _joined(parts: list[dict], total: int | None) -> bytes | None:
     return message if sorted(once) == list(range(1, len(once) + 1)) and len(message) == total else None
 
 
-def _decoder(payload: bool):
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary()]
-    names = [x.split()[0] for x in PAGE.split(", ")]
+PAGE_SCHEMA = pa.schema([
+    ("page_id", pa.int64()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+    ("record_type", pa.string()), ("refers_to", pa.int64()), ("intact", pa.bool_()), ("payload", pa.binary())])
+
+
+def _whole(payload: bool):
+    """Pages of the records that are in one piece."""
+    def rows(headers, block):
+        if "warc-segment-number" not in headers and headers.get("warc-type") in ("response", "revisit", "resource"):
+            row = decode(headers, block)
+            yield row if payload else (*row[:-1], None)
+
+    return _task(PAGE_SCHEMA, rows)
+
+
+def _segments(headers, block):
+    """Segments, by the record that they belong to; only the first one's headers go along."""
+    if (number := _number(headers, "warc-segment-number")) is not None:
+        origin = headers.get("warc-segment-origin-id", headers.get("warc-record-id"))
+        yield (origin, list(headers.items()) if number == 1 else None, _number(headers, "warc-segment-total-length"),
+               number, block)
+
 
+def _reassembled(payload: bool):
     def run(batches):
         for batch in batches:
             rows = []
-            for headers, blocks, total in zip(*batch.columns, strict=True):
-                parts = blocks.as_py()
-                message = parts[0]["block"] if parts[0]["segment"] is None else _joined(parts, total.as_py())
-                row = decode(dict(headers.as_py() or []), message)
+            for headers, parts, total in zip(*batch.columns, strict=True):
+                row = decode(dict(headers.as_py() or []), _joined(parts.as_py(), total.as_py()))
                 rows.append(row if payload else (*row[:-1], None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                             names=names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PAGE_SCHEMA.types, strict=True)], schema=PAGE_SCHEMA)
 
     return run
 
@@ -252,16 +281,17 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     ``intact`` is false where a segment or part of the total length is missing, the framing is broken or the digest
     differs; without all its parts a record has null bytes and digest. A segment that is there twice counts once.
     Archives without records give an empty result. Records other than responses, revisits and resources are passed over.
+    Without ``payload`` the column is null and no body leaves its task.
     """
-    found = read_records(spark, path)
-    part = F.struct("segment", "block")
-    whole = found.filter("segment is null").filter(F.col("type").isin("response", "revisit", "resource")) \
-        .select("headers", F.array(part).alias("parts"), F.lit(None).cast("long").alias("total"))
-    cut = found.filter("segment is not null").groupBy("origin").agg(
-        F.max(F.when(F.col("segment") == 1, F.to_json("headers"))).alias("headers"),
-        F.collect_list(part).alias("parts"), F.max("total").alias("total"))
-    cut = cut.select(F.from_json("headers", "map<string,string>").alias("headers"), "parts", "total")
-    return whole.unionByName(cut).mapInArrow(_decoder(payload), PAGE)
+    files = _files(spark, path)
+    schema = pa.schema([("origin", pa.string()), ("headers", HEADERS), ("total", pa.int64()), ("segment", pa.int32()),
+                        ("block", pa.binary())])
+    parts = files.mapInArrow(
+        _task(schema, _segments), "origin string, headers map<string,string>, total long, segment int, block binary")
+    cut = parts.groupBy("origin").agg(
+        F.max(F.to_json("headers")).alias("headers"), F.collect_list(F.struct("segment", "block")).alias("parts"),
+        F.max("total").alias("total")).select(F.from_json("headers", "map<string,string>").alias("headers"), "parts", "total")
+    return files.mapInArrow(_whole(payload), PAGE).unionByName(cut.mapInArrow(_reassembled(payload), PAGE))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
