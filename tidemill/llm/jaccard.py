@@ -52,7 +52,8 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 def bands(percent: int, largest: int) -> np.ndarray:
     """Rows (first size, last size, cells) up to ``largest``; smaller sets only link with equal ones.
 
-    A set's partners lie in its own band or the next ones to it. The cells are so many that a tenth or so of them may be empty and the bound still tells documents apart.
+    A set's partners lie in its own band or the next ones to it. The cells are so many that a tenth or so of them may be
+    empty and the bound still tells documents apart.
     """
     out, low = [], max(1, -(-percent // max(1, 100 - percent)))
     while not out or out[-1][1] < largest:
