@@ -39,6 +39,24 @@ def test_cases(page_, text):
     assert h.main_text(page_) == " ".join(text.split())
 
 
+WRAPPERS = ["class='has-sidebar'", "class='no-sidebar'", "class='with-nav'", "class='content widget'", "id='page-no-menu'"]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_layout_wrappers(name):
+    article = f"<article><header><h2>Head</h2></header><p>{PROSE}</p><p>Short.</p></article>"
+    comments = f"<div class='comments'>{f'<article>{PROSE}</article>' * 5}</div><div class='sidebar'>{MENU}Side</div>"
+    whole = f"Head {PROSE}Short."
+    for tag in ("div", "section"):
+        assert h.main_text(page(f"<{tag} {name}>{article}{comments}</{tag}>{comments.replace('article', 'div')}")) == whole
+    assert h.main_text(page(f"<div {name}><div {name}>{article}</div>{comments.replace('article', 'div')}</div>")) == whole
+    assert h.main_text(page(f"<div {name}><p>{PROSE}</p><p>{PROSE}</p></div><div class='ad'>Buy</div>")) == f"{PROSE}{PROSE}".strip()
+    assert h.main_text(page(f"<main><div {name}><p>{PROSE}</p></div><p>End</p></main>")) == f"{PROSE}End"
+    assert h.main_text(page(f"<article><p>One <span {name}>mark</span> two {PROSE}</p></article>")) == f"One two {PROSE}".strip()
+    parts = "".join(f"<div {name}><p>{k} {PROSE}</p></div>" for k in range(4))
+    assert h.main_text(page(parts)) == "".join(f"{k} {PROSE}" for k in range(4)).strip()
+
+
 def test_line_scores():
     ratio = np.array([1.0, 1.0, 50.0, 60.0, 1.0])
     out = h.smoothed(ratio)

@@ -1,7 +1,8 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The parser's events are cut into lines at block elements. A line has its text, the number of tags in it and the element
-that holds it. Elements that are page furniture by name, role or class give no lines. The ratio of text to tags of the
+that holds it. Elements that are page furniture by tag or role give no lines. A class or id that names furniture decides
+after parsing (``furniture``), as layout wrappers have such names too. The ratio of text to tags of the
 lines is smoothed with a Gaussian, and the lines from the threshold up are the content cluster. The content region is
 the innermost element that holds most of the text of that cluster (an article or main element is preferred); all its
 lines are the main text, so a short paragraph between long ones stays.
@@ -48,25 +49,31 @@ SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 SPACES = re.compile(r"\s+")
 
 
+def marked(tag: str, attrs) -> bool:
+    """Whether a class or id of the element has a word that names furniture."""
+    return tag not in ("html", "body", "main", "article") and any(
+        name in ("class", "id") and value and not SKIPPED_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value.lower()))
+        for name, value in attrs)
+
+
 class Lines(HTMLParser):
-    """Lines of a page outside its furniture. Element 0 stands for the page; ``parents`` and ``names`` are by element."""
+    """Lines of a page, those of marked elements too. Element 0 stands for the page; ``parents`` and ``names`` are by element."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.names, self.parents = ["body"], [-1]
+        self.names, self.parents, self.marked = ["body"], [-1], [False]
         self.open: list[tuple[str, int, bool]] = [("", 0, False)]
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.places: list[int] = []
-        self.part: list[str] = []
+        self.pieces: list[list[tuple[int, str]]] = []
+        self.part: list[tuple[int, str]] = []
         self.seen = 0
 
     def _skipped(self, tag: str, attrs) -> bool:
-        above = self.open[-1]
-        inside = {name for name, _, _ in self.open} if tag in ("header", *HEADINGS) else ()
-        if above[2]:
+        if self.open[-1][2]:
             # The heading of an article often sits in a header of its own.
-            return not (tag in HEADINGS and "header" in inside and self._in_article_header())
+            return not (tag in HEADINGS and self._in_article_header())
         if tag in SKIPPED:
             return True
         if tag in ("html", "body", "main", "article"):
@@ -78,20 +85,25 @@ class Lines(HTMLParser):
                 return True
             if name in ("hidden",) or name == "aria-hidden" and value == "true":
                 return True
-            if name in ("class", "id") and not SKIPPED_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value.lower())):
-                return True
         return False
 
+    def _article(self) -> int:
+        """Depth of the innermost open article or main, 0 for none."""
+        return next((d for d in range(len(self.open) - 1, 0, -1) if self.open[d][0] in ("article", "main")), 0)
+
     def _in_article_header(self) -> bool:
-        skipped = [name for name, _, out in self.open if out]
-        return set(skipped) <= {"header", "div", "hgroup", "span", "a"} and any(n in ("article", "main") for n, _, _ in self.open)
+        depth = self._article()
+        inside = self.open[depth + 1:]
+        skipped = {name for name, place, out in inside if out or self.marked[place]}
+        return depth > 0 and skipped <= {"header", "div", "hgroup", "span", "a"} and any(n == "header" for n, _, _ in inside)
 
     def _line(self) -> None:
-        text = SPACES.sub(" ", "".join(self.part)).strip()
+        text = SPACES.sub(" ", "".join(x for _, x in self.part)).strip()
         if text:
             self.texts.append(text)
             self.tags.append(self.seen)
             self.places.append(self.open[-1][1])
+            self.pieces.append(self.part)
             self.seen = 0
         self.part = []
 
@@ -119,9 +131,13 @@ class Lines(HTMLParser):
             return
         place = self.open[-1][1]
         out = self._skipped(tag, attrs)
-        if tag in REGIONS and not out:
+        if self.open[-1][2] and not out:
+            place = self.open[self._article()][1]
+        mark = not out and marked(tag, attrs)
+        if not out and (mark or tag in REGIONS):
             self.names.append(tag)
             self.parents.append(place)
+            self.marked.append(mark)
             place = len(self.names) - 1
         self.open.append((tag, place, out))
 
@@ -144,7 +160,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         if not self.open[-1][2]:
-            self.part.append(data)
+            self.part.append((self.open[-1][1], data))
 
     def end(self) -> Lines:
         self.close()
@@ -159,14 +175,92 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach, mode="edge"), weights / weights.sum(), mode="valid")
 
 
+def cluster(page: Lines, sigma: float = SIGMA) -> np.ndarray:
+    """Which lines are in the content cluster."""
+    size = np.array([len(x) for x in page.texts], dtype=float)
+    score = smoothed(size / np.maximum(1, page.tags), sigma)
+    return score >= min(score.std(), score.max())
+
+
+def furniture(page: Lines, sigma: float = SIGMA) -> list[bool]:
+    """Which elements are furniture: marked ones, and all in them, unless they hold the article or most of the text.
+
+    A marked element stays if it holds an article or main with more text than all those beside it (comments may be
+    articles too), or if it holds the larger part of the cluster's text and no article stands beside it. Beside it are
+    the articles that do not hold it and that no further marked element parts from it. If nothing of the cluster would
+    be left, all marked elements stay.
+    """
+    n = len(page.names)
+    text, mass = [0] * n, [0] * n
+    for pieces, chosen in zip(page.pieces, cluster(page, sigma).tolist(), strict=True):
+        for place, x in pieces:
+            size = len(SPACES.sub(" ", x).strip())
+            text[place] += size
+            mass[place] += size * chosen
+    own = mass.copy()
+    scope, article = [0] * n, [0] * n  # innermost marked element, and innermost article or main, with the element itself
+    inner, largest, direct, free = [0] * n, [0] * n, [0] * n, [0] * n
+    for i in range(n):
+        up = max(0, page.parents[i])
+        scope[i] = i if page.marked[i] else scope[up]
+        article[i] = i if page.names[i] in ("article", "main") else article[up]
+        if article[i]:
+            inner[article[i]] += text[i]
+            if scope[i] == scope[article[i]]:
+                direct[article[i]] += text[i]
+                free[scope[i]] += text[i]
+    for i in range(n - 1, 0, -1):  # children come after their parents
+        mass[page.parents[i]] += mass[i]
+        largest[page.parents[i]] = max(largest[page.parents[i]], largest[i], inner[i])
+    chain = direct.copy()
+    others, opened, gone = [0] * n, [0] * n, [False] * n
+    for i in range(1, n):
+        up = page.parents[i]
+        same = article[up] and scope[article[up]] == scope[up]
+        if article[i] == i and same:
+            chain[i] += chain[article[up]]
+        if page.marked[i]:
+            others[i] = free[scope[up]] - (chain[article[up]] if same else 0)
+            if largest[i] > others[i]:
+                opened[scope[up]] += largest[i]
+    for i in range(1, n):
+        up = page.parents[i]
+        gone[i] = gone[up] or page.marked[i] and largest[i] <= others[i] and (
+            others[i] + opened[scope[up]] > 0 or 2 * mass[i] <= mass[0])
+    return gone if any(m and not g for m, g in zip(own, gone, strict=True)) else [False] * n
+
+
+def settle(page: Lines, sigma: float = SIGMA) -> Lines:
+    """``page`` without the lines, and the pieces of lines, that lie in furniture."""
+    if not page.texts or not any(page.marked):
+        return page
+    gone = furniture(page, sigma)
+    lines = zip(page.texts, page.tags, page.places, page.pieces, strict=True)
+    page.texts, page.tags, page.places, page.pieces, seen = [], [], [], [], 0
+    for text, tags, place, pieces in lines:
+        seen += tags
+        kept = [(at, x) for at, x in pieces if not gone[at]]
+        if len(kept) < len(pieces):
+            text = SPACES.sub(" ", "".join(x for _, x in kept)).strip()
+        if text:
+            while gone[place]:
+                place = page.parents[place]
+            page.texts.append(text)
+            page.tags.append(seen)
+            page.places.append(place)
+            page.pieces.append(kept)
+            seen = 0
+    return page
+
+
 def content(page: Lines, sigma: float = SIGMA) -> list[str]:
     """The lines of the content region."""
+    page = settle(page, sigma)
     if not page.texts:
         return []
     size = np.array([len(x) for x in page.texts], dtype=float)
-    score = smoothed(size / np.maximum(1, page.tags), sigma)
-    chosen = score >= min(score.std(), score.max())
     mass = np.zeros(len(page.names))
+    chosen = cluster(page, sigma)
     np.add.at(mass, np.array(page.places)[chosen], size[chosen])
     for i in range(len(mass) - 1, 0, -1):  # children come after their parents
         mass[page.parents[i]] += mass[i]
