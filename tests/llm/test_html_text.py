@@ -70,6 +70,22 @@ def test_region_without_an_article():
     assert text == f"{PROSE}{PROSE}".strip()
 
 
+REGION_CASES = [
+    (f"<main><p>{PROSE}</p><p>{PROSE}</p><article><p>{PROSE * 3}</p></article></main>", PROSE * 5),
+    (f"<main><article><p>1 {PROSE}</p></article><article><p>{PROSE}</p></article></main><div>{MENU}</div>", f"1 {PROSE}{PROSE}"),
+    (f"<article><p>1 {PROSE}</p></article><div><a href=x>Go</a></div><article><p>{PROSE}</p><p>E</p></article>", f"1 {PROSE}{PROSE}E"),
+    ("<div><p>intro</p><ul>" + f"<li>{PROSE}</li>" * 20 + "</ul><p>end</p></div>", f"intro {PROSE * 20}end"),
+    (f"<div><p>{PROSE}</p><table>" + f"<tr><td>{PROSE}</td></tr>" * 9 + "</table></div>", PROSE * 10),
+    (f"<div><p>Lead.</p><p>{PROSE}</p><section><p>{PROSE * 9}</p></section><blockquote>Q</blockquote></div>", f"Lead. {PROSE * 10}Q"),
+    (f"<table><tr><td><a href=x>Go</a><br><a href=y>On</a></td><td><p>{PROSE}</p><p>E</p></td></tr></table>", f"{PROSE}E"),
+]
+
+
+@pytest.mark.parametrize("body, text", REGION_CASES)
+def test_region_holds_all_content(body, text):
+    assert h.main_text(page(body)) == text.strip()
+
+
 def test_whole_table(spark):
     """The given pages have their text in an article element."""
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()

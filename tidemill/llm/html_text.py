@@ -2,10 +2,11 @@
 
 The parser's events are cut into lines at block elements. A line has its text, the number of tags in it and the element
 that holds it. Elements that are page furniture by tag or role give no lines. A class or id that names furniture decides
-after parsing (``furniture``), as layout wrappers have such names too. The ratio of text to tags of the
-lines is smoothed with a Gaussian, and the lines from the threshold up are the content cluster. The content region is
-the innermost element that holds most of the text of that cluster (an article or main element is preferred); all its
-lines are the main text, so a short paragraph between long ones stays.
+after parsing (``furniture``), as layout wrappers have such names too. The ratio of text to tags of the lines is smoothed
+with a Gaussian, and the lines from the threshold up are the content cluster. The content region is the smallest element
+that holds all lines of that cluster, links aside. Article and main elements are preferred: if they hold half or more of
+the cluster's text, the region is the union of all of them that have lines of it, and text outside them is not main
+text. All lines of the region are the main text, so a short paragraph between long ones stays.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from pyspark.sql import types as T
 from tidemill.llm.common import table
 
 SIGMA = 1.5
-HOLDS = 0.8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset
@@ -38,7 +38,8 @@ SKIPPED_NAMES = frozenset("""ad ads adbox advert advertisement advertising adver
     navigation newsletter notice notices notification pagination popup promo promotion related respond share sharing
     sidebar signup social sponsor sponsored subscribe subscription toolbar widget""".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-REGIONS = frozenset("article body center div main section table tbody td tr ul ol dl blockquote".split())
+#: Lists, tables and quotes are content of the element around them, not regions; cells lay out old pages.
+REGIONS = frozenset("article body center div main section td".split())
 #: Elements that end an open element of the same list when they begin.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
         "th": ("td", "th"), "option": ("option",)}
@@ -62,12 +63,13 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.names, self.parents, self.marked = ["body"], [-1], [False]
-        self.open: list[tuple[str, int, bool]] = [("", 0, False)]
+        #: Name, element, whether skipped, whether in a link.
+        self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.places: list[int] = []
-        self.pieces: list[list[tuple[int, str]]] = []
-        self.part: list[tuple[int, str]] = []
+        self.pieces: list[list[tuple[int, str, bool]]] = []
+        self.part: list[tuple[int, str, bool]] = []
         self.seen = 0
 
     def _skipped(self, tag: str, attrs) -> bool:
@@ -94,11 +96,11 @@ class Lines(HTMLParser):
     def _in_article_header(self) -> bool:
         depth = self._article()
         inside = self.open[depth + 1:]
-        skipped = {name for name, place, out in inside if out or self.marked[place]}
-        return depth > 0 and skipped <= {"header", "div", "hgroup", "span", "a"} and any(n == "header" for n, _, _ in inside)
+        skipped = {name for name, place, out, _ in inside if out or self.marked[place]}
+        return depth > 0 and skipped <= {"header", "div", "hgroup", "span", "a"} and any(n == "header" for n, *_ in inside)
 
     def _line(self) -> None:
-        text = SPACES.sub(" ", "".join(x for _, x in self.part)).strip()
+        text = SPACES.sub(" ", "".join(x for _, x, _ in self.part)).strip()
         if text:
             self.texts.append(text)
             self.tags.append(self.seen)
@@ -139,7 +141,7 @@ class Lines(HTMLParser):
             self.parents.append(place)
             self.marked.append(mark)
             place = len(self.names) - 1
-        self.open.append((tag, place, out))
+        self.open.append((tag, place, out, self.open[-1][3] or tag == "a" and any(name == "href" for name, _ in attrs)))
 
     def handle_startendtag(self, tag, attrs):
         # <div/> opens an element in HTML, only void ones do not.
@@ -148,7 +150,7 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self._line()
-        if tag == "p" and not any(name == "p" for name, _, _ in self.open):
+        if tag == "p" and not any(name == "p" for name, *_ in self.open):
             return
         self.seen += 1
         for depth in range(len(self.open) - 1, 0, -1):
@@ -160,7 +162,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         if not self.open[-1][2]:
-            self.part.append((self.open[-1][1], data))
+            self.part.append((self.open[-1][1], data, self.open[-1][3]))
 
     def end(self) -> Lines:
         self.close()
@@ -193,7 +195,7 @@ def furniture(page: Lines, sigma: float = SIGMA) -> list[bool]:
     n = len(page.names)
     text, mass = [0] * n, [0] * n
     for pieces, chosen in zip(page.pieces, cluster(page, sigma).tolist(), strict=True):
-        for place, x in pieces:
+        for place, x, _ in pieces:
             size = len(SPACES.sub(" ", x).strip())
             text[place] += size
             mass[place] += size * chosen
@@ -239,9 +241,9 @@ def settle(page: Lines, sigma: float = SIGMA) -> Lines:
     page.texts, page.tags, page.places, page.pieces, seen = [], [], [], [], 0
     for text, tags, place, pieces in lines:
         seen += tags
-        kept = [(at, x) for at, x in pieces if not gone[at]]
+        kept = [piece for piece in pieces if not gone[piece[0]]]
         if len(kept) < len(pieces):
-            text = SPACES.sub(" ", "".join(x for _, x in kept)).strip()
+            text = SPACES.sub(" ", "".join(x for _, x, _ in kept)).strip()
         if text:
             while gone[place]:
                 place = page.parents[place]
@@ -259,17 +261,34 @@ def content(page: Lines, sigma: float = SIGMA) -> list[str]:
     if not page.texts:
         return []
     size = np.array([len(x) for x in page.texts], dtype=float)
-    mass = np.zeros(len(page.names))
-    chosen = cluster(page, sigma)
-    np.add.at(mass, np.array(page.places)[chosen], size[chosen])
+    places = np.array(page.places)
+    dense = cluster(page, sigma)
+    links = np.array([sum(len(SPACES.sub(" ", x).strip()) for _, x, link in pieces if link) for pieces in page.pieces])
+    prose = dense & (2 * links < size)
+    chosen = prose if prose.any() else dense
+    mass, held = np.zeros(len(page.names)), np.zeros(len(page.names), dtype=int)
+    np.add.at(mass, places[chosen], size[chosen])
+    np.add.at(held, places[chosen], 1)
     for i in range(len(mass) - 1, 0, -1):  # children come after their parents
         mass[page.parents[i]] += mass[i]
-    best = [i for i, n in enumerate(page.names) if n in ("article", "main") and mass[i] >= 0.5 * mass[0]]
-    region = max(best) if best else max(i for i in range(len(mass)) if mass[i] >= HOLDS * mass[0])
+        held[page.parents[i]] += held[i]
+    outer, top = [], [0] * len(mass)  # outermost articles and mains; the one that an element lies in
+    for i, name in enumerate(page.names):
+        top[i] = top[max(0, page.parents[i])] or (i if name in ("article", "main") else 0)
+        if i and top[i] == i and held[i]:
+            outer.append(i)
+    if 2 * sum(mass[i] for i in outer) >= mass[0]:
+        smallest = {i: i for i in outer}
+        for i, name in enumerate(page.names):
+            if name in ("article", "main") and top[i] in smallest and held[i] == held[top[i]]:
+                smallest[top[i]] = i
+        regions = list(smallest.values())
+    else:
+        regions = [max(i for i, n in enumerate(page.names) if n in REGIONS and held[i] == held[0])]
     inside = np.zeros(len(mass), dtype=bool)
-    inside[region] = True
-    for i in range(region + 1, len(mass)):
-        inside[i] = inside[page.parents[i]]
+    inside[regions] = True
+    for i in range(1, len(mass)):
+        inside[i] |= inside[page.parents[i]]
     return [x for x, place in zip(page.texts, page.places, strict=True) if inside[place]]
 
 
