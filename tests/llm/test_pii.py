@@ -43,6 +43,31 @@ def test_added_kinds(spark):
     assert [(s.start, s.end) for s in rows[1].ssn] == [(10, 21)]
 
 
+def cut(spark, texts, kind):
+    rows = pii.find(docs(spark, texts)).orderBy("doc_id").collect()
+    return [[t[s.start:s.end] for s in r[kind]] for t, r in zip(texts, rows, strict=True)]
+
+
+def test_account_ends(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    other = "ZZ" + f"{98 - int('3704004405320130003535' + '00') % 97:02d}" + " 3704 0044 0532 0130 00"
+    texts = [f"{de} BIC COBADEFFXXX", f"{de} EUR 50", f"é {de} {gb} {no} Then", f"😀{de.replace(' ', '')} AND {gb},", f"AB12 {de}",
+             f"{other} EUR 50", f"{de}x {de}X", f"{de[:-1]}1 BIC", "AB12 " * 20_000, "AB12" + "A" * 50_000]
+    assert cut(spark, texts, "iban") == [
+        [de], [de], [de, gb, no], [de.replace(" ", ""), gb], [de], [other], [], [], [], []]
+    scores = [s.score for s in pii.find(docs(spark, [f"IBAN {de} EUR " + "x" * 60 + f" {gb}"])).first().iban]
+    assert scores == [pytest.approx(1.0), pytest.approx(0.8)]
+    red = pii.redact(docs(spark, texts[:2])).orderBy("doc_id").collect()
+    assert [r.text for r in red] == ["[IBAN] BIC COBADEFFXXX", "[IBAN] EUR 50"]
+
+
+def test_context_of_a_list(spark):
+    a, b, c = "123-45-6789", "234-56-7890", "345-67-8901"
+    texts = [f"SSN: {a}, {b}, {c}", f"{a}; {b} and {c} are social security numbers", f"ssn {a} (he), {b} (she)",
+             f"ssn {a} {b}", f"{a}, {b}", f"{a} x {b}, ssn {c}", "SSN " + f"{a}, " * 500]
+    assert cut(spark, texts, "ssn") == [[a, b, c], [a, b, c], [a, b], [a, b], [], [b, c], [a] * 500]
+
+
 def test_scores_follow_context(spark):
     text = "tarjeta 4111111111111111 " + "x" * 60 + " 4111111111111111"
     scores = [s.score for s in pii.find(docs(spark, [text])).first().card]
