@@ -76,6 +76,23 @@ def test_mix(spark, block):
     assert sorted(map(str, again.collect())) == sorted(map(str, out))
 
 
+def lopsided(big=1000, small=40):
+    """One large source, smaller ones of one or two blocks of 64 with one long document each."""
+    rnd = random.Random(5)
+    rows = [(i, 50 + rnd.randrange(50), "big") for i in range(big)]
+    for k in range(6):
+        more = small if k % 2 else 3 * small
+        rows += [(10_000 * (k + 1) + i, 50 + rnd.randrange(50) if i else 400, f"s{k}") for i in range(more)]
+    return [(i, " ".join(["w"] * n), source) for i, n, source in rows]
+
+
+def test_small_sources_beside_a_large_one(spark):
+    total = {}
+    for r in m.mix(spark.createDataFrame(lopsided(), DOCS), block=64).collect():
+        total.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert all(abs(taken - target) <= 2 for target, taken in total.values()), total
+
+
 def test_whole_table(spark):
     rows = m.op6_source_mix(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()

@@ -7,8 +7,9 @@ source into 0 or 1 while it keeps two totals: the number of documents and the nu
 Flight: among three undecided documents there is a direction in which the probabilities can move without changing
 either total; they move until one of them is 0 or 1. Documents are dealt into blocks by hash, blocks fly on their own,
 and what is left of them (at most two documents a block) flies on in the blocks of the next level, until one block a
-source is left. Landing: the last ``LANDING`` documents of that block and what its flight left take, of all 0/1 choices,
-the one that misses the word total least.
+source is left; sources of few blocks hold documents of each back from the flight, ``LANDING`` in all, so that the last
+block has enough of them. Landing: the last ``LANDING`` documents of a source's last block and what its flight left take,
+of all 0/1 choices, the one that misses the word total least.
 
 Only (source, id, size, hash) rows move. Hashes and seeds come from the rows, so a rerun or a lost task gives the same.
 """
@@ -101,15 +102,17 @@ def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
     return p
 
 
-def _flight(level: int, last: bool):
-    """A block's rows with their probabilities after the flight, and after the landing in the last level."""
+def _flight(level: int):
+    """A block's rows with their probabilities after the flight, and after the landing if its source has no other block."""
 
     def run(block: pa.Table) -> pa.Table:
         size, p = block["size"].to_numpy(), block["p"].to_numpy()
         order = np.lexsort((size, block["key"].to_numpy()))
         name = f"{level}|{block['block'][0]}|{block['source'][0]}"
-        flown = fly(size[order], p[order], np.random.default_rng(zlib.crc32(name.encode())), LANDING if last else 0)
-        flown = land(size[order], flown) if last else flown
+        left = block["left"][0].as_py()
+        hold = -(-LANDING // left) if left <= LANDING else 0
+        flown = fly(size[order], p[order], np.random.default_rng(zlib.crc32(name.encode())), hold)
+        flown = land(size[order], flown) if left == 1 else flown
         after = np.empty_like(flown)
         after[order] = flown
         return block.set_column(block.schema.get_field_index("p"), "p", pa.array(after))
@@ -141,16 +144,17 @@ def mix(docs: DataFrame, id_column: str = "doc_id", weights: tuple[int, ...] = W
     counts = rows.groupBy("source").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     blocks = counts.agg(F.max("blocks")).first()[0] or 0
     units = units.join(counts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))) \
-        .withColumn("block", F.pmod("key", "blocks")).drop("s", "blocks")
+        .withColumn("block", F.pmod("key", "blocks")).drop("s").withColumnRenamed("blocks", "left")
     schema, done, level = units.schema, None, 0
     undecided = (F.col("p") > 0) & (F.col("p") < 1)
     while blocks:
         last = blocks == 1
-        flown = units.groupBy("source", "block").applyInArrow(_flight(level, last), schema)
+        flown = units.groupBy("source", "block").applyInArrow(_flight(level), schema)
         flown = cut_lineage(flown, "flight")
         settled = flown if last else flown.filter(~undecided)
         done = settled if done is None else done.unionByName(settled)
-        units = flown.filter(undecided).withColumn("block", F.floor(F.col("block") / (block // 2)).cast("long"))
+        units = flown.filter(undecided).withColumn("block", F.floor(F.col("block") / (block // 2)).cast("long")) \
+            .withColumn("left", F.ceil(F.col("left") / (block // 2)).cast("long"))
         blocks, level = 0 if last else -(-blocks // (block // 2)), level + 1
     done = units if done is None else done
     copies = F.col("copies") + F.col("p").cast("long")
