@@ -2,12 +2,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from paths import SF_DIR
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 
-SF_DIR = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -2,7 +2,7 @@
 
 import pytest
 from check import compare
-from conftest import SF_DIR
+from paths import SF_DIR
 
 import __spark_entry__ as contract
 from tidemill.plans.catalog import QUERIES
