@@ -7,6 +7,7 @@ from tidemill.llm.chat import op9_chat_snapshots
 from tidemill.llm.decontaminate import op2_decontaminate
 from tidemill.llm.html_text import op10_html_text
 from tidemill.llm.jaccard import op7_ngram_jaccard_join
+from tidemill.llm.lloyd import op11_vector_codes
 from tidemill.llm.mixing import op6_source_mix
 from tidemill.llm.pii import op3_pii
 from tidemill.llm.quality import op4_quality_rules
@@ -17,7 +18,7 @@ from tidemill.llm.warc import op1_warc
 
 QUERIES = {q.__name__: q for q in (
     op1_warc, op2_decontaminate, op3_pii, op4_quality_rules, op5_secret_scan, op6_source_mix, op7_ngram_jaccard_join,
-    op8_token_counts, op9_chat_snapshots, op10_html_text, op13_bpe,
+    op8_token_counts, op9_chat_snapshots, op10_html_text, op11_vector_codes, op13_bpe,
 )}
 
 __all__ = ["QUERIES", "SQL"]
