@@ -112,3 +112,19 @@ c AS (SELECT page_id, url, list_transform(x, lambda y: trim(regexp_replace(
             '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS x FROM b),
 d AS (SELECT page_id, url, array_to_string(list_filter(x, lambda y: y <> ''), ' ') AS text FROM c)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
+
+RANK_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SQL["op12_ranked_search"] = f"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{RANK_TERM}')) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(
+        {LOWER.format("coalesce(text, '')")}, '{RANK_TERM}')) AS t FROM benchmark) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+      FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), s),
+m AS (SELECT doc_id, 25 + (75 * n * docs) // words AS m FROM n, s),
+f AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f WHERE score > 0) WHERE rank <= 10"""
