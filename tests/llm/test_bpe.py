@@ -43,7 +43,16 @@ def merged_by_scan(symbols, pairs):
 @given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.tuples(st.integers(0, 7), st.integers(0, 7)), unique=True, max_size=12))
 def test_root_is_the_leftmost_lowest_pair(symbols, merges):
     pairs = {a << 32 | b: (rank, 4 + rank) for rank, (a, b) in enumerate(merges)}
-    assert bpe.merge_lowest(symbols, pairs) == merged_by_scan(symbols, pairs)
+    want = merged_by_scan(symbols, pairs)
+    assert bpe.merge_lowest(symbols, pairs) == want
+    others = [[], [1], symbols[:3], symbols]
+    assert [x.tolist() for x in bpe.merge_many(others, bpe.Pairs(pairs))] == [merged_by_scan(o, pairs) for o in others]
+
+
+def test_forgotten_pretokens_come_back(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 5)
+    for text in ("a few words and some more of them", "others stand here", "a few words again of them", "x" * 500):
+        assert ids(codec.encode_many([text, "them again", text])[2]) == library.encode(text).ids
 
 
 @settings(max_examples=600, deadline=None)

@@ -23,14 +23,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.llm.common import fresh, table
+from tidemill.llm.words import row_ranges, text_buffer
 
 #: Fixed value: how a byte-level vocabulary splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "byte_bpe_50k.json"
 FILE_LIMIT = 64 << 20
-CACHE = 300_000
+CACHE = 400_000
 CACHED_CHARS = 64
 ROWS = 256
+#: Bytes of text that are encoded at once, symbols up to which pre-tokens are merged together, and how many of these.
+CHARS = 2 << 20
+TOGETHER, STEP = 64, 8192
 NO_PAIR = 1 << 62
 
 _codecs: dict[bytes, Codec] = {}
@@ -88,6 +92,66 @@ def merge_lowest(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> list[
     return [s for s in symbols if s >= 0]
 
 
+class Pairs:
+    """Ranks of mergeable pairs, for one lookup or for many at once."""
+
+    def __init__(self, merges: dict[int, tuple[int, int]]):
+        self.of = merges
+        keys = np.fromiter(merges, np.int64, len(merges))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], NO_PAIR)
+        self.ranks = np.append(np.fromiter((r for r, _ in merges.values()), np.int64, len(merges))[order], 0)
+        self.merged = np.zeros(len(merges), np.int64)
+        for rank, symbol in merges.values():
+            self.merged[rank] = symbol
+
+    def leaves(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+        """(rank << bits | place) of the pairs, ``NO_PAIR`` where there is none; symbols below 0 are no symbols."""
+        key = left << 32 | right
+        found = np.searchsorted(self.keys, key)
+        np.minimum(found, len(self.keys) - 1, out=found)
+        return np.where((self.keys[found] == key) & (left >= 0) & (right >= 0), self.ranks[found] << bits | at, NO_PAIR)
+
+
+def merge_many(rows: list[list[int]], pairs: Pairs) -> list[np.ndarray]:
+    """``merge_lowest`` of many short symbol lists at once: one segment tree a row, merged in step."""
+    if not rows:
+        return []
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    bits = max(0, int(sizes.max()) - 2).bit_length()
+    width = 1 << bits
+    symbols = np.full((len(rows), width + 2), -1, np.int64)
+    symbols[np.arange(width + 2) < sizes[:, None]] = np.fromiter((s for r in rows for s in r), np.int64, int(sizes.sum()))
+    tree = np.full((len(rows), 2 * width), NO_PAIR, np.int64)
+    tree[:, width:] = pairs.leaves(symbols[:, :width], symbols[:, 1:width + 1], np.arange(width), bits)
+    for level in range(bits - 1, -1, -1):
+        low = 1 << level
+        tree[:, low:2 * low] = np.minimum(tree[:, 2 * low:4 * low:2], tree[:, 2 * low + 1:4 * low:2])
+    after = np.tile(np.minimum(np.arange(1, width + 3), width + 1), (len(rows), 1))
+    before = np.tile(np.arange(-1, width + 1), (len(rows), 1))
+    live = np.flatnonzero(tree[:, 1] != NO_PAIR)
+    while len(live):
+        root = tree[live, 1]
+        at, rank = root & (width - 1), root >> bits
+        gone = after[live, at]
+        right, left = after[live, gone], before[live, at]
+        now = pairs.merged[rank]
+        symbols[live, at], symbols[live, gone] = now, -1
+        after[live, at], before[live, right] = right, at
+        first = np.maximum(left, 0)
+        tree[live, np.minimum(width + gone, 2 * width - 1)] = NO_PAIR
+        tree[live, width + at] = pairs.leaves(now, symbols[live, right], at, bits)
+        other = pairs.leaves(np.where(left >= 0, symbols[live, first], -1), now, first, bits)
+        tree[live, width + first] = np.where(left >= 0, other, tree[live, width + first])
+        for place in (gone, at, first):
+            node = np.minimum(width + place, 2 * width - 1)
+            for _ in range(bits):
+                node >>= 1
+                tree[live, node] = np.minimum(tree[live, 2 * node], tree[live, 2 * node + 1])
+        live = live[tree[live, 1] != NO_PAIR]
+    return [r[r >= 0] for r in symbols]
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file; remembers the ids of the newest ``CACHE`` to twice as many pre-tokens."""
 
@@ -109,10 +173,8 @@ class Codec:
         self.symbol = [-1] * 256
         for c, b in self.byte_of.items():
             self.symbol[b] = vocab.get(c, -1)
-        self.pairs: dict[int, tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.pairs[vocab[a] << 32 | vocab[b]] = rank, vocab[a + b]
+        merges = (pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"])
+        self.pairs = Pairs({vocab[a] << 32 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)})
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
@@ -162,30 +224,49 @@ class Codec:
                 text.translate({ord(c): self.proxies[ord(c)] for c in young}))]
         return self.pieces.findall(text)
 
-    def _piece(self, piece: str) -> bytes:
-        out = self.older.get(piece)
-        if out is None:
-            symbols = [s for b in piece.encode() if (s := self.symbol[b]) >= 0]
-            out = np.array(merge_lowest(symbols, self.pairs), "<u4").tobytes()
-        if len(piece) <= CACHED_CHARS:
-            if len(self.known) >= CACHE:
-                self.older, self.known = self.known, {}
-            self.known[piece] = out
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens; those of short ones are remembered."""
+        if len(self.known) + len(pieces) > CACHE:
+            self.older, self.known = self.known, {}
+        found = {p: self.older[p] for p in pieces if p in self.older}
+        new = sorted((p for p in pieces if p not in found), key=len)
+        symbols = [[s for b in p.encode() if (s := self.symbol[b]) >= 0] for p in new]
+        alone = [i for i, x in enumerate(symbols) if len(x) > TOGETHER]
+        for i in alone:
+            found[new[i]] = np.array(merge_lowest(symbols[i], self.pairs.of), "<u4").tobytes()
+        rest = [i for i, x in enumerate(symbols) if len(x) <= TOGETHER]
+        for a in range(0, len(rest), STEP):
+            some = rest[a:a + STEP]
+            for i, ids in zip(some, merge_many([symbols[i] for i in some], self.pairs), strict=True):
+                found[new[i]] = ids.astype("<u4").tobytes()
+        self.known.update((p, x) for p, x in found.items() if len(p) <= CACHED_CHARS)
+        return found
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        plain, added = [], []
+        for text in texts:
+            cuts = list(self.cut.finditer(text)) if self.cut else []
+            added.append([self.added[m.group()] for m in cuts])
+            edges = [0, *(x for m in cuts for x in m.span()), len(text)]
+            plain.append([self.split(text[a:b]) for a, b in zip(edges[::2], edges[1::2], strict=True)])
+        unknown = {p for parts in plain for pieces in parts for p in pieces if p not in self.known}
+        found = self._learn(unknown) if unknown else {}
+        out = []
+        for parts, between in zip(plain, added, strict=True):
+            ids = []
+            for pieces, token in zip(parts, [*between, b""], strict=True):
+                ids += b"".join([self.known.get(p) or found.get(p) or self._again(p) for p in pieces]), token
+            out.append(b"".join(ids))
         return out
 
-    def _plain(self, text: str) -> bytes:
-        known = self.known.get
-        return b"".join([known(p) or self._piece(p) for p in self.split(text)])
+    def _again(self, piece: str) -> bytes:
+        """A pre-token that was forgotten since, or one without ids."""
+        return self.older.get(piece) or np.array(merge_lowest(
+            [s for b in piece.encode() if (s := self.symbol[b]) >= 0], self.pairs.of), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if self.cut is None:
-            return self._plain(text)
-        out, at = [], 0
-        for m in self.cut.finditer(text):
-            out += self._plain(text[at:m.start()]), self.added[m.group()]
-            at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return self.encode_many([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; unknown ids say nothing, bytes that are no UTF-8 become U+FFFD."""
@@ -217,9 +298,10 @@ def _uint32(packed: list[bytes]) -> pa.Array:
 def _encoded(batches, content, packed: bool):
     codec = Codec.of(content)
     for batch in batches:
-        for a in range(0, batch.num_rows, ROWS):
-            part = batch.slice(a, ROWS)
-            ids = [codec.encode(x or "") for x in part.column(part.num_columns - 1).to_pylist()]
+        _, offsets = text_buffer(batch.column(batch.num_columns - 1))
+        for a, b in row_ranges(offsets, CHARS):
+            part = batch.slice(a, b - a)
+            ids = codec.encode_many([x or "" for x in part.column(part.num_columns - 1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()) if packed else _uint32(ids)],
                                              names=[str(i) for i in range(part.num_columns + 1)])
 
