@@ -1,6 +1,7 @@
 """Streaming jobs end in the batch result, also when restarted."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -17,10 +18,15 @@ def feed(spark, path, rows):
     spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").parquet(path)
 
 
-def apply(spark, tmp, table):
-    schema = spark.createDataFrame([], CHANGES).schema
-    source = jobs.file_stream(spark, str(tmp / "in"), schema)
-    jobs.start_change_application(source, table, str(tmp / "mark")).awaitTermination()
+def apply(spark, tmp, feed_to=None):
+    source = jobs.file_stream(spark, str(tmp / "in"), spark.createDataFrame([], CHANGES).schema)
+    query = jobs.start_change_application(source, ["key"], ["event_time", "offset"], str(tmp / "mark"), feed_to)
+    query.awaitTermination()
+    return query
+
+
+def live(spark, tmp):
+    return sorted((r.key, r.payload) for r in jobs.changed_table(spark, str(tmp / "mark")).collect())
 
 
 def test_out_of_order_changes_and_delete(spark):
@@ -31,30 +37,43 @@ def test_out_of_order_changes_and_delete(spark):
     assert jobs.apply_changes(deleted, ["key"], ["event_time", "offset"]).count() == 0
 
 
-def test_change_table_survives_restart_and_compaction(spark, tmp_path):
-    schema = spark.createDataFrame([], CHANGES).schema
-    path = str(tmp_path / "table")
-    table = jobs.ChangeTable(spark, path, schema, ["key"], ["event_time", "offset"], create=True)
+def test_changes_survive_restart_and_late_rows(spark, tmp_path):
     feed(spark, str(tmp_path / "in"), [change("INSERT", 1, 1, "a"), change("DELETE", 9, 9, key=2)])
-    apply(spark, tmp_path, table)
-    table.compact()
-    # A new process opens the same table; the late insert of key 2 is older than its delete.
-    table = jobs.ChangeTable(spark, path, schema, ["key"], ["event_time", "offset"])
+    apply(spark, tmp_path)
+    assert live(spark, tmp_path) == [(1, "a")]
+    # A new query over the same checkpoint; the late insert of key 2 is older than its delete.
     feed(spark, str(tmp_path / "in"), [change("UPDATE", 5, 5, "b"), change("INSERT", 2, 2, "late", key=2), change("INSERT", 6, 6, "c", key=3)])
-    apply(spark, tmp_path, table)
-    assert sorted((r.key, r.payload) for r in table.live().collect()) == [(1, "b"), (3, "c")]
-    table.compact()
-    table.compact()
-    assert sorted((r.key, r.payload) for r in table.live().collect()) == [(1, "b"), (3, "c")]
-
-
-def test_replayed_batch_changes_nothing(spark, tmp_path):
-    schema = spark.createDataFrame([], CHANGES).schema
-    table = jobs.ChangeTable(spark, str(tmp_path / "t"), schema, ["key"], ["event_time", "offset"], create=True)
-    batch = spark.createDataFrame([change("INSERT", 1, 1, "a"), change("INSERT", 1, 2, "b", key=2)], CHANGES)
-    for _ in range(3):
-        table.write_batch(batch, 0)
-    assert table.live().count() == 2
+    apply(spark, tmp_path)
+    assert live(spark, tmp_path) == [(1, "b"), (3, "c")]
+    feed(spark, str(tmp_path / "in"), [change("UPDATE", 4, 4, "older"), change("DELETE", 7, 7, key=3), change("INSERT", 10, 10, "back", key=2)])
+    apply(spark, tmp_path)
+    assert live(spark, tmp_path) == [(1, "b"), (2, "back")]
+    everything = jobs.changed_table(spark, str(tmp_path / "mark"), deleted=True)
+    assert sorted(r.key for r in everything.collect()) == [1, 2, 3]
+
+
+def test_any_order_of_batches_gives_the_batch_result(spark, tmp_path, rows):
+    rnd = random.Random(4)
+    changes = [change(rnd.choice(["INSERT", "UPDATE", "UPDATE", "DELETE"]), rnd.randrange(60), i, f"p{i}", rnd.randrange(12)) for i in range(120)]
+    rnd.shuffle(changes)
+    for a in range(0, 120, 30):
+        feed(spark, str(tmp_path / "in"), changes[a:a + 30])
+        apply(spark, tmp_path)
+    want = jobs.apply_changes(spark.createDataFrame(changes, CHANGES), ["key"], ["event_time", "offset"])
+    got = jobs.changed_table(spark, str(tmp_path / "mark")).select(want.columns)
+    assert rows(got) == rows(want)
+
+
+def test_a_batch_costs_its_own_keys(spark, tmp_path):
+    """The second batch touches one key of a state of 2000: one row of state is written, one goes to the feed."""
+    feed(spark, str(tmp_path / "in"), [change("INSERT", 1, i, "a", i) for i in range(2000)])
+    apply(spark, tmp_path, str(tmp_path / "feed"))
+    feed(spark, str(tmp_path / "in"), [change("UPDATE", 2, 5000, "b", 7)])
+    query = apply(spark, tmp_path, str(tmp_path / "feed"))
+    state = [p["stateOperators"][0] for p in query.recentProgress if p["numInputRows"]][-1]
+    assert (state["numRowsTotal"], state["numRowsUpdated"]) == (2000, 1)
+    assert spark.read.parquet(str(tmp_path / "feed" / "batch=1")).count() == 1
+    assert len(live(spark, tmp_path)) == 2000
 
 
 def test_incremental_load_resumes(spark, tmp_path):
@@ -84,7 +103,7 @@ def test_late_rows_are_kept_apart(spark, tmp_path):
     src, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
     schema = "id int, at timestamp_ntz"
     for rows in ([(1, dt.datetime(2024, 1, 10))], [(2, dt.datetime(2024, 1, 9, 12)), (3, dt.datetime(2024, 1, 1))]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        spark.createDataFrame(rows, schema).repartition(2).write.mode("append").parquet(src)
         jobs.start_late_split(jobs.file_stream(spark, src, schema), "at", "1 days", out, mark).awaitTermination()
     got = {r.id: str(r.is_late).lower() for r in spark.read.parquet(out).collect()}
     assert got == {1: "false", 2: "false", 3: "true"}

@@ -1,7 +1,8 @@
 """Order-dependent computations that stay parallel when one key holds most rows.
 
-Windows here never span a whole key: rows are ordered inside (key, time bucket), and a second,
-small window runs over one summary row per bucket.
+Windows here never span a whole key. Rows are dealt by range of (key, order) into slices of about equal numbers of rows,
+and windows run inside (key, slice). What a slice must know of those before or after it comes as one more row from a
+table of one row per key and slice. So one key with all rows, at one time, still uses all tasks.
 """
 
 from __future__ import annotations
@@ -9,13 +10,15 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.session import cut_lineage
 
-BUCKET = "_bucket"
+SLICE = "_slice"
+#: Distinct values of one key that one window of the percentiles holds.
+HELD = 100_000
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -25,31 +28,37 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(renamed, match, how).drop(*[f"_r_{c}" for c in keys])
 
 
-def _bucketed(df: DataFrame, time: str, unit: str) -> DataFrame:
-    return df.withColumn(BUCKET, F.date_trunc(unit, F.col(time).cast("timestamp_ntz")).cast("timestamp_ntz"))
+def sliced(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """``df`` with a number per slice of rows that follow one another in ``order``; written, so that the slices stay."""
+    return cut_lineage(df.repartitionByRange(*order).withColumn(SLICE, F.spark_partition_id()), "slices")
 
 
-def with_next(df: DataFrame, keys: list[str], time: str, tie: str, values: dict[str, str], unit: str = "hour") -> DataFrame:
+def with_next(df: DataFrame, keys: list[str], time: str, tie: str, values: dict[str, str]) -> DataFrame:
     """Add, for each ``new name: column``, that column of the key's next row in (time, tie) order."""
-    inside = W.partitionBy(*keys, BUCKET).orderBy(time, tie)
     packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
-    rows = _bucketed(df, time, unit).withColumn("_next", F.lead(packed).over(inside))
-    firsts = _bucketed(df, time, unit).groupBy(*keys, BUCKET).agg(F.min_by(packed, F.struct(time, tie)).alias("_head"))
-    following = firsts.select(*keys, BUCKET, F.lead("_head").over(W.partitionBy(*keys).orderBy(BUCKET)).alias("_head"))
-    joined = join_on(rows, following, [*keys, BUCKET])
-    chosen = F.coalesce("_next", "_head")
-    return joined.withColumns({n: chosen[n] for n in values}).drop(BUCKET, "_next", "_head")
-
-
-def with_running_sum(df: DataFrame, keys: list[str], time: str, tie: str, value: str, name: str, unit: str = "hour") -> DataFrame:
+    rows = sliced(df, [*keys, time, tie]).withColumns({"_value": packed, "_tail": F.lit(False)})
+    heads = rows.groupBy(*keys, SLICE).agg(F.min_by("_value", F.struct(time, tie)).alias("_value"))
+    after = heads.withColumn("_value", F.lead("_value").over(W.partitionBy(*keys).orderBy(SLICE))).filter("_value IS NOT NULL")
+    both = rows.unionByName(after.withColumn("_tail", F.lit(True)), allowMissingColumns=True)
+    following = F.lead("_value").over(W.partitionBy(*keys, SLICE).orderBy("_tail", time, tie))
+    found = both.withColumn("_next", following).filter(~F.col("_tail"))
+    return found.withColumns({n: F.col("_next")[n] for n in values}).drop(SLICE, "_value", "_tail", "_next")
+
+
+def prefix_sum(df: DataFrame, keys: list[str], order: list[Column | str], value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over the key's rows up to the current one in ``order``."""
+    rows = sliced(df, [*keys, *order]).withColumns({"_value": F.col(value), "_head": F.lit(False)})
+    before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, SLICE).agg(F.sum("_value").alias("_value"))
+    heads = sums.withColumn("_value", F.sum("_value").over(before)).filter("_value IS NOT NULL")
+    both = rows.unionByName(heads.withColumn("_head", F.lit(True)), allowMissingColumns=True)
+    upto = W.partitionBy(*keys, SLICE).orderBy(F.desc("_head"), *order).rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn(name, F.sum("_value").over(upto)).filter(~F.col("_head")).drop(SLICE, "_value", "_head")
+
+
+def with_running_sum(df: DataFrame, keys: list[str], time: str, tie: str, value: str, name: str) -> DataFrame:
     """Add the key's running sum of ``value`` in (time, tie) order, current row included."""
-    rows = _bucketed(df, time, unit)
-    inside = W.partitionBy(*keys, BUCKET).orderBy(time, tie).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    sums = rows.groupBy(*keys, BUCKET).agg(F.sum(value).alias("_sum"))
-    offsets = sums.select(*keys, BUCKET, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    summed = join_on(rows.withColumn(name, F.sum(value).over(inside)), offsets, [*keys, BUCKET])
-    return summed.withColumn(name, F.col(name) + F.col("_offset")).drop(BUCKET, "_offset")
+    return prefix_sum(df, keys, [time, tie], value, name)
 
 
 def longest_streaks(df: DataFrame, keys: list[str], time: str, tie: str, hit: str) -> DataFrame:
@@ -66,7 +75,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
 
     First a sketch brackets each wanted rank; then only values inside a bracket are kept and counted
     per value, the rest collapse to one count per gap. Groups of up to 2 * accuracy rows are counted
-    per value directly. No group's values ever meet in one buffer.
+    per value directly. Where a key may have more than ``HELD`` distinct values inside its brackets, they are summed
+    slice by slice, so no window grows with a key.
     """
     v = F.col("_v")
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(v.isNotNull())
@@ -87,8 +97,13 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     segment = reduce(lambda a, b: a + b, [(v >= lo).cast("int") for lo in lows] + [(v > hi).cast("int") for hi in highs])
     inside = reduce(lambda a, b: a | b, [v.between(lo, hi) for lo, hi in zip(lows, highs)])
     cells = joined.groupBy(*keys, "n", segment.alias("_seg"), F.when(inside, v).alias("_x")).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(W.partitionBy(*keys, "n").orderBy("_seg", "_x").rowsBetween(W.unboundedPreceding, 0))
-    ranked = cells.withColumn("_cum", upto)
+    # What a key can have inside its brackets follows from its rows, so this reads the sketch only.
+    most = sketch.agg(F.max("n")).first()[0] or 0
+    if min(most, max(2 * accuracy, 3 * margin * len(ps) * most)) > HELD:
+        ranked = prefix_sum(cells, [*keys, "n"], ["_seg", "_x"], "_c", "_cum")
+    else:
+        upto = F.sum("_c").over(W.partitionBy(*keys, "n").orderBy("_seg", "_x").rowsBetween(W.unboundedPreceding, 0))
+        ranked = cells.withColumn("_cum", upto)
     out = []
     for name, p in zip(names, ps):
         position = F.lit(p) * (F.col("n") - 1)

@@ -7,8 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.exprs import rnd, safe_divide
-
-RANK_BUCKETS = 256
+from tidemill.functions.ordered import prefix_sum
 
 
 def share_of_total(df: DataFrame, keys: list[str], value: str, name: str, digits: int = 2) -> DataFrame:
@@ -50,21 +49,10 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
 def value_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """Per distinct value: its rows ``n`` and the SQL rank of those rows by ``value`` descending.
 
-    Rows are counted per value, values are cut into quantile buckets, and a value's rank is the count
-    in higher buckets plus the count of higher values inside its bucket.
+    Rows are counted per value; a value's rank follows from the number of rows up to it, summed slice by slice.
     """
-    # Buckets only need the order of values, so they are cut on doubles, which compare fastest.
-    v = F.col(value).cast("double")
-    quantiles = [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)]
-    counts = df.filter(v.isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    edges = counts.agg(F.array_distinct(F.percentile_approx(v, quantiles, 10_000)).alias("e"))
-    # The edges are one row of at most RANK_BUCKETS numbers.
-    placed = counts.crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter("e", lambda e: e <= v))).drop("e")
-    above = placed.groupBy("_b").agg(F.sum("n").alias("_s")).select(
-        "_b", F.coalesce(F.sum("_s").over(W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
-    inside = F.sum("n").over(W.partitionBy("_b").orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1))
-    return placed.withColumn("_in", F.coalesce(inside, F.lit(0))).join(above, "_b").select(
-        value, "n", (F.col("_above") + F.col("_in") + 1).alias(name))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    return prefix_sum(counts, [], [F.desc(value)], "n", "_upto").select(value, "n", (F.col("_upto") - F.col("n") + 1).alias(name))
 
 
 def global_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:

@@ -1,8 +1,9 @@
 """Anomaly detection over run history, for all flows in one job.
 
 A flow's whole state is one aggregate row, so a flow with a third of all runs costs one partial
-value per task. Only the four newest runs (and the three newest failures) per flow leave the scan
-stage, limited before the shuffle.
+value per task: its newest run, its newest run that did not fail, and its measures. The failures in a
+row, of any number, are the runs after that one, counted by a second aggregate. Only the three newest
+failures per flow leave the scan stage as rows, limited before the shuffle.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import constants as k
 from tidemill.functions.exprs import back, dbl, decode, ratio_sum, rnd, safe_divide
+from tidemill.session import cut_lineage
 
 LATEST = ["run_no", "records_ingested", "records_loaded", "records_failed", "status", "error_message",
           "started_at", "completed_at", "duration_seconds", "null_rate", "duplicate_rate"]
 
-STREAK_CAP = k.MIN_CONSECUTIVE_FAILURES + 2
 
 
 def classify_error(message: Column) -> Column:
@@ -59,14 +60,26 @@ def newest_runs(runs: DataFrame, n: int) -> DataFrame:
 
 
 def consecutive_failures(runs: DataFrame) -> DataFrame:
-    """Failures in a row ending at the newest run, counted up to STREAK_CAP."""
-    newest = newest_runs(runs.select("pipeline_name", "started_at", "run_no", "status"), STREAK_CAP)
-    return newest.groupBy("pipeline_name").agg(_streak().alias("consecutive_failures"))
+    """Failures in a row ending at the newest run, however many, per flow."""
+    broken = cut_lineage(runs.groupBy("pipeline_name").agg(_last_break()), "breaks")
+    return _streaks(runs, broken)
 
 
-def _streak() -> Column:
-    broken = F.min(F.when(F.col("status") != "failed", F.col("rn") - 1))
-    return F.coalesce(broken, F.max("rn"))
+def _last_break() -> Column:
+    """The newest run that did not fail."""
+    return F.max(F.when(F.col("status") != "failed", _run_order())).alias("last_break")
+
+
+def _run_order() -> Column:
+    return F.struct("started_at", "run_no")
+
+
+def _streaks(runs: DataFrame, flows: DataFrame) -> DataFrame:
+    """Runs after each flow's ``last_break``; ``flows`` is a written table, so the planner knows its size."""
+    slim = runs.select("pipeline_name", _run_order().alias("at"))
+    after = F.col("last_break").isNull() | (F.col("at") > F.col("last_break"))
+    return slim.join(flows.select("pipeline_name", "last_break"), "pipeline_name").groupBy("pipeline_name").agg(
+        F.count_if(after).cast("int").alias("consecutive_failures"))
 
 
 def schema_drift_messages(runs: DataFrame, as_of: Column) -> DataFrame:
@@ -86,26 +99,24 @@ def schema_drift_messages(runs: DataFrame, as_of: Column) -> DataFrame:
 def flow_state(runs: DataFrame, as_of: Column) -> DataFrame:
     """One row per flow with everything the rules read.
 
-    Three passes: the newest runs (limited per flow before the shuffle), one hash aggregate of
-    numeric measures, and the last failures (time filter pushed to the scan).
+    Three passes: one aggregate (newest run, newest run that did not fail, measures), the count of the runs after the
+    latter, and the last failures (time filter pushed to the scan).
     """
     keyed = runs if "kind" in runs.columns else runs.withColumn("kind", F.col("pipeline_name"))
-    columns = ["kind", *LATEST]
-    newest = newest_runs(keyed.select("pipeline_name", *columns), STREAK_CAP).groupBy("pipeline_name").agg(
-        F.min_by(F.struct(*columns), "rn").alias("r"), _streak().alias("consecutive_failures"))
+    flows = cut_lineage(_measures(keyed, as_of), "flows")
     return (
-        newest.select("pipeline_name", "r.*", "consecutive_failures")
-        .join(_measures(keyed, as_of), "pipeline_name", "left")
+        flows.select("*", "r.*").drop("r", "last_break")
+        .join(_streaks(keyed, flows), "pipeline_name", "left")
         .join(schema_drift_messages(keyed, as_of), "pipeline_name", "left")
         .withColumn("as_of", as_of)
     )
 
 
 def _measures(runs: DataFrame, as_of: Column) -> DataFrame:
-    """7-day means, last-hour failure share, last success, today's and yesterday's loads."""
+    """Newest run, newest run that did not fail, 7-day means, last-hour failure share, last success, loads of two days."""
     at = F.col("started_at")
     dated = runs.select(
-        "pipeline_name", at, (F.col("status") == "success").alias("ok"), "completed_at",
+        "pipeline_name", at, "run_no", "status", F.struct("kind", *LATEST).alias("r"), (F.col("status") == "success").alias("ok"), "completed_at",
         "records_loaded", "records_ingested", "records_failed", "duration_seconds",
         F.when(F.col("records_ingested") > 0, safe_divide(F.col("records_failed"), F.col("records_ingested"))).otherwise(0.0)
         .alias("fail_share"),
@@ -116,6 +127,7 @@ def _measures(runs: DataFrame, as_of: Column) -> DataFrame:
     is_today = ok & (at >= today)
     is_yesterday = ok & (at >= back(today, "1 days")) & (at < today)
     return dated.groupBy("pipeline_name").agg(
+        F.max_by("r", _run_order()).alias("r"), _last_break(),
         *_seven_day_aggs(ok & (at >= back(F.col("as_of"), "7 days"))),
         F.avg(F.when(ok & (at >= back(F.col("as_of"), "1 hours")), F.col("fail_share"))).alias("hour_fail_share"),
         F.max(F.when(ok, F.col("completed_at"))).alias("last_success_at"),
@@ -157,7 +169,9 @@ def detect(runs: DataFrame, as_of: Column, sla: dict[str, int] | None = None,
     ingested = F.coalesce(F.nullif(F.col("avg_ingested"), zero), F.lit(1.0))
     # Values that several rules read are columns of their own, so the rules stay small enough to compile.
     state = flow_state(runs, as_of).withColumns({
-        "owner": runs.filter(F.col(kind_of) == cascade_owner).agg(F.min("pipeline_name")).scalar(),
+        # Without a flow of the owner's kind, the first of the failing flows reports the cascade.
+        "owner": F.coalesce(runs.filter(F.col(kind_of) == cascade_owner).agg(F.min("pipeline_name")).scalar(),
+                            _recent_failures(runs, as_of).agg(F.min("pipeline_name")).scalar()),
         "failing": _recent_failures(runs, as_of).agg(F.count("*")).scalar(),
         "loaded": F.coalesce("records_loaded", F.lit(0)),
         "duration": F.coalesce(dbl(F.col("duration_seconds")), zero),

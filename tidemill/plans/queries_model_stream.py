@@ -266,11 +266,10 @@ def _(t):
 
 @query("z02_apply_changes_stream", _LIVE, "changes")
 def _(t):
-    landing = _land(t.changes, t.spark, "changes")
-    table = jobs.ChangeTable(t.spark, scratch_path(t.spark, "state"), t.changes.schema, ["key"], ["event_time", "offset"], create=True)
+    landing, mark = _land(t.changes, t.spark, "changes"), scratch_path(t.spark, "mark")
     source = jobs.file_stream(t.spark, landing, t.changes.schema, files_per_batch=2)
-    jobs.start_change_application(source, table, scratch_path(t.spark, "mark")).awaitTermination()
-    return table.live()
+    jobs.start_change_application(source, ["key"], ["event_time", "offset"], mark).awaitTermination()
+    return jobs.changed_table(t.spark, mark).select(t.changes.columns)
 
 
 @query("z03_deduplicate_stream", "SELECT event_type, count(*) AS rows, count(DISTINCT event_id) AS events FROM events GROUP BY 1")
@@ -295,11 +294,11 @@ def _(t):
 @query("z05_late_rows", """SELECT event_type, ts < TIMESTAMP '2024-01-16' AND ts < (SELECT max(ts) FROM events) - INTERVAL 2 DAY AS is_late, count(*) AS rows FROM events GROUP BY 1, 2""")
 def _(t):
     landing, target = scratch_path(t.spark, "days"), scratch_path(t.spark, "split")
-    # Two deliveries: the second half of the month first, then the first half.
+    # Two deliveries of several files: the second half of the month first, then the first half. Each is one batch.
     half = F.lit("2024-01-16").cast("timestamp_ntz")
     mark = scratch_path(t.spark, "mark")
     for part in (t.events.filter(F.col("ts") >= half), t.events.filter(F.col("ts") < half)):
-        part.coalesce(1).write.mode("append").parquet(landing)
+        part.repartition(4).write.mode("append").parquet(landing)
         jobs.start_late_split(jobs.file_stream(t.spark, landing, t.events.schema), "ts", "2 days", target, mark).awaitTermination()
     return t.spark.read.parquet(target).groupBy("event_type", F.col("is_late").cast("boolean").alias("is_late")).agg(F.count("*").alias("rows"))
 
@@ -317,7 +316,7 @@ def _(t):
 def _(t):
     # Windows that the watermark, two hours behind the newest row, has passed.
     rows = t.stream_metrics.withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
-    landing, target = _land(rows, t.spark, "metrics", 1), scratch_path(t.spark, "hours")
+    landing, target = _land(rows, t.spark, "metrics"), scratch_path(t.spark, "hours")
     source = jobs.file_stream(t.spark, landing, rows.schema)
     jobs.start_rollup(source, "1 hour", "2 hours", target, scratch_path(t.spark, "mark")).awaitTermination()
     hours = t.spark.read.parquet(target)

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from tidemill.functions import constants as k
 from tidemill.functions.exprs import dbl, decode, rnd, safe_divide
 from tidemill.operators.anomalies import classify_error
 from tidemill.operators.merge import pick_one
-from tidemill.sources.sinks import VersionedTable
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -46,39 +44,44 @@ def apply_changes(changes: DataFrame, keys: list[str], order: list[str], op: str
     return latest_changes(changes, keys, order).filter(F.col(op) != "DELETE")
 
 
-class ChangeTable:
-    """Newest change per key, merged on read.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    Each batch appends only its own newest change per key, in a folder named by the batch, so a batch
-    costs its own size and a replay overwrites itself. ``compact`` folds the batches so far into a base
-    version numbered one past the last of them. Deletes are kept as tombstones, so a late older change
-    cannot bring a key back.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str], order: list[str], create: bool = False):
-        self.spark, self.log, self.schema, self.keys, self.order = spark, f"{path}/log", schema, keys, order
-        self.base = VersionedTable(spark, f"{path}/base", create)
-
-    def write_batch(self, batch: DataFrame, batch_id: int) -> None:
-        latest_changes(batch, self.keys, self.order).write.mode("overwrite").parquet(f"{self.log}/batch={batch_id}")
-
-    def newest(self) -> DataFrame:
-        """Newest change per key, tombstones included."""
-        folded = self.base.version()
-        log = self.spark.read.schema(self.schema).parquet(self.log).filter(F.col("batch") >= folded).drop("batch")
-        return latest_changes(self.base.read().unionByName(log) if folded else log, self.keys, self.order)
 
-    def live(self, op: str = "op") -> DataFrame:
-        return self.newest().filter(F.col(op) != "DELETE")
+def start_change_application(source: DataFrame, keys: list[str], order: list[str], checkpoint: str, feed: str | None = None) -> StreamingQuery:
+    """Keep the newest change per key in Spark's keyed state, deletes included, so late older changes cannot win.
 
-    def compact(self) -> None:
-        last = self.spark.read.schema(self.schema).parquet(self.log).agg(F.max("batch")).first()[0]
-        if last + 1 > self.base.version():
-            self.base.replace(self.newest(), version=last + 1)
-
-
-def start_change_application(source: DataFrame, table: ChangeTable, checkpoint: str) -> StreamingQuery:
-    return _available(source, checkpoint).foreachBatch(table.write_batch).start()
+    A batch costs its own keys: the state is a RocksDB store with a changelog, whatever its size. ``changed_table`` reads
+    it as a table. With ``feed``, the keys that each batch touched are also written there, in a folder named by the batch,
+    which a replay overwrites.
+    """
+    rest = [c for c in source.columns if c not in keys]
+    newest = source.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("newest")).select(*keys, "newest.*")
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{feed}/batch={batch_id}")
+
+    spark, writer = source.sparkSession, _available(newest, checkpoint).outputMode("update")
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+                "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        # A query takes the settings of its start; those of a first start stay with its checkpoint.
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        return (writer.foreachBatch(publish) if feed else writer.format("noop")).start()
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def changed_table(spark: SparkSession, checkpoint: str, op: str = "op", deleted: bool = False) -> DataFrame:
+    """The table that the changes applied under ``checkpoint`` leave; with ``deleted``, their tombstones too."""
+    state = spark.read.format("statestore").load(checkpoint)
+    rows = state.select("key.*", "value.valueWithExtremumOrdering.*")
+    return rows if deleted else rows.filter(F.col(op) != "DELETE")
 
 
 def start_deduplication(source: DataFrame, keys: list[str], time: str, lateness: str, target: str, checkpoint: str) -> StreamingQuery:
