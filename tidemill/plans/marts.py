@@ -220,14 +220,17 @@ def dim_locations(trips: DataFrame) -> DataFrame:
 
 def dim_geography(trips: DataFrame, orders: DataFrame) -> DataFrame:
     """Trips per zone and orders per city in one table, the other source's columns null."""
-    left = trips.select(F.col("pu_location_id").alias("location_id"), "trip_id", "fare_amount")
-    right = orders.select("city", "order_id", "total_amount")
+    def per_place(df: DataFrame, place: Column, key: str, amount: str, n: str, total: str) -> DataFrame:
+        # One row per key first, so the count needs no expanded rows.
+        keys = df.groupBy(place, key).agg(F.sum(amount).alias(total))
+        return keys.groupBy(keys.columns[0]).agg(F.count(key).alias(n), F.sum(total).alias(total))
+
+    left = per_place(trips, F.col("pu_location_id").alias("location_id"), "trip_id", "fare_amount", "num_trips", "total_trip_amount")
+    right = per_place(orders, F.col("city"), "order_id", "total_amount", "num_orders", "total_order_amount")
+    # Places without a name on both sides are one row.
     return left.unionByName(right, allowMissingColumns=True).groupBy("location_id", "city").agg(
-        F.count_distinct("order_id").alias("num_orders"),
-        F.count_distinct("trip_id").alias("num_trips"),
-        dbl(F.sum("total_amount")).alias("total_order_amount"),
-        dbl(F.sum("fare_amount")).alias("total_trip_amount"),
-    )
+        F.coalesce(F.sum("num_orders"), F.lit(0)).alias("num_orders"), F.coalesce(F.sum("num_trips"), F.lit(0)).alias("num_trips"),
+        dbl(F.sum("total_order_amount")).alias("total_order_amount"), dbl(F.sum("total_trip_amount")).alias("total_trip_amount"))
 
 
 def dim_payment_types(raw_trips: DataFrame) -> DataFrame:

@@ -67,20 +67,19 @@ def _(t):
     return marts.fct_revenue_by_category(t.shop_items, t.shop_products, t.shop_orders)
 
 
+# Months are numbered from year 0, so that differences are plain; a customer's cohort is its own earliest month.
 @query("m07_customer_cohort", f"""
-    WITH f AS (SELECT customer_id, CAST(date_trunc('month', min(created_at)) AS DATE) AS cohort_month FROM shop_orders
-               WHERE status IN ('completed', 'shipped') GROUP BY 1),
-         a AS (SELECT customer_id, CAST(date_trunc('month', created_at) AS DATE) AS activity_month, sum(order_total) AS revenue
-               FROM shop_orders WHERE status IN ('completed', 'shipped') GROUP BY 1, 2),
-         c AS (SELECT cohort_month, activity_month, count(DISTINCT a.customer_id) AS active_customers, sum(revenue) AS revenue
-               FROM f JOIN a ON f.customer_id = a.customer_id GROUP BY 1, 2),
-         s AS (SELECT cohort_month, count(*) AS cohort_size FROM f GROUP BY 1)
-    SELECT CAST(c.cohort_month AS VARCHAR) AS cohort_month, CAST(activity_month AS VARCHAR) AS activity_month,
-           CAST(date_diff('month', c.cohort_month, activity_month) % 12 AS INTEGER) AS months_since_acquisition,
-           CAST(date_diff('month', c.cohort_month, activity_month) AS INTEGER) AS months_total,
-           cohort_size, active_customers, {R('100.0::DOUBLE * (CAST(active_customers AS DOUBLE) / cohort_size)', 1)} AS retention_pct,
-           {D('revenue')} AS cohort_revenue, {R('CAST(revenue AS DOUBLE) / active_customers', 2)} AS revenue_per_active_customer
-    FROM c JOIN s ON c.cohort_month = s.cohort_month""", "shop_orders")
+    WITH spend AS (SELECT customer_id AS who, 12 * year(created_at) + month(created_at) - 1 AS m, sum(order_total) AS paid
+                   FROM shop_orders WHERE status = ANY(['shipped', 'completed']) GROUP BY ALL),
+         grid AS (SELECT born, m, count(*) AS n, sum(paid) AS paid
+                  FROM (SELECT m, paid, min(m) OVER (PARTITION BY who) AS born FROM spend) GROUP BY ALL)
+    SELECT strftime(make_date(born // 12, born % 12 + 1, 1), '%Y-%m-%d') AS cohort_month,
+           strftime(make_date(m // 12, m % 12 + 1, 1), '%Y-%m-%d') AS activity_month,
+           CAST((m - born) % 12 AS INTEGER) AS months_since_acquisition, CAST(m - born AS INTEGER) AS months_total,
+           first_value(n) OVER cohort AS cohort_size, n AS active_customers,
+           {R('100.0::DOUBLE * n / first_value(n) OVER cohort', 1)} AS retention_pct,
+           {D('paid')} AS cohort_revenue, {R('CAST(paid AS DOUBLE) / n', 2)} AS revenue_per_active_customer
+    FROM grid WINDOW cohort AS (PARTITION BY born ORDER BY m)""", "shop_orders")
 def _(t):
     return marts.fct_customer_cohort(t.shop_orders)
 
@@ -96,22 +95,26 @@ def _(t):
 
 
 @query("m10_dim_locations", f"""
-    WITH u AS (SELECT pu_location_id AS location_id, trip_id, is_airport_trip, trip_distance_miles, fare_amount, tip_amount, total_amount FROM stg_trips
-               UNION ALL SELECT do_location_id, trip_id, is_airport_trip, trip_distance_miles, fare_amount, tip_amount, total_amount FROM stg_trips)
-    SELECT location_id, count(DISTINCT trip_id) AS num_trips, count(CASE WHEN is_airport_trip THEN trip_id END) AS num_airport_trips,
-           {D('sum(trip_distance_miles)')} AS total_distance_miles, {D('sum(fare_amount)')} AS total_fare_amount,
-           {D('sum(tip_amount)')} AS total_tip_amount, {D('sum(total_amount)')} AS total_total_amount
-    FROM u GROUP BY 1""", "stg_trips")
+    SELECT place AS location_id, count(DISTINCT trip_id) AS num_trips, count(*) FILTER (WHERE is_airport_trip) AS num_airport_trips,
+           {', '.join(f"{D(f'sum({c})')} AS total_{c.removeprefix('trip_')}" for c in (
+               'trip_distance_miles', 'fare_amount', 'tip_amount', 'total_amount'))}
+    FROM (SELECT *, unnest([pu_location_id, do_location_id]) AS place FROM stg_trips) GROUP BY place""", "stg_trips")
 def _(t):
     return marts.dim_locations(_trips(t))
 
 
+# Each source is grouped by itself; only rows without a place on either side fall together.
+_PLACES = {"location_id": ("pu_location_id", "stg_trips", "trip_id", "fare_amount"), "city": ("city", "stg_orders", "order_id", "total_amount")}
+
+
 @query("m11_dim_geography", f"""
-    WITH u AS (SELECT pu_location_id AS location_id, NULL::VARCHAR AS city, NULL::BIGINT AS order_id, trip_id, fare_amount, NULL::DECIMAL(18,2) AS total_amount FROM stg_trips
-               UNION ALL SELECT NULL, city, order_id, NULL, NULL, total_amount FROM stg_orders)
-    SELECT location_id, city, count(DISTINCT order_id) AS num_orders, count(DISTINCT trip_id) AS num_trips,
-           {D('sum(total_amount)')} AS total_order_amount, {D('sum(fare_amount)')} AS total_trip_amount
-    FROM u GROUP BY 1, 2""", "stg_trips stg_orders")
+    SELECT any_value(location_id) AS location_id, any_value(city) AS city,
+           coalesce(sum(n) FILTER (WHERE kind = 'city'), 0)::BIGINT AS num_orders,
+           coalesce(sum(n) FILTER (WHERE kind = 'location_id'), 0)::BIGINT AS num_trips,
+           {D("sum(paid) FILTER (WHERE kind = 'city')")} AS total_order_amount, {D("sum(paid) FILTER (WHERE kind = 'location_id')")} AS total_trip_amount
+    FROM ({' UNION ALL BY NAME '.join(f"SELECT '{kind}' AS kind, {column} AS {kind}, count(DISTINCT {i}) AS n, sum({x}) AS paid FROM {table} GROUP BY {column}"
+                                      for kind, (column, table, i, x) in _PLACES.items())})
+    GROUP BY coalesce(CAST(location_id AS VARCHAR), ''), coalesce(city, '')""", "stg_trips stg_orders")
 def _(t):
     return marts.dim_geography(_trips(t), _orders(t))
 
