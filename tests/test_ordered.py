@@ -75,6 +75,38 @@ def test_percentiles(spark, accuracy):
             assert got[key][name] == pytest.approx(np.percentile(xs, 100 * p), abs=1e-9), (key, name)
 
 
+@pytest.fixture(scope="module")
+def one_moment(spark):
+    """A third of a million rows of one key, all at one time."""
+    return spark.range(300_000).select(F.lit("hot").alias("key"), F.lit("2024-01-01").cast("timestamp_ntz").alias("at"),
+                                       F.xxhash64("id").alias("id"), (F.col("id") % 7 == 0).alias("hit"), F.lit(1).alias("one"))
+
+
+def test_one_key_at_one_time_is_cut_into_slices(spark, one_moment):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in ordered.sliced(one_moment, ["key", "at", "id"]).groupBy(ordered.SLICE).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+    total = ordered.with_running_sum(one_moment, ["key"], "at", "id", "one", "n")
+    place = total.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()
+    assert tuple(place) == (300_000, 1, 300_000)
+    after = ordered.with_next(one_moment, ["key"], "at", "id", {"nxt": "id"})
+    assert after.filter("nxt IS NULL").count() == 1 and after.filter("nxt <= id").count() == 0
+
+
+def test_percentiles_of_one_key_with_a_million_values(spark, monkeypatch):
+    df = spark.range(1_000_000).select(F.lit("k").alias("key"), (F.col("id") * 2 + 1).cast("double").alias("x"))
+    probs = {"p50": 0.5, "p95": 0.95, "top": 1.0}
+    want = {name: 1 + 2 * p * 999_999 for name, p in probs.items()}
+    for held in (100_000, 500):  # below, the window over a key gives way to slices
+        monkeypatch.setattr(ordered, "HELD", held)
+        for keys in (["key"], []):
+            got = ordered.exact_percentiles(df, keys, "x", probs, accuracy=1000).first()
+            assert {name: got[name] for name in probs} == pytest.approx(want, abs=1e-6)
+
+
 def test_percentiles_without_key(spark):
     df = spark.range(1, 101).select(F.col("id").cast("double").alias("x"))
     assert ordered.exact_percentiles(df, [], "x", {"m": 0.5}).first().m == 50.5

@@ -73,6 +73,21 @@ def test_winner_takes_the_first_rule(spark, rows):
     assert streaks == {"quiet": 0, "empty": 0, "broken": 2, "once": 1, "slow": 0}
 
 
+def test_a_streak_of_a_thousand_runs_is_whole(spark, rows):
+    data = [run(0, "long", -5000)] + [run(i, "long", i - 2000, "failed", 0, message="odd") for i in range(1, 1001)]
+    data += [run(i, "whole", i - 9000, "failed", 0, message="odd") for i in range(2000, 2700)]
+    runs = spark.createDataFrame(data, SCHEMA)
+    assert dict(rows(an.consecutive_failures(runs))) == {"long": 1000, "whole": 700}
+    found = an.detect(runs, F.lit("2024-03-10 12:00:00").cast("timestamp_ntz")).filter("rule = 'consecutive_failures'")
+    assert rows(found, "pipeline_name", "metric") == [("long", 1000.0), ("whole", 700.0)]
+
+
+def test_a_cascade_without_the_owner_is_reported(spark, rows):
+    data = [r for i, f in enumerate("bcd") for r in (run(2 * i, f, -100), run(2 * i + 1, f, -5, "failed", 0, message="odd"))]
+    found = an.detect(spark.createDataFrame(data, SCHEMA), F.lit("2024-03-10 12:00:00").cast("timestamp_ntz"))
+    assert rows(found.filter("rule = 'cascading_failure'"), "pipeline_name", "metric") == [("b", 3.0)]
+
+
 def test_cascade_needs_three_failing_flows(spark, rows):
     def failing(n):
         names = ["ingest_nyc_taxi", "b", "c"][:n]
