@@ -225,3 +225,39 @@ def test_trip_cleaning(spark):
     assert set(got) == {2, 3, 5}
     assert [got[i].passenger_count for i in (2, 3, 5)] == [1, 9, 1]
     assert got[2].pickup_day_of_week == 0 and got[2].is_airport_trip and float(got[2].fare_amount) == 2.35
+
+
+def test_zoned_merge_leaves_untouched_zones_alone(spark, tmp_path, rows):
+    def files():
+        return {str(p.relative_to(tmp_path)) for p in (tmp_path / "t").rglob("*.parquet")}
+
+    def batch(*some):
+        return spark.createDataFrame(some, "id long, name string, at int")
+
+    path, zone = str(tmp_path / "t"), F.floor(F.col("id") / 100)
+    sinks.create_zoned(spark.range(500).selectExpr("id", "concat('n', id) AS name", "1 AS at"), path, zone)
+    first = files()
+    done = sinks.merge_zoned(spark, path, batch((3, "new", 2), (4, "n4", 2), (5, "old", 1), (5, "newer", 2), (210, "n210", 2), (450, "n450", 1), (777, "in", 2), (499, "n499", 9)),
+                             ["id"], [F.desc("at")], zone, ("at",))
+    assert rows(done) == [(0, "unchanged", 1), (0, "update", 2), (2, "unchanged", 1), (4, "unchanged", 2), (7, "insert", 1)]
+    second = files()
+    kept = {f for f in first if "zone=0" not in f}
+    assert kept <= second and not {f for f in first if "zone=0" in f} & second
+    assert len({f for f in second if "zone=7" in f}) >= 1 and second - first == {f for f in second if "zone=0" in f or "zone=7" in f}
+    table = spark.read.parquet(path)
+    assert table.count() == 501 and rows(table.filter("id IN (3, 4, 5, 777)").select("id", "name", "at")) == [
+        (3, "new", 2), (4, "n4", 1), (5, "newer", 2), (777, "in", 2)]
+    # Only new keys: a file is added, none is replaced; again the same batch: nothing happens.
+    for expected in ("insert", "unchanged"):
+        before = files()
+        got = sinks.merge_zoned(spark, path, batch((888, "x", 3), (150, "n150", 3)), ["id"], [F.desc("at")], zone, ("at",))
+        assert {r._action for r in got.filter("zone = 8").collect()} == {expected} and before <= files()
+    assert files() == before and spark.read.parquet(path).count() == 502
+
+
+def test_a_mark_of_an_unknown_type_is_refused(spark, tmp_path):
+    import pytest
+
+    marks = sinks.WatermarkStore(spark, str(tmp_path / "marks"), create=True)
+    with pytest.raises(TypeError, match="complex"):
+        marks.set("f", "t", "c", 1j, dt.datetime(2024, 1, 1))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import isolation_forest as iso
 from tidemill.operators import lineage as ln
+from tidemill.operators import recall_index as ri
 from tidemill.operators import retrieval as rt
 from tidemill.operators import run_model as rm
 from tidemill.plans import build
@@ -128,3 +129,41 @@ def test_nearest_items_are_kept_per_task(spark):
     for q_id, v in ((1, [1.0, 0, 0, 0]), (3, [0, 1.0, 1, 0])):
         d = 1 - unit @ (np.array(v) / np.linalg.norm(v))
         assert [r[2] for r in rows if r[0] == q_id] == ids[np.lexsort((ids, np.round(d, 9)))[:5]].tolist()
+
+
+def _clustered(spark, n=4000):
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(40, 16)) * 3
+    # A third of all vectors lie at one place.
+    points = np.where(rng.random(n)[:, None] < 0.33, middle[0], middle[rng.integers(0, 40, n)]) + rng.normal(size=(n, 16)) * 0.3
+    rows = [(i, v.tolist(), str(i % 2)) for i, v in enumerate(points)]
+    return spark.createDataFrame(rows, "item_id long, embedding array<double>, tag string")
+
+
+def test_index_finds_nine_of_ten_in_few_lists(spark, tmp_path):
+    store = _clustered(spark)
+    centres, probes = ri.fit(store)
+    ri.build(store, centres).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert len(centres) == 63 and probes < 20 and index.count() == 4000
+    queries = store.filter("item_id % 100 = 0").selectExpr("item_id AS query_id", "embedding", "CAST(NULL AS STRING) AS tag")
+    exact = rt.recall(queries, store, 10, 2.0)
+    for blocks in ({}, {"max_queries": 3, "block_rows": 200}):
+        found = ri.search(queries, index, centres, probes, 10, **blocks)
+        assert ri.measured_recall(found, exact).first().recall >= 0.9
+    whole = ri.search(queries, index, centres, len(centres), 10, max_queries=3, block_rows=200)
+    assert {tuple(r)[:2] for r in whole.collect()} == {tuple(r)[:2] for r in exact.collect()}
+
+
+def test_index_tags_nulls_and_empty_tables(spark, tmp_path):
+    store = _clustered(spark, 200).unionByName(spark.createDataFrame(
+        [(900, None, "0"), (901, [], "0")], "item_id long, embedding array<double>, tag string")).withColumn("deprecated", F.col("item_id") == 7)
+    centres, _ = ri.fit(store, lists=5)
+    ri.build(store, centres).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert index.count() == 199
+    queries = store.filter("item_id IN (4, 7, 900)").select(F.col("item_id").alias("query_id"), "embedding", "tag")
+    rows = ri.search(queries, index, centres, 5, 3).collect()
+    assert {r.query_id for r in rows} == {4, 7} and all(r.item_id % 2 == r.query_id % 2 and r.item_id != 7 for r in rows)
+    empty, probes = ri.fit(store.limit(0))
+    assert len(empty) == 0 and probes == 1 and ri.build(store.limit(0), centres).count() == 0

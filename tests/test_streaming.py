@@ -107,3 +107,22 @@ def test_late_rows_are_kept_apart(spark, tmp_path):
         jobs.start_late_split(jobs.file_stream(spark, src, schema), "at", "1 days", out, mark).awaitTermination()
     got = {r.id: str(r.is_late).lower() for r in spark.read.parquet(out).collect()}
     assert got == {1: "false", 2: "false", 3: "true"}
+
+
+def test_followed_within_as_table_and_stream(spark, tmp_path, rows):
+    rnd = random.Random(9)
+    # One user has a third of all events; some times are equal, some keys are null.
+    events = [(i, 1 if i % 3 == 0 else rnd.choice([2, 3, 4, None]), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rnd.randrange(600)))
+              for i in range(300)]
+    df = spark.createDataFrame(events, "id int, user int, at timestamp")
+    first, second = df.filter("id % 2 = 0"), df.filter("id % 2 = 1")
+    want = sorted((a[0], b[0]) for a in events for b in events if a[0] % 2 == 0 and b[0] % 2 and a[1] is not None and a[1] == b[1]
+                  and dt.timedelta(0) < b[2] - a[2] <= dt.timedelta(minutes=45))
+    assert rows(jobs.followed_within(first, second, ["user"], "at", 2700).select("first_id", "second_id")) == want
+    src = str(tmp_path / "in")
+    df.repartition(5).write.parquet(src)
+    for _ in range(2):
+        stream = jobs.file_stream(spark, src, df.schema, 2)
+        jobs.start_followed_within(stream.filter("id % 2 = 0"), stream.filter("id % 2 = 1"), ["user"], "at", 2700, "1 day",
+                                   str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out")).select("first_id", "second_id")) == want

@@ -31,7 +31,7 @@ def append(target: DataFrame, delta: DataFrame) -> DataFrame:
 def insert_ignore(target: DataFrame, delta: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Existing keys win; within the batch the first row per key in ``order`` wins."""
     batch = pick_one(delta, keys, order)
-    existing = target.join(delta.select(*keys).distinct(), keys, "left_semi").select(*keys).distinct()
+    existing = target.join(batch.select(*keys), keys, "left_semi").select(*keys)
     return target.unionByName(batch.join(existing, keys, "left_anti"))
 
 
@@ -51,7 +51,7 @@ def upsert(target: DataFrame, delta: DataFrame, keys: list[str], primary_key: li
         if not primary_key or order is None:
             raise ValueError("an upsert needs a key of the batch, or a primary key and the order of its rows")
         return insert_or_replace(target, delta, primary_key, order)
-    return target.join(delta.select(*keys).distinct(), keys, "left_anti").unionByName(delta)
+    return target.join(delta.select(*keys), keys, "left_anti").unionByName(delta)
 
 
 def surrogate_key(df: DataFrame, columns: list[str] | None = None) -> Column:

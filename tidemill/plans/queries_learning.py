@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.exprs import rnd
 from tidemill.operators import outcomes as oc
+from tidemill.operators import recall_index as ri
 from tidemill.operators import retrieval as rt
 from tidemill.operators import statistics as st
 from tidemill.plans.oracle import AS_OF, AVG, R
 from tidemill.plans.registry import query
+from tidemill.session import cut_lineage
 
 _OK = "outcome IN ('approved', 'auto_healed')"
 _RATES = f"""rates AS (SELECT anomaly_type, healing_strategy, count(*) AS total, count(*) FILTER (WHERE {_OK}) AS successes,
@@ -142,6 +144,30 @@ def _(t):
     return _shown(rt.recall(_centroids(t), store, max_distance=0.9))
 
 
+def _indexed(t, k: int, whole: bool = False):
+    """Vectors with an id divisible by 100 against all rows, by the index; ``whole`` reads all lists."""
+    centres, probes = ri.fit(_store(t), k=k)
+    index = cut_lineage(ri.build(_store(t), centres), "index")
+    queries = _store(t).filter(F.col("item_id") % 100 == 0).select(F.col("item_id").alias("query_id"), "embedding", F.lit(None).alias("tag"))
+    return queries, ri.search(queries, index, centres, len(centres) if whole else probes, k)
+
+
+@query("l11_index_recall", """SELECT count(*) FILTER (WHERE vec_id % 100 = 0) AS queries, 10 * count(*) FILTER (WHERE vec_id % 100 = 0) AS neighbours,
+    true AS reaches_90_pct FROM embeddings WHERE embedding IS NOT NULL""")
+def _(t):
+    queries, found = _indexed(t, 10)
+    exact = rt.recall(queries, _store(t), 10, 2.0)
+    return ri.measured_recall(found, exact).select("queries", "neighbours", (F.col("recall") >= 0.9).alias("reaches_90_pct"))
+
+
+@query("l11_index_all_lists", f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+    d AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, 1.0::DOUBLE - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS distance
+          FROM v a CROSS JOIN v b WHERE a.vec_id % 100 = 0)
+    SELECT query_id, item_id, {R('distance', 6)} AS distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), item_id) AS rank FROM d) WHERE rank <= 3""")
+def _(t):
+    return _shown(_indexed(t, 3, True)[1])
+
+
 @query("l12_similar_queries", f"""WITH {_CENT}, {_near('distance < 0.9')}, s AS (SELECT query_id, item_id, {R('1 - distance', 3)} AS similarity,
     CAST(item_id % 11 AS DOUBLE) / 10.0::DOUBLE AS quality_score FROM near)
     SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY quality_score DESC, item_id) AS INTEGER) AS position FROM s""")

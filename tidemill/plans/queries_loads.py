@@ -324,6 +324,18 @@ def _(t):
     return mg.merge(t.store_before, t.store_delta, ["order_key"], [F.desc("batch")], skip=["batch"])
 
 
+@query("k06_hash_merge_in_zones", f"""WITH {_MERGED_SQL} SELECT order_key, CASE WHEN _action IN ('insert', 'update') THEN dc ELSE bc END AS customer_id,
+    CASE WHEN _action IN ('insert', 'update') THEN ds ELSE bs END AS status, {D("CASE WHEN _action IN ('insert', 'update') THEN dt ELSE bt END")} AS total,
+    CASE WHEN _action IN ('insert', 'update') THEN db ELSE bb END AS batch FROM m""", "store_before store_delta")
+def _(t):
+    # Zones are ranges of keys; the batch comes in two parts, the second of which repeats rows of the first.
+    path, zone = scratch_path(t.spark, "zones"), F.floor(F.col("order_key") / 4096)
+    sinks.create_zoned(t.store_before, path, zone)
+    for part in (t.store_delta.filter(F.col("order_key") % 3 > 0), t.store_delta):
+        sinks.merge_zoned(t.spark, path, part, ["order_key"], [F.desc("batch")], zone, ("batch",))
+    return t.spark.read.parquet(path).drop("zone")
+
+
 @query("k07_merge_stats", f"""WITH {_MERGED_SQL}, c AS (SELECT (SELECT count(*) FROM store_delta) AS ingested,
     count(*) FILTER (WHERE _action = 'insert') AS inserts, count(*) FILTER (WHERE _action = 'update') AS updates FROM m)
     SELECT *, greatest(ingested - inserts - updates, 0) AS unchanged, inserts + updates AS loaded FROM c""", "store_before store_delta")

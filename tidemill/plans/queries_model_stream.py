@@ -321,3 +321,32 @@ def _(t):
     jobs.start_rollup(source, "1 hour", "2 hours", target, scratch_path(t.spark, "mark")).awaitTermination()
     hours = t.spark.read.parquet(target)
     return hours.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+_FOLLOWED = """SELECT a.event_id AS first_event_id, b.event_id AS second_event_id, a.user_id, epoch_us(b.ts) - epoch_us(a.ts) AS gap_us
+    FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR
+    WHERE a.event_type = 'view' AND b.event_type = 'purchase'"""
+
+
+def _views_and_purchases(events):
+    slim = events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return [slim.filter(F.col("event_type") == kind).drop("event_type") for kind in ("view", "purchase")]
+
+
+def _gaps(pairs):
+    return pairs.select("first_event_id", "second_event_id", F.col("first_user_id").alias("user_id"),
+                        (F.unix_micros("second_ts") - F.unix_micros("first_ts")).alias("gap_us"))
+
+
+@query("w12_followed_within", _FOLLOWED)
+def _(t):
+    return _gaps(jobs.followed_within(*_views_and_purchases(t.events), ["user_id"], "ts", 6 * 3600))
+
+
+@query("w12_followed_within_stream", _FOLLOWED)
+def _(t):
+    landing, target = _land(t.events, t.spark, "events"), scratch_path(t.spark, "pairs")
+    views, purchases = _views_and_purchases(jobs.file_stream(t.spark, landing, t.events.schema, 2))
+    # The files are not in time order, so rows may come as late as the table is long.
+    jobs.start_followed_within(views, purchases, ["user_id"], "ts", 6 * 3600, "40 days", target, scratch_path(t.spark, "mark")).awaitTermination()
+    return _gaps(t.spark.read.parquet(target))

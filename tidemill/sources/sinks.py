@@ -8,6 +8,9 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators.merge import pick_one, row_hash
+from tidemill.session import cut_lineage
+
 
 class VersionedTable:
     """A table on plain Parquet that is replaced as a whole.
@@ -60,6 +63,48 @@ def read_days(spark: SparkSession, path: str, first: str, last: str) -> DataFram
     return spark.read.parquet(path).filter(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
 
 
+def create_zoned(df: DataFrame, path: str, zone: Column) -> None:
+    """Write a table whose rows lie in folders by ``zone``, an expression over its key columns (a range of ids, a day)."""
+    dated = df.withColumn("zone", zone)
+    dated.hint("rebalance", "zone").write.partitionBy("zone").parquet(path)
+
+
+def merge_zoned(spark: SparkSession, path: str, delta: DataFrame, keys: list[str], order: list[Column], zone: Column,
+                skip: tuple[str, ...] = ()) -> DataFrame:
+    """Content-hash merge of a batch into a table of ``create_zoned``; returns (zone, _action, rows) of the batch.
+
+    Only the zones of the batch's keys are read. New keys are appended as files of their own; a zone is written anew only
+    if a row of it changes, all other folders keep their files. Inserts come first and a rewrite replaces whole zones, so
+    a batch that is run again after a failure leaves the same table.
+    """
+    batch = cut_lineage(pick_one(delta, keys, order).withColumn("zone", zone), "batch")
+    zones = [r.zone for r in batch.select("zone").distinct().collect()]  # one value per folder that the batch touches
+    table = spark.read.parquet(path)
+    columns = [c for c in table.columns if c != "zone"]
+
+    def of(df: DataFrame, some: list) -> DataFrame:
+        return df.filter(F.col("zone").isin(some) | (F.col("zone").isNull() if None in some else F.lit(False)))
+
+    held = of(table, zones)
+    same = row_hash(held.select(*columns), list(skip)) if "_ROW_HASH" not in columns else F.col("_ROW_HASH")
+    known = held.select(*keys, F.col("zone").alias("_zone"), same.alias("_held"))
+    met = batch.withColumn("_new", row_hash(batch.select(*[c for c in columns if c in batch.columns]), list(skip))).join(known, keys, "left").withColumn(
+        "_action", F.when(F.col("_held").isNull(), "insert").when(F.col("_held") != F.col("_new"), "update").otherwise("unchanged"))
+    met = cut_lineage(met.drop("_zone", "_held"), "met")
+    if "_ROW_HASH" in columns:
+        met = met.withColumn("_ROW_HASH", F.col("_new"))
+    inserts = met.filter("_action = 'insert'").select(*columns, "zone")
+    inserts.write.mode("append").partitionBy("zone").parquet(path)
+    updates = met.filter("_action = 'update'")
+    changed = [r.zone for r in updates.select("zone").distinct().collect()]
+    if changed:
+        now = of(spark.read.parquet(path), changed)
+        kept = now.join(updates.select(*keys), keys, "left_anti").select(*columns, "zone")
+        whole = cut_lineage(kept.unionByName(updates.select(*columns, "zone")), "zones")
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("zone").parquet(path)
+    return met.groupBy("zone", "_action").agg(F.count("*").alias("rows"))
+
+
 def write_bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int) -> DataFrame:
     """Write a catalog table hashed and sorted by its join keys.
 
@@ -109,7 +154,9 @@ class WatermarkStore:
         return self.spark.range(1).select(F.lit(one.value).cast(one.value_type)).first()[0]
 
     def set(self, flow: str, table_name: str, column: str, value, updated_at: dt.datetime) -> None:
-        kind = next(v for k, v in MARK_TYPES.items() if type(value) is k)
+        kind = next((v for k, v in MARK_TYPES.items() if type(value) is k), None)
+        if kind is None:
+            raise TypeError(f"a mark cannot hold a {type(value).__name__}")
         new = self.spark.createDataFrame([(flow, table_name, column, value, updated_at)],
                                          f"flow string, table_name string, column_name string, value {kind}, updated_at timestamp_ntz")
         new = new.select("flow", "table_name", "column_name", F.col("value").cast("string").alias("value"),

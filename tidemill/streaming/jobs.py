@@ -150,6 +150,42 @@ def start_late_split(source: DataFrame, time: str, lateness: str, target: str, c
     return _available(source, checkpoint).foreachBatch(split).start()
 
 
+def _near_buckets(first: DataFrame, second: DataFrame, keys: list[str], time: str, seconds: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides with the number of their time span; the first side also stands in the next one, so partners meet.
+
+    The span is part of the join key, so the rows of one key spread over its spans.
+    """
+    def span(c: Column) -> Column:
+        return F.floor(F.unix_micros(c.cast("timestamp")) / (seconds * 1_000_000))
+
+    a = first.select(*[F.col(c).alias(f"first_{c}") for c in first.columns]).withColumn(
+        "_span", F.explode(F.array(span(F.col(f"first_{time}")), span(F.col(f"first_{time}")) + 1)))
+    b = second.select(*[F.col(c).alias(f"second_{c}") for c in second.columns]).withColumn("_other", span(F.col(f"second_{time}")))
+    gap = F.make_dt_interval(secs=F.lit(seconds))
+    match = (F.col("_span") == F.col("_other")) & (F.col(f"second_{time}") > F.col(f"first_{time}")) \
+        & (F.col(f"second_{time}") <= F.col(f"first_{time}") + gap)
+    for key in keys:
+        match = match & (F.col(f"first_{key}") == F.col(f"second_{key}"))
+    return a, b, match
+
+
+def followed_within(first: DataFrame, second: DataFrame, keys: list[str], time: str, seconds: int) -> DataFrame:
+    """Pairs of a row of ``first`` and a later row of ``second`` of the same keys, at most ``seconds`` apart.
+
+    Columns get the prefixes first_ and second_. Null keys and times pair with nothing.
+    """
+    a, b, match = _near_buckets(first, second, keys, time, seconds)
+    return a.join(b, match).drop("_span", "_other")
+
+
+def start_followed_within(first: DataFrame, second: DataFrame, keys: list[str], time: str, seconds: int, lateness: str,
+                          target: str, checkpoint: str) -> StreamingQuery:
+    """``followed_within`` over two streams; state of a row is freed once the watermark says that no partner can come."""
+    a, b, match = _near_buckets(first.withWatermark(time, lateness), second.withWatermark(time, lateness), keys, time, seconds)
+    pairs = a.join(b, match).drop("_span", "_other")
+    return _available(pairs, checkpoint).format("parquet").outputMode("append").start(target)
+
+
 def rollup(metrics: DataFrame, unit: str, time: str = "recorded_at") -> DataFrame:
     """Tumbling-window measures per flow and engine; works on a table or, with a watermark, on a stream."""
     return metrics.groupBy("pipeline_name", "engine", F.window(time, unit).alias("w")).agg(
