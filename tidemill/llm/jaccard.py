@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import fresh, table
+from tidemill.llm.common import Steps, fresh, table
 from tidemill.llm.graph import components
 from tidemill.llm.words import NOT_SPACE, Words, mix, row_ranges, text_buffer
 from tidemill.session import cut_lineage
@@ -45,6 +45,8 @@ FLUSH_ROWS = 400_000
 GROWTH = 1.6
 STAR_ROUNDS = 12
 PRUNINGS = 2
+#: Shingles whose signatures one task groups.
+SHINGLES_PER_TASK = 1 << 23
 HOME, PROBE, SMALLEST = 0, 1, 2
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -258,13 +260,13 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows(sig[keep], cls[keep], role[keep], hot[keep])
 
 
-def _members(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _members(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, steps: Steps) -> DataFrame:
     """(sig, cls, role, n, shares): the shared signatures that a class may not leave out."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shingles = classes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shingles // SHINGLES_PER_TASK)
     packed = docs.select("text").mapInArrow(
         _signatures(shingle, percent, 4 * parts), "part long, kind int, bucket long, body binary")
-    shared = cut_lineage(packed.repartition(parts, "part").mapInArrow(
+    shared = written = steps.write(packed.repartition(parts, "part").mapInArrow(
         _group, "sig long, cls long, role byte, hot boolean"), "signatures")
     plain = F.col("role") != SMALLEST
     limits = classes.select("cls", "n", "spare0", "spare1")
@@ -277,7 +279,9 @@ def _members(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
         rows = rows.filter(plain).join(live, ["cls", "role"], "left_semi").select("sig", "cls", "role") \
             .union(rows.filter(~plain).select("sig", "cls", "role"))
         often = rows.groupBy("sig").agg(F.count("*").alias("often")).filter("often > 1")
-        rows = cut_lineage(rows.join(often, "sig").select("sig", "cls", "role", "often"), "pruned")
+        rows = steps.write(rows.join(often, "sig").select("sig", "cls", "role", "often"), "pruned")
+        steps.drop(written)
+        written = rows
     # A class may leave out its r most frequent cells; the empty ones are already taken off ``spare``.
     ranked = rows.filter(plain).groupBy("cls", "role").agg(
         F.array_sort(F.collect_list(F.struct("often", "sig"))).alias("cells")).join(limits, "cls")
@@ -288,7 +292,9 @@ def _members(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
         "sig", "cls", "role", "n", F.lit(0).alias("shares"))
     kept = must.union(least)
     often = kept.groupBy("sig").agg(F.count("*").alias("k")).filter("k > 1").select("sig")
-    return cut_lineage(kept.join(often, "sig"), "members")
+    members = steps.write(kept.join(often, "sig"), "members")
+    steps.drop(written)
+    return members
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -312,7 +318,8 @@ def _meets(a, b):
 
 def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(cls, comp) for the classes that link with another one."""
-    members = _members(docs, classes, shingle, percent)
+    steps = Steps(docs.sparkSession)
+    members = _members(docs, classes, shingle, percent, steps)
     wanted = members.select("cls").distinct().join(classes, "cls").select("cls", "key", "id")
 
     def sets(batches):
@@ -329,10 +336,10 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
     texts = docs.join(wanted, (docs["key"] == wanted["key"]) & docs["id"].eqNullSafe(wanted["id"]))
     found = texts.select(wanted["cls"], docs["text"]).mapInArrow(
         sets, "cls long, shingles array<long>, bits0 array<long>, bits1 array<long>")
-    found = cut_lineage(found.dropDuplicates(["cls"]), "sets")
+    found = steps.write(found.dropDuplicates(["cls"]), "sets")
 
     comps = members.select("cls").distinct().select("cls", F.col("cls").alias("comp"))
-    comps = cut_lineage(comps, "comps")
+    comps = steps.write(comps, "comps")
     tried = None
 
     def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -340,8 +347,10 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
         a = comps.select(F.col("cls").alias("a"), F.col("comp").alias("ca"))
         b = comps.select(F.col("cls").alias("b"), F.col("comp").alias("cb"))
         roots = components(links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        return cut_lineage(comps.join(roots, comps["comp"] == roots["node"], "left").select(
+        after = steps.write(comps.join(roots, comps["comp"] == roots["node"], "left").select(
             "cls", F.coalesce("root", "comp").alias("comp")), "comps")
+        steps.drop(comps)
+        return after
 
     def open_groups(comps: DataFrame) -> DataFrame:
         """Members of the groups that lie in more than one component."""
@@ -350,7 +359,7 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
         return now.join(split.select("sig"), "sig")
 
     for turn in range(STAR_ROUNDS):
-        left = cut_lineage(open_groups(comps), "open")
+        left = steps.write(open_groups(comps), "open")
         # First the member that shares most, which tends to be the text that others are copies of, then any.
         order = F.lit(0) if turn else -F.col("shares")
         centre = left.groupBy("sig").agg(F.min(F.struct(
@@ -360,18 +369,20 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
         pairs = star.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "pairs")
-        links = cut_lineage(_verified(pairs, found, percent), "links")
+        pairs = steps.write(pairs, "pairs")
+        steps.drop(left)
+        links = steps.write(_verified(pairs, found, percent), "links")
         tried = pairs if tried is None else tried.union(pairs)
         n_links = links.count()
         if n_links:
             comps = joined(comps, links)
+        steps.drop(links)
         if 100 * n_links < pairs.count():
             break
 
     # What is left of the groups, pair by pair; the bits that differ are a lower bound of the symmetric difference.
     bits = F.when(F.col("role") == HOME, F.col("bits0")).when(F.col("role") == PROBE, F.col("bits1"))
-    left = cut_lineage(open_groups(comps), "open").join(found.drop("shingles"), "cls").withColumn("bits", bits)
+    left = steps.write(open_groups(comps), "open").join(found.drop("shingles"), "cls").withColumn("bits", bits)
     x, y = (left.select("sig", *(F.col(c).alias(f"{side}_{c}") for c in ("cls", "role", "n", "comp", "bits"))) for side in "ab")
     allowed = F.floor((F.col("a_n") + F.col("b_n")) * (100 - percent) / (100 + percent))
     differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
@@ -379,9 +390,12 @@ def class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent:
         (F.col("a_cls") < F.col("b_cls")) & (F.col("a_comp") != F.col("b_comp")) & _near(percent, "a_n", "b_n")
         & _meets(F.col("a_role"), F.col("b_role")) & ((differ <= allowed) | (F.col("a_role") == SMALLEST)))
     rest = rest.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
-    rest = cut_lineage(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = cut_lineage(_verified(rest, found, percent), "links")
-    return joined(comps, links) if not links.isEmpty() else comps
+    rest = steps.write(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = steps.write(_verified(rest, found, percent), "links")
+    if not links.isEmpty():
+        comps = joined(comps, links)
+    steps.drop_all_but(comps)
+    return comps
 
 
 def cluster(docs: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -434,5 +448,6 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE,
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: ``n_shingles`` and ``component_id``, the smallest doc_id that links of Jaccard 0.8 reach."""
     found = cluster(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
