@@ -2,8 +2,8 @@
 
 A vector's components become integers, floor(1024 x), and the vector is cut into equal consecutive parts. Each part
 position has a codebook of its own. The table of members holds one row per part, dealt to owners by (position, entry,
-salt): an owner's files hold the members of few entries, and an entry of many members has as many salts as it has
-shares of ``SHARE`` rows, so no owner grows with the largest entry. A round has two steps.
+salt): an owner's files hold the members of few entries, and an entry of many members has a salt for each share of them
+(the mean of all entries, ``SHARE`` rows at most), so no owner grows with the largest entry. A round has two steps.
 
 * Update: each task sums its resident members per entry, and only these sums meet (at most entries x width of them a
   task).
@@ -34,7 +34,7 @@ from tidemill.llm.common import fresh, table
 from tidemill.session import cut_lineage, discard, scratch_path
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
-#: Members of one entry that one salt holds.
+#: Members of one entry that one salt holds at most.
 SHARE = 1 << 20
 ROWS = 4096
 LARGEST = 1 << 62
@@ -159,9 +159,13 @@ def finite(rows: DataFrame, column: str) -> DataFrame:
 
 
 def _place(rows: DataFrame, entries: int) -> str:
-    """Send members to the owners of their entries; an entry has a salt for each ``SHARE`` of those that arrive."""
+    """Send members to the owners of their entries; an entry has a salt for each share of those that arrive."""
     spark, target = rows.sparkSession, scratch_path(rows.sparkSession, "members")
-    salts = cut_lineage(rows.groupBy("position", "entry").agg((F.floor(F.count("*") / SHARE) + 1).alias("salts")), "salts")
+    counts = cut_lineage(rows.groupBy("position", "entry").agg(F.count("*").alias("n")), "counts")
+    # No owner gets more than the mean entry has, nor more than ``SHARE``.
+    rows_in_all, cells = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    share = max(1, min(SHARE, rows_in_all // max(1, cells)))
+    salts = counts.select("position", "entry", (F.floor(F.col("n") / share) + 1).alias("salts"))
     # At most parts x entries rows, so the broadcast is bounded.
     dealt = rows.withColumn("uid", F.monotonically_increasing_id()).join(F.broadcast(salts), ["position", "entry"]) \
         .withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("salts")))
