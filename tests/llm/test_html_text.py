@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import numpy as np
 import pytest
@@ -57,6 +58,42 @@ def test_layout_wrappers(name):
     assert h.main_text(page(parts)) == "".join(f"{k} {PROSE}" for k in range(4)).strip()
 
 
+ARTICLE = f"<article><h1>Head</h1><p>{PROSE}</p><p>Short.</p></article>"
+TRIPLE = f"<p>1 {PROSE}</p><p>2 {PROSE}</p><p>3 {PROSE}</p>"
+FURNITURE_CASES = [
+    (f"<form action=x>{MENU}{ARTICLE}<input name=q><footer>F</footer></form>", f"Head {PROSE}Short."),
+    (f"<form><div>{MENU}<div>{TRIPLE}</div></div></form>", f"1 {PROSE}2 {PROSE}3 {PROSE}"),
+    (f"<aside>Side <div>{ARTICLE}</div>", f"Head {PROSE}Short."),
+    (f"{MENU}<header>{ARTICLE}</header>", f"Head {PROSE}Short."),
+    (f"<div role=dialog>{ARTICLE}</div><div role=navigation>Go</div>", f"Head {PROSE}Short."),
+    (f"{MENU}<footer>F</footer>", ""),
+    (MENU, ""),
+    (f"<ul><li><a href=/>Home</a><li><a href=/n>News</a><li><a href=/a>About us</a></ul>{TRIPLE}<p>Copyright 2020 Firm",
+     f"1 {PROSE}2 {PROSE}3 {PROSE}"),
+    (f"<h1><a href=/t>Title</a></h1>{TRIPLE}<p><a href=/next>Next</a></p><p>© 2020</p>", f"Title 1 {PROSE}2 {PROSE}3 {PROSE}"),
+    (f"<div>{TRIPLE}<ul><li>with <a href=x>a link</a> in it<li><a href=y>one</a></ul><p>4 {PROSE}</p></div>",
+     f"1 {PROSE}2 {PROSE}3 {PROSE}with a link in it one 4 {PROSE}"),
+    (f"<article><p hidden>Secret</p><p>{PROSE}</p><div hidden=until-found>x</div><p aria-hidden=true>y</p></article>", PROSE),
+    (f"<article><p>A <label>word</label> in <button>the</button> text {PROSE}</p><button>Share</button><label>Name</label></article>",
+     f"A word in the text {PROSE}"),
+    (f"<article><header><h1>Head</h1><p>Standfirst of the article.</p></header><p>{PROSE}</p></article>",
+     f"Head Standfirst of the article. {PROSE}"),
+    (f"<article><p>{PROSE}</p><form><p>Mail <input></p></form><aside><p>{PROSE}</p></aside><footer><p>Tags</p></footer></article>", PROSE),
+]
+
+
+@pytest.mark.parametrize("body, text", FURNITURE_CASES)
+def test_furniture_tags_decide_after_parsing(body, text):
+    assert h.main_text(page(body)) == " ".join(text.split())
+
+
+@pytest.mark.parametrize("start, end", [("<div>", ""), ("<div>", "</div>"), ("<b>", "</section>"), ("<p><button>", "</i>"), ("<ul><li>", "</ul>")])
+def test_deep_nesting_takes_linear_time(start, end):
+    begun = time.perf_counter()
+    assert h.main_text(start * 50_000 + "deep text" + end * 50_000) in ("deep text", "")
+    assert time.perf_counter() - begun < 20
+
+
 def test_line_scores():
     ratio = np.array([1.0, 1.0, 50.0, 60.0, 1.0])
     out = h.smoothed(ratio)

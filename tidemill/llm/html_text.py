@@ -1,12 +1,13 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The parser's events are cut into lines at block elements. A line has its text, the number of tags in it and the element
-that holds it. Elements that are page furniture by tag or role give no lines. A class or id that names furniture decides
-after parsing (``furniture``), as layout wrappers have such names too. The ratio of text to tags of the lines is smoothed
+that holds it. Scripts, controls and hidden elements give no lines. Tags, roles, classes and ids that name furniture (a
+menu, a footer, a form) decide after parsing (``furniture``), as they may wrap the article too, or not be closed. The ratio of text to tags of the lines is smoothed
 with a Gaussian, and the lines from the threshold up are the content cluster. The content region is the smallest element
 that holds all lines of that cluster, links aside. Article and main elements are preferred: if they hold half or more of
 the cluster's text, the region is the union of all of them that have lines of it, and text outside them is not main
-text. All lines of the region are the main text, so a short paragraph between long ones stays.
+text. All lines of the region are the main text, so a short paragraph between long ones stays; without an article or main,
+whole lists of links, and links and copyright notices at the region's ends, are not part of it (``trimmed``).
 """
 
 from __future__ import annotations
@@ -29,15 +30,24 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset
     figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre
     search section summary table tbody td tfoot th thead title tr ul""".split())
-SKIPPED = frozenset("""aside audio button canvas datalist dialog embed fieldset footer form head header iframe input
-    label legend map menu nav noscript object option script search select style svg template textarea title
-    video""".split())
+SKIPPED = frozenset("""audio canvas datalist embed head iframe input map noscript object option script select style svg
+    template textarea title video""".split())
+#: Furniture by tag; the first ones hold no main text without an article, whatever their size.
+MENUS = frozenset("menu nav search".split())
+FURNITURE = MENUS | frozenset("aside dialog fieldset footer form header".split())
+#: Text of these is part of a sentence inside the elements named after them, else of a control.
+CONTROLS = frozenset("button label legend".split())
+SENTENCES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figcaption".split())
 SKIPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 SKIPPED_NAMES = frozenset("""ad ads adbox advert advertisement advertising adverts adsense banner breadcrumb breadcrumbs
     comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu menubar modal nav navbar
     navigation newsletter notice notices notification pagination popup promo promotion related respond share sharing
     sidebar signup social sponsor sponsored subscribe subscription toolbar widget""".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Prose that an element of a furniture tag holds at least if it stands for the page.
+LEAST_PROSE = 200
+LINK_LIST = 3
+COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 #: Lists, tables and quotes are content of the element around them, not regions; cells lay out old pages.
 REGIONS = frozenset("article body center div main section td".split())
 #: Elements that end an open element of the same list when they begin.
@@ -58,46 +68,49 @@ def marked(tag: str, attrs) -> bool:
 
 
 class Lines(HTMLParser):
-    """Lines of a page, those of marked elements too. Element 0 stands for the page; ``parents`` and ``names`` are by element."""
+    """Lines of a page, those of furniture too. Element 0 stands for the page; ``parents``, ``names``, ``marked`` (by class or
+    id) and ``tagged`` (by tag or role) are by element."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.names, self.parents, self.marked = ["body"], [-1], [False]
+        self.names, self.parents, self.marked, self.tagged = ["body"], [-1], [False], [False]
         #: Name, element, whether skipped, whether in a link.
         self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        #: Depths of the open elements of a name, of the open block elements, and of those that give no lines.
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+        self.skips: list[int] = [0]
+        self.headings = 0
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.places: list[int] = []
         self.pieces: list[list[tuple[int, str, bool]]] = []
+        self.heads: list[bool] = []
         self.part: list[tuple[int, str, bool]] = []
         self.seen = 0
 
+    def _depth(self, *names: str) -> int:
+        """Depth of the innermost open element of these names, 0 for none."""
+        found = 0
+        for name in names:
+            if (depths := self.depths.get(name)) and depths[-1] > found:
+                found = depths[-1]
+        return found
+
     def _skipped(self, tag: str, attrs) -> bool:
-        if self.open[-1][2]:
-            # The heading of an article often sits in a header of its own.
-            return not (tag in HEADINGS and self._in_article_header())
-        if tag in SKIPPED:
+        if self.open[-1][2] or tag in SKIPPED:
             return True
+        if tag in CONTROLS:
+            return self.open[self.blocks[-1]][0] not in SENTENCES
+        return tag not in ("html", "body", "main", "article") and any(
+            name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
+
+    def _tagged(self, tag: str, attrs) -> bool:
         if tag in ("html", "body", "main", "article"):
             return False
-        for name, value in attrs:
-            if not value:
-                continue
-            if name == "role" and value.lower() in SKIPPED_ROLES:
-                return True
-            if name in ("hidden",) or name == "aria-hidden" and value == "true":
-                return True
-        return False
-
-    def _article(self) -> int:
-        """Depth of the innermost open article or main, 0 for none."""
-        return next((d for d in range(len(self.open) - 1, 0, -1) if self.open[d][0] in ("article", "main")), 0)
-
-    def _in_article_header(self) -> bool:
-        depth = self._article()
-        inside = self.open[depth + 1:]
-        skipped = {name for name, place, out, _ in inside if out or self.marked[place]}
-        return depth > 0 and skipped <= {"header", "div", "hgroup", "span", "a"} and any(n == "header" for n, *_ in inside)
+        if tag == "header" and self._depth("article", "main"):
+            return False
+        return tag in FURNITURE or any(name == "role" and value and value.lower() in SKIPPED_ROLES for name, value in attrs)
 
     def _line(self) -> None:
         text = SPACES.sub(" ", "".join(x for _, x, _ in self.part)).strip()
@@ -106,20 +119,24 @@ class Lines(HTMLParser):
             self.tags.append(self.seen)
             self.places.append(self.open[-1][1])
             self.pieces.append(self.part)
+            self.heads.append(self.headings > 0)
             self.seen = 0
         self.part = []
 
     def _close_to(self, depth: int) -> None:
+        for name, *_ in self.open[depth:]:
+            self.depths[name].pop()
+            self.headings -= name in HEADINGS
         del self.open[depth:]
+        while self.skips[-1] >= depth:
+            self.skips.pop()
+        while self.blocks[-1] >= depth:
+            self.blocks.pop()
 
     def _end(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            name = self.open[depth][0]
-            if name in tags:
-                self._close_to(depth)
-                return
-            if name in scope or name in SKIPPED:
-                return
+        depth = self._depth(*tags)
+        if depth > self.skips[-1] and depth > self._depth(*scope):
+            self._close_to(depth)
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -133,14 +150,19 @@ class Lines(HTMLParser):
             return
         place = self.open[-1][1]
         out = self._skipped(tag, attrs)
-        if self.open[-1][2] and not out:
-            place = self.open[self._article()][1]
-        mark = not out and marked(tag, attrs)
-        if not out and (mark or tag in REGIONS):
+        mark, furnishes = not out and marked(tag, attrs), not out and self._tagged(tag, attrs)
+        if not out and (mark or furnishes or tag in REGIONS):
             self.names.append(tag)
             self.parents.append(place)
             self.marked.append(mark)
+            self.tagged.append(furnishes)
             place = len(self.names) - 1
+        self.depths.setdefault(tag, []).append(len(self.open))
+        self.headings += tag in HEADINGS
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
+        if tag in SKIPPED:
+            self.skips.append(len(self.open))
         self.open.append((tag, place, out, self.open[-1][3] or tag == "a" and any(name == "href" for name, _ in attrs)))
 
     def handle_startendtag(self, tag, attrs):
@@ -150,15 +172,12 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self._line()
-        if tag == "p" and not any(name == "p" for name, *_ in self.open):
+        depth = self._depth(tag)
+        if tag == "p" and not depth:
             return
         self.seen += 1
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth][0] == tag:
-                self._close_to(depth)
-                return
-            if tag not in BLOCK and self.open[depth][0] in BLOCK:
-                return
+        if depth and (tag in BLOCK or depth > self.blocks[-1]):
+            self._close_to(depth)
 
     def handle_data(self, data):
         if not self.open[-1][2]:
@@ -185,34 +204,45 @@ def cluster(page: Lines, sigma: float = SIGMA) -> np.ndarray:
 
 
 def furniture(page: Lines, sigma: float = SIGMA) -> list[bool]:
-    """Which elements are furniture: marked ones, and all in them, unless they hold the article or most of the text.
+    """Which elements are furniture: marked and tagged ones, and all in them, unless they hold the article or most prose.
 
-    A marked element stays if it holds an article or main with more text than all those beside it (comments may be
-    articles too), or if it holds the larger part of the cluster's text and no article stands beside it. Beside it are
-    the articles that do not hold it and that no further marked element parts from it. If nothing of the cluster would
-    be left, all marked elements stay.
+    Such an element stays if it holds an article or main with more text than all those beside it (comments may be
+    articles too), or if it holds the larger part of the cluster's prose (text outside links) and no article stands
+    beside it; a menu never stays by that, and what is furniture by tag needs ``LEAST_PROSE`` characters. Beside it are
+    the articles that do not hold it and that no further such element parts from it. If nothing of the cluster would be
+    left, names do not decide, only tags.
     """
     n = len(page.names)
-    text, mass = [0] * n, [0] * n
+    text, mass, own = [0] * n, [0] * n, [0] * n
     for pieces, chosen in zip(page.pieces, cluster(page, sigma).tolist(), strict=True):
-        for place, x, _ in pieces:
+        for place, x, link in pieces:
             size = len(SPACES.sub(" ", x).strip())
             text[place] += size
-            mass[place] += size * chosen
-    own = mass.copy()
+            own[place] += size * chosen
+            mass[place] += size * (chosen and not link)
+    for i in range(n - 1, 0, -1):  # children come after their parents
+        mass[page.parents[i]] += mass[i]
+    either = [a or b for a, b in zip(page.marked, page.tagged, strict=True)]
+    gone = _decided(page, either, text, mass)
+    if any(m and not g for m, g in zip(own, gone, strict=True)):
+        return gone
+    return _decided(page, page.tagged, text, mass)
+
+
+def _decided(page: Lines, marks: list[bool], text: list[int], mass: list[int]) -> list[bool]:
+    n = len(page.names)
     scope, article = [0] * n, [0] * n  # innermost marked element, and innermost article or main, with the element itself
     inner, largest, direct, free = [0] * n, [0] * n, [0] * n, [0] * n
     for i in range(n):
         up = max(0, page.parents[i])
-        scope[i] = i if page.marked[i] else scope[up]
+        scope[i] = i if marks[i] else scope[up]
         article[i] = i if page.names[i] in ("article", "main") else article[up]
         if article[i]:
             inner[article[i]] += text[i]
             if scope[i] == scope[article[i]]:
                 direct[article[i]] += text[i]
                 free[scope[i]] += text[i]
-    for i in range(n - 1, 0, -1):  # children come after their parents
-        mass[page.parents[i]] += mass[i]
+    for i in range(n - 1, 0, -1):
         largest[page.parents[i]] = max(largest[page.parents[i]], largest[i], inner[i])
     chain = direct.copy()
     others, opened, gone = [0] * n, [0] * n, [False] * n
@@ -221,36 +251,40 @@ def furniture(page: Lines, sigma: float = SIGMA) -> list[bool]:
         same = article[up] and scope[article[up]] == scope[up]
         if article[i] == i and same:
             chain[i] += chain[article[up]]
-        if page.marked[i]:
+        if marks[i]:
             others[i] = free[scope[up]] - (chain[article[up]] if same else 0)
             if largest[i] > others[i]:
                 opened[scope[up]] += largest[i]
     for i in range(1, n):
         up = page.parents[i]
-        gone[i] = gone[up] or page.marked[i] and largest[i] <= others[i] and (
-            others[i] + opened[scope[up]] > 0 or 2 * mass[i] <= mass[0])
-    return gone if any(m and not g for m, g in zip(own, gone, strict=True)) else [False] * n
+        large = 2 * mass[i] > mass[0] and not (
+            page.tagged[i] and (page.names[i] in MENUS or article[up] or mass[i] < LEAST_PROSE))
+        gone[i] = gone[up] or marks[i] and largest[i] <= others[i] and (others[i] + opened[scope[up]] > 0 or not large)
+    return gone
 
 
 def settle(page: Lines, sigma: float = SIGMA) -> Lines:
     """``page`` without the lines, and the pieces of lines, that lie in furniture."""
-    if not page.texts or not any(page.marked):
+    if not page.texts or not any(page.marked) and not any(page.tagged):
         return page
     gone = furniture(page, sigma)
-    lines = zip(page.texts, page.tags, page.places, page.pieces, strict=True)
-    page.texts, page.tags, page.places, page.pieces, seen = [], [], [], [], 0
-    for text, tags, place, pieces in lines:
+    staying = list(range(len(gone)))
+    for i, out in enumerate(gone):
+        if out:
+            staying[i] = staying[page.parents[i]]
+    lines = zip(page.texts, page.tags, page.places, page.pieces, page.heads, strict=True)
+    page.texts, page.tags, page.places, page.pieces, page.heads, seen = [], [], [], [], [], 0
+    for text, tags, place, pieces, head in lines:
         seen += tags
         kept = [piece for piece in pieces if not gone[piece[0]]]
         if len(kept) < len(pieces):
             text = SPACES.sub(" ", "".join(x for _, x, _ in kept)).strip()
         if text:
-            while gone[place]:
-                place = page.parents[place]
             page.texts.append(text)
             page.tags.append(seen)
-            page.places.append(place)
+            page.places.append(staying[place])
             page.pieces.append(kept)
+            page.heads.append(head)
             seen = 0
     return page
 
@@ -282,14 +316,41 @@ def content(page: Lines, sigma: float = SIGMA) -> list[str]:
         for i, name in enumerate(page.names):
             if name in ("article", "main") and top[i] in smallest and held[i] == held[top[i]]:
                 smallest[top[i]] = i
-        regions = list(smallest.values())
+        regions, by_name = list(smallest.values()), True
     else:
+        by_name = False
         regions = [max(i for i, n in enumerate(page.names) if n in REGIONS and held[i] == held[0])]
     inside = np.zeros(len(mass), dtype=bool)
     inside[regions] = True
     for i in range(1, len(mass)):
         inside[i] |= inside[page.parents[i]]
-    return [x for x, place in zip(page.texts, page.places, strict=True) if inside[place]]
+    kept = np.flatnonzero(inside[places])
+    if not by_name:
+        # A heading may be a link to its own page.
+        only_links = (10 * links >= 9 * size) & ~np.array(page.heads)
+        kept = trimmed(kept, only_links, [bool(COPYRIGHT.match(x)) for x in page.texts], prose.any())
+    return [page.texts[i] for i in kept]
+
+
+def trimmed(lines: np.ndarray, only_links: np.ndarray, notices: list[bool], prose: bool) -> np.ndarray:
+    """``lines`` of a region that no article names, without ``LINK_LIST`` or more link lines in a row and without link lines
+    and copyright notices at both ends; if there is no prose at all, the links are the text and stay."""
+    if prose:
+        a = 0
+        while a < len(lines):
+            b = a
+            while b < len(lines) and only_links[lines[b]]:
+                b += 1
+            if b - a >= LINK_LIST:
+                lines = np.delete(lines, slice(a, b))
+            else:
+                a = max(a + 1, b)
+    first, last = 0, len(lines)
+    while prose and first < last and only_links[lines[first]]:
+        first += 1
+    while first < last and (notices[lines[last - 1]] or prose and only_links[lines[last - 1]]):
+        last -= 1
+    return lines[first:last]
 
 
 def main_text(html: str) -> str:
@@ -324,4 +385,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: ``page_id``, ``url``, ``text`` (the article, in one line) and ``n_chars``."""
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
