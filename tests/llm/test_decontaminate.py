@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +32,23 @@ def test_cases(spark, block_bytes):
     assert run(spark, CASES, ITEM_CASES, block_bytes=block_bytes) == expected
 
 
+def test_blocks_over_shuffled_rows(spark):
+    """Several blocks over an input whose rows come out of a shuffle, copies and clashing columns included."""
+    docs = [(i, text) for i in range(40) for _, text in CASES]
+    df = spark.createDataFrame(docs, DOCS).withColumns({"k0": F.lit(1), "r": F.lit("own")}).repartition(7)
+    found = d.scan(df, spark.createDataFrame(ITEM_CASES, ITEMS), block_bytes=200)
+    assert found.columns[:4] == ["doc_id", "text", "k0", "r"]
+    digest = F.sha2(F.array_join("items", ","), 256)
+    got = sorted((tuple(r) for r in found.select("doc_id", "n_words", "n_hit", F.size("items"), digest, "contaminated").collect()), key=str)
+    assert got == sorted(d.brute_force(docs, ITEM_CASES), key=str)
+
+
+def test_a_large_set_is_built_in_seconds():
+    rows = [(10, hash((i, 7)) >> 1, b"word " * 9 + str(i).encode(), ["1"]) for i in range(300_000)]
+    begun = time.perf_counter()
+    assert len(d.WindowSet(rows).items) == 300_000 and time.perf_counter() - begun < 10
+
+
 def test_empty_tables(spark):
     assert run(spark, [], ITEM_CASES) == []
     assert [r[2] for r in run(spark, CASES, [])] == [0] * len(CASES)

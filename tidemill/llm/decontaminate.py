@@ -1,14 +1,15 @@
 """Benchmark decontamination: a broadcast set of benchmark windows, scanned by training windows, each hit verified.
 
-The windows of the benchmark are grouped by their words and sent to the tasks in blocks of at most
-``BLOCK_BYTES``; a benchmark that needs more than one block is scanned block by block and the hits of a document
-are put together after. A hit of the 64-bit window hash counts only if the words are the same.
+The windows of the benchmark are hashed and grouped by their words in Spark and sent to the tasks in blocks of at most
+``BLOCK_BYTES``; a benchmark that needs more than one block is scanned block by block, one block held at a time, and the
+hits of equal texts are put together after. A hit of the 64-bit window hash counts only if the words are the same.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import fresh, table
+from tidemill.llm.common import fresh, table, worker_cache
 from tidemill.llm.words import ALNUM, Words, row_ranges, text_buffer
+from tidemill.session import cut_lineage, scratch_path
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -26,7 +28,7 @@ RESULTS = ("n_words", "hit_runs", "n_hit", "items", "contaminated")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per distinct window: ``length``, ``words`` (lower-cased, one space between), ``items`` (sorted ids as text)."""
+    """One row per distinct window: ``length``, ``hash``, ``words`` (lower-cased, one space between), ``items`` (sorted ids as text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,39 +37,47 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             for a, b in row_ranges(offsets):
                 words = Words(data, offsets[a:b + 1], ALNUM)
                 out = []
+                hashes = {}
                 for row in range(b - a):
                     lo, hi = int(words.bounds[row]), int(words.bounds[row + 1])
                     size = min(window, hi - lo)
                     if size:
-                        out += [(size, words.joined(i, size), ids[a + row]) for i in range(lo, hi - size + 1)]
+                        if size not in hashes:
+                            at, value = words.windows(size)
+                            hashes[size] = dict(zip(at.tolist(), value.view(np.int64).tolist(), strict=True))
+                        out += [(size, hashes[size][i], words.joined(i, size), ids[a + row]) for i in range(lo, hi - size + 1)]
                 if out:
-                    size, text, item = zip(*out, strict=True)
+                    size, value, text, item = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(size, pa.int32()), pa.array(text, pa.binary()), pa.array(item, pa.string())],
-                        names=["length", "words", "item"])
+                        [pa.array(size, pa.int32()), pa.array(value, pa.int64()), pa.array(text, pa.binary()),
+                         pa.array(item, pa.string())], names=["length", "hash", "words", "item"])
 
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    return (rows.mapInArrow(cut, "length int, words binary, item string")
-            .groupBy("length", "words").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    return (rows.mapInArrow(cut, "length int, hash bigint, words binary, item string")
+            .groupBy("length", "hash", "words").agg(F.array_sort(F.collect_set("item")).alias("items")))
 
 
 class WindowSet:
-    """A block of benchmark windows, found by hash and confirmed by their words."""
+    """A block of benchmark windows, found by hash and confirmed by their words. Their hashes come with them."""
 
-    def __init__(self, rows: list[tuple[int, bytes, list[str]]]):
+    def __init__(self, rows: list[tuple[int, int, bytes, list[str]]]):
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.items: dict[bytes, list[str]] = {}
-        found: dict[int, list[np.ndarray]] = {}
-        for length, text, items in rows:
-            data = np.frombuffer(text, np.uint8)
-            words = Words(data, np.array([0, len(data)]), ALNUM)
-            found.setdefault(length, []).append(words.windows(length)[1])
-            self.items[text] = items
-        for length, hashes in found.items():
-            hashes = np.unique(np.concatenate(hashes))
+        self.items: dict[bytes, list[str]] = {text: items for _, _, text, items in rows}
+        lengths = np.fromiter((r[0] for r in rows), np.int64, len(rows))
+        hashes = np.fromiter((r[1] for r in rows), np.int64, len(rows)).view(np.uint64)
+        for length in np.unique(lengths).tolist():
+            own = np.unique(hashes[lengths == length])
             likely = np.zeros(1 << FILTER_BITS, dtype=bool)
-            likely[hashes >> np.uint64(64 - FILTER_BITS)] = True
-            self.by_length[length] = hashes, likely
+            likely[own >> np.uint64(64 - FILTER_BITS)] = True
+            self.by_length[length] = own, likely
+
+    @classmethod
+    def of(cls, block) -> WindowSet:
+        """The set of a broadcast block, built once in a worker; the block before it goes."""
+        held = worker_cache("windows")
+        if held.get("of") is not block.value:
+            held["of"], held["set"] = block.value, cls(block.value)
+        return held["set"]
 
     def hits(self, words: Words) -> Iterator[tuple[int, int, list[str]]]:
         """(first word, length, items) of every window of ``words`` that is in the set."""
@@ -81,11 +91,11 @@ class WindowSet:
                     yield first, length, items
 
 
-def _blocks(windows: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes, list[str]]]]:
+def _blocks(windows: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, int, bytes, list[str]]]]:
     """The windows in lists of bounded size, read partition by partition."""
     block, size = [], 0
     for row in windows.toLocalIterator():
-        block.append((row.length, bytes(row.words), row["items"]))
+        block.append((row.length, row.hash, bytes(row.words), row["items"]))
         size += len(row.words) + sum(map(len, row["items"])) + 64
         if size >= block_bytes:
             yield block
@@ -103,7 +113,7 @@ def _scan(block, text_at: int):
     """A task function: per row its word count, the runs of hit words as byte ranges, and the items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = WindowSet(block.value)
+        wanted = WindowSet.of(block)
         for batch in batches:
             data, offsets = text_buffer(batch.column(text_at))
             for a, b in row_ranges(offsets):
@@ -142,8 +152,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     spark = docs.sparkSession
     docs = docs.drop(*names)
     as_words, as_runs, as_hit, as_items, as_found = names
-    key = fresh("row", docs.columns)
-    text_at = [c.lower() for c in docs.columns].index("text")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     schema = T.StructType([*docs.schema.fields, T.StructField("w", T.LongType()),
                            *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in "ab"),
@@ -151,41 +159,46 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     own = [fresh(x, docs.columns) for x in "wabi"]
     for field, name in zip(schema.fields[-4:], own, strict=True):
         field.name = name
-    blocks = list(_sent(spark, benchmark_windows(benchmark, window), block_bytes))
-
     def scanned(rows: DataFrame, block, fields: T.StructType) -> DataFrame:
-        return rows.mapInArrow(_renamed(_scan(block, text_at), fields.fieldNames()), fields)
+        return rows.mapInArrow(_renamed(_scan(block, [c.lower() for c in rows.columns].index("text")), fields.fieldNames()), fields)
 
+    send = spark.sparkContext.broadcast
+    blocks = _blocks(benchmark_windows(benchmark, window), block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
     w, a, b, i = (F.col(f"`{x}`") for x in own)
-    if len(blocks) == 1:
-        runs = F.arrays_zip(a.alias("start"), b.alias("end"))
-        out = scanned(docs, blocks[0], schema).select(
-            *columns, w.alias(as_words), runs.alias(as_runs), i.alias(as_items))
+    runs = F.arrays_zip(a.alias("start"), b.alias("end"))
+    if second is None:
+        out = scanned(docs, send(first), schema).select(*columns, w.alias(as_words), runs.alias(as_runs), i.alias(as_items))
     else:
-        # One pass per block; the hits meet again by the row's place in the input.
-        keyed = docs.withColumn(key, F.monotonically_increasing_id())
-        full = T.StructType([*keyed.schema.fields, *schema.fields[-4:]])
-        runs = F.arrays_zip(a.alias("start"), b.alias("end"))
-        parts = [scanned(keyed, block, full) for block in blocks]
-        hits = None
-        for part in parts:
-            part = part.filter(F.size(a) > 0).select(key, runs.alias("r"), i.alias("n"))
-            hits = part if hits is None else hits.unionByName(part)
-        merged = hits.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("r"))).alias("r"),
-                                       F.array_sort(F.array_distinct(F.flatten(F.collect_list("n")))).alias("n"))
-        out = (parts[0].select(key, *columns, w.alias(as_words)).join(merged, key, "left")
-               .select(*columns, F.col(as_words), _merged_runs(F.coalesce(merged["r"], F.array().cast(
-                   "array<struct<start:int,end:int>>"))).alias(as_runs),
-                   F.coalesce(merged["n"], F.array().cast("array<string>")).alias(as_items)))
+        # One pass per block, of which one at a time is held and sent. Equal texts have equal hits, so the hits of the
+        # blocks meet by a 128-bit hash of the text, whatever order a recomputed input has.
+        slim = docs.select(F.col("text").cast("string").alias("text"))
+        key = [F.xxhash64("text").alias("k0"), F.xxhash64(F.lit(1), "text").alias("k1")]
+        full = T.StructType([*slim.schema.fields, *schema.fields[-4:]])
+        path = scratch_path(spark, "hits")
+        for block in chain([first, second], blocks):
+            sent = send(block)
+            part = scanned(slim, sent, full).filter(F.size(a) > 0).select(*key, runs.alias("r"), i.alias("n"))
+            part.groupBy("k0", "k1").agg(F.first("r").alias("r"), F.first("n").alias("n")).write.mode("append").parquet(path)
+            sent.unpersist()
+        hits = spark.read.parquet(path).groupBy("k0", "k1").agg(
+            F.array_sort(F.flatten(F.collect_list("r"))).alias("r"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("n")))).alias("n"))
+        # Written, so that the planner knows its size and sends it to the texts if it is small.
+        found = [fresh(x, [*docs.columns, *own, *names]) for x in ("k0", "k1", "found_runs", "found_items")]
+        hits = cut_lineage(hits.toDF(*found), "hits")
+        k0, k1, r, n = (F.col(f"`{x}`") for x in found)
+        counted = scanned(docs, send([]), schema)
+        text = F.col("text").cast("string")
+        match = (k0 == F.xxhash64(text)) & (k1 == F.xxhash64(F.lit(1), text))
+        out = counted.join(hits, match, "left").select(
+            *columns, w.alias(as_words), _merged_runs(F.coalesce(r, F.array().cast(
+                "array<struct<start:int,end:int>>"))).alias(as_runs),
+            F.coalesce(n, F.array().cast("array<string>")).alias(as_items))
     n_hit = F.aggregate(as_runs, F.lit(0).cast("long"), lambda s, r: s + (r["end"] - r["start"]))
     return out.withColumn(as_hit, n_hit).withColumn(as_found, F.col(as_hit) > 0)
 
 
-def _sent(spark: SparkSession, windows: DataFrame, block_bytes: int):
-    sent = [spark.sparkContext.broadcast(block) for block in _blocks(windows, block_bytes)]
-    return sent or [spark.sparkContext.broadcast([])]
-
-
 def _renamed(task, names: list[str]):
     return lambda batches: (x.rename_columns(names) for x in task(batches))
 
@@ -232,6 +245,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_sha
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: ``n_words``, ``n_hit`` words inside windows of the benchmark, ``n_items`` with such windows, the digest
+    ``items_sha256`` of their ids, ``contaminated``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
