@@ -80,4 +80,5 @@ def render(turns: DataFrame, per_block: int = TURNS_PER_BLOCK) -> DataFrame:
 
 
 def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per maximal conversation: ``conv_id``, ``n_turns``, ``n_equal`` (conversations of the same turns), ``rendered``."""
     return render(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))

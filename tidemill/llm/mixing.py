@@ -178,5 +178,6 @@ def draw(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: ``size``, its source's ``source_size`` and ``target``, and ``taken``, the words that the mix takes."""
     found = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")

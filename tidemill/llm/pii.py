@@ -233,6 +233,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how many spans of each base kind its text has (``n_email``, ``n_ip``, ``n_card``, ``n_phone``),
+    ``spans`` (kind:start:end of all kinds) and ``base_sha256``, the digest of the base ones. Null counts as empty."""
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     columns = [(k.name, F.col(k.name)) for k in KINDS]
     base = columns[:sum(k.base for k in KINDS)]

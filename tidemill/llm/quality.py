@@ -24,7 +24,9 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
             "n_upper", "n_bare", "n_noise", "n_common")
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 ROUNDS, TOLERANCE = 60, 1e-6
-PRIOR_VOTES, ON_GOOD, ON_BAD, SHARE_GOOD, KEEP = 20.0, 0.97, 0.5, 0.9, 0.1
+PRIOR_VOTES, ON_GOOD, ON_BAD, SHARE_GOOD = 20.0, 0.97, 0.5, 0.9
+#: A document goes when the votes make it nine times as likely bad as good: what is thrown away does not come back.
+KEEP = 0.1
 
 #: Frequent short words of English, German, French and Spanish, which running text cannot do without.
 COMMON = """the of and to in that is for on with der die und den das von zu mit des im de la le les et un une que en
@@ -186,9 +188,9 @@ def updated(sums: dict[str, float]) -> Model:
 
 
 def patterns_of(rows: DataFrame, feature: dict[str, Column]) -> DataFrame:
-    """Vote patterns with their counts, as a small table of one file."""
+    """Vote patterns with their counts, as a small table of one file: counted by many tasks, then put together."""
     counted = rows.select(*(v.alias(r) for r, v in votes(feature).items())).groupBy(*RULES).agg(F.count("*").alias("n"))
-    return cut_lineage(counted.coalesce(1), "patterns")
+    return cut_lineage(cut_lineage(counted, "counted").coalesce(1), "patterns")
 
 
 def _names(docs: DataFrame) -> dict[str, str]:
@@ -226,6 +228,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the base features, ``base_failed``, and ``kept``: neither failed nor judged bad by the rules."""
     found = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                         "kept")

@@ -295,6 +295,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page, read back from the archives: ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``intact``."""
     path = scratch_path(spark, "warc")
     write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     return read(spark, path, payload=False).select(
