@@ -215,3 +215,21 @@ def test_rules_that_are_off_raise_no_alert(spark):
     fired = {r.condition for r in an.alerts(runs, now, last).collect()}
     every = {r.condition for r in an.alerts(runs, now, last, rules=[(*r[:5], True) for r in ALERT_RULES]).collect()}
     assert off and off <= every and fired == every - off
+
+
+def test_stored_profile_reads_new_files_only(spark, tmp_path):
+    from tidemill.operators import profile_store as ps
+
+    path, store = str(tmp_path / "t"), str(tmp_path / "sketches")
+    make = lambda a, b: spark.range(a, b).selectExpr("id", "id % 10 AS `k k`", "IF(id % 4 = 0, NULL, id / 2.0D) AS x", "CAST(NULL AS DOUBLE) AS none",
+                                                     "concat('v', id % 300) AS s").repartition(2).write.mode("append").parquet(path)
+    make(0, 4000)
+    assert ps.refresh(spark, path, store) == 2 and ps.refresh(spark, path, store) == 0
+    make(4000, 10_000)
+    assert ps.refresh(spark, path, store) == 2
+    got = {r.column_name: r for r in ps.merged(spark.read.parquet(store)).collect()}
+    assert {c: (r.row_count, r.null_pct) for c, r in got.items()} == {
+        "id": (10_000, 0.0), "k k": (10_000, 0.0), "x": (10_000, 25.0), "none": (10_000, 100.0), "s": (10_000, 0.0)}
+    assert abs(got["id"].distinct_count - 10_000) < 500 and got["k k"].distinct_count == 10 and abs(got["s"].distinct_count - 300) < 15
+    assert (got["id"].min_value, got["id"].max_value) == (0.0, 9999.0) and abs(got["id"].median - 5000) < 300
+    assert got["none"].distinct_count == 0 and got["none"].median is None and got["s"].median is None

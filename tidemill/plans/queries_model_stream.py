@@ -11,6 +11,7 @@ from tidemill.operators import isolation_forest as iso
 from tidemill.operators import lineage as ln
 from tidemill.operators import run_model as rm
 from tidemill.plans.oracle import AVG, D, R, RUN_RULES, arr, lit
+from tidemill.plans.queries_anomalies import _findings
 from tidemill.plans.registry import query
 from tidemill.session import scratch_path
 from tidemill.sources.readers import spread
@@ -77,6 +78,16 @@ def _(t):
     return _scored(t)
 
 
+@query("x04_forest_properties", "SELECT count(*) AS rows, count(DISTINCT run_no) AS runs, true AS share_is_contamination, true AS below_zero_are_outliers FROM runs", "runs")
+def _(t):
+    share = F.count_if("is_outlier") / F.count("*")
+    return _scored(t).agg(
+        F.count("*").alias("rows"), F.count_distinct("run_no").alias("runs"),
+        # Equal scores at the border stay inside, so a little less than the share may be outside.
+        ((share <= iso.CONTAMINATION + 0.001) & (share >= iso.CONTAMINATION - 0.02)).alias("share_is_contamination"),
+        F.bool_and(F.col("is_outlier") == (F.col("decision") < 0)).alias("below_zero_are_outliers"))
+
+
 @query("x05_balanced_training_set", f"""WITH {_HALF_RUNS}, {_TRAIN.format(src='half')}, c AS (SELECT count(*) FILTER (WHERE label <> 'NORMAL') AS a, count(*) FILTER (WHERE label = 'NORMAL') AS n FROM train)
     SELECT a AS anomalies, least(a, n) AS normals FROM c""", "runs")
 def _(t):
@@ -106,6 +117,21 @@ def _(t):
     return rm.predict(rm.fit_classifier(train), test).select("run_no", "label", "predicted", "confidence")
 
 
+@query("x08_classifier_properties", f"""WITH {_HALF_RUNS}, {_TRAIN.format(src='half')},
+    b AS (SELECT label FROM train WHERE CAST('0x' || substr(md5(label || '|' || run_no), 1, 8) AS BIGINT) % 10000 >= 7500)
+    SELECT count(*) AS rows, count(DISTINCT label) AS labels, true AS accurate, true AS confident, true AS known_types FROM b""", "runs")
+def _(t):
+    train, test = rm.split(rm.training_set(_half_runs(t)))
+    scored = rm.predict(rm.fit_classifier(train), test)
+    seen = train.agg(F.collect_set("label")).scalar()
+    return scored.agg(
+        F.count("*").alias("rows"), F.count_distinct("label").alias("labels"),
+        (F.count_if(F.col("label") == F.col("predicted")) / F.count("*") >= 0.9).alias("accurate"),
+        # The most likely of n types has at least the n-th part of the probability.
+        F.bool_and(F.col("confidence").between(1.0 / 8, 1.0 + 1e-9)).alias("confident"),
+        F.bool_and(F.array_contains(seen, F.col("predicted"))).alias("known_types"))
+
+
 def _guess(t):
     """Predictions of a simple rule, so that the scores can be checked exactly."""
     train = rm.training_set(_half_runs(t))
@@ -166,6 +192,22 @@ def _(t):
     return _typed_outliers(t).select("run_no", "pipeline_name", "decision", "confidence", "anomaly_type")
 
 
+@query("x10_type_properties", "SELECT 0::BIGINT AS text_not_first, 0::BIGINT AS without_type, true AS once_each")
+def _(t):
+    texts = t.fleet.select("run_no", F.when(F.length("error_message") > 0, an.classify_error(F.col("error_message"))).alias("by_text"))
+    return _typed_outliers(t).join(texts, "run_no").agg(
+        F.count_if(F.col("by_text").isNotNull() & (F.col("anomaly_type") != F.col("by_text"))).alias("text_not_first"),
+        F.count_if(F.col("anomaly_type").isNull() | (F.col("anomaly_type") == "NORMAL")).alias("without_type"),
+        (F.count("*") == F.count_distinct("run_no")).alias("once_each"))
+
+
+@query("a14_findings_beside_the_model", f"WITH {_findings('fleet')} SELECT * FROM findings", "fleet")
+def _(t):
+    newest = an.latest_run(t.fleet).select("run_no")
+    both = an.with_model_outliers(an.detect(t.fleet, t.as_of), _typed_outliers(t).join(newest, "run_no", "left_semi"))
+    return both.filter((F.col("rule") != "model_outlier") | (F.col("rule_order") != 14))
+
+
 @query("a14_model_outliers")
 def _(t):
     newest = an.latest_run(t.fleet).select("run_no")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemill.functions.constants import PII_PATTERNS
+from tidemill.operators import profile_store as ps
 from tidemill.operators import quality as q
 from tidemill.plans.oracle import AS_OF, D, R, lit
 from tidemill.plans.registry import query
+from tidemill.session import scratch_path
 
 
 def _profile_sql(table: str, columns: dict[str, str], source: str | None = None) -> str:
@@ -43,6 +45,35 @@ def _(t):
     return q.profile(t.lineitem, "lineitem", approx_distinct=True)
 
 
+_STORED = {"event_id": "i", "user_id": "i", "event_type": "s", "value": "d", "ts": "t"}
+
+
+@query("q01_profile_stored", " UNION ALL ".join(f"""SELECT {lit(c)} AS column_name, count(*) AS row_count,
+    {R(f'100.0::DOUBLE * (count(*) - count({c})) / nullif(count(*), 0)', 1)} AS null_pct, count(DISTINCT {c}) AS distinct_count,
+    true AS distinct_close, {'true' if kind in 'id' else 'NULL::BOOLEAN'} AS median_close FROM events""" for c, kind in _STORED.items()))
+def _(t):
+    # Two deliveries of several files; the second profile reads the second one only.
+    events = t.events.select(*_STORED)
+    path, store = scratch_path(t.spark, "events"), scratch_path(t.spark, "sketches")
+    for half in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1):
+        events.filter(half).repartition(3).write.mode("append").parquet(path)
+        ps.refresh(t.spark, path, store)
+    kept = ps.merged(t.spark.read.parquet(store))
+    numbers = [c for c, kind in _STORED.items() if kind in "id"]
+    middle = kept.filter(F.col("column_name").isin(numbers)).groupBy().pivot("column_name", numbers).agg(F.first("median"))
+    # The exact values, in one aggregate; the medians are one row.
+    exact = events.crossJoin(F.broadcast(middle.select(*[F.col(c).alias(f"_{c}") for c in numbers]))).agg(
+        *[F.count_distinct(c).alias(f"d_{c}") for c in _STORED],
+        *[(F.count_if(F.col(c) <= F.col(f"_{c}")) / F.count(c)).alias(f"r_{c}") for c in numbers])
+    facts = exact.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.col(f"d_{c}").alias("exact"),
+        (F.col(f"r_{c}") if c in numbers else F.lit(None).cast("double")).alias("rank")) for c in _STORED])))
+    return kept.join(facts, "column_name").select(
+        "column_name", "row_count", "null_pct", F.col("exact").alias("distinct_count"),
+        (F.abs(F.col("distinct_count") / F.col("exact") - 1) <= 0.05).alias("distinct_close"),
+        F.col("rank").between(0.46, 0.54).alias("median_close"))
+
+
 @query("q02_health_score", f"""SELECT table_name, CAST(greatest(0, 100 - CAST(floor({R('avg(null_pct) * 2', 6)}) AS INTEGER)) AS INTEGER) AS health_score
     FROM ({_profile_sql('damaged', _DAMAGED_COLS)} UNION ALL {_profile_sql('events', _EVENT_COLS)}) GROUP BY 1""", "damaged")
 def _(t):

@@ -299,6 +299,13 @@ def _(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
 
 
+@query("n07_approx_distinct_error", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS within_bound FROM lineitem GROUP BY 1")
+def _(t):
+    # Three times the relative deviation that the sketch is asked for.
+    exact, sketch = F.count_distinct("l_partkey"), F.approx_count_distinct("l_partkey", 0.02)
+    return t.lineitem.groupBy("l_returnflag").agg(exact.alias("parts"), (F.abs(sketch / exact - 1) <= 0.06).alias("within_bound"))
+
+
 @query("n08_share_of_total", f"""SELECT o_orderstatus, o_orderpriority, n, {R('100.0 * (CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY o_orderstatus) AS DOUBLE))', 2)} AS share_pct
     FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2)""")
 def _(t):
