@@ -126,3 +126,25 @@ def test_followed_within_as_table_and_stream(spark, tmp_path, rows):
         jobs.start_followed_within(stream.filter("id % 2 = 0"), stream.filter("id % 2 = 1"), ["user"], "at", 2700, "1 day",
                                    str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("first_id", "second_id")) == want
+
+
+def test_stalls_are_reported_once(spark, tmp_path, rows):
+    from tidemill.streaming import stalls
+
+    def at(minute):
+        return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
+
+    deliveries = [[("a", 0), ("b", 0), ("b", 5), ("b", 70), (None, 3)], [("b", 80)], [("b", 130), ("b", 180), ("a", 185), ("a", 190)], [("b", 400), ("b", 410)]]
+    src, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    seen = []
+    for part in deliveries:
+        spark.createDataFrame([(s, at(m)) for s, m in part], "source string, at timestamp").repartition(2).write.mode("append").parquet(src)
+        stream = jobs.file_stream(spark, src, "source string, at timestamp")
+        stalls.start_stall_watch(stream, "source", "at", 3600, "0 seconds", out, mark).awaitTermination()
+        seen.append(rows(spark.read.parquet(out)))
+    # Each stall comes with the delivery that proves it: a's first one by the watermark, long before its next row.
+    assert seen[0] == [("a", at(0)), ("b", at(5))] and seen[1] == seen[0] == seen[2]
+    want = [("a", at(0)), ("a", at(190)), ("b", at(5)), ("b", at(180))]
+    assert seen[3] == want
+    table = spark.createDataFrame([(s, at(m), i) for i, (s, m) in enumerate(x for d in deliveries for x in d)], "source string, at timestamp, i int")
+    assert rows(stalls.stalls(table, "source", "at", "i", 3600, F.lit(at(410)))) == want

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,13 +28,13 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, schema: str, **o
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("v"), "partition", "offset").select("v.*", "partition", "offset")
 
 
-def _available(df: DataFrame, checkpoint: str):
+def available(df: DataFrame, checkpoint: str):
     return df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def start_incremental(source: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Append everything not yet loaded, then stop; the checkpoint is the high-water mark."""
-    return _available(source, checkpoint).format("parquet").outputMode("append").start(target)
+    return available(source, checkpoint).format("parquet").outputMode("append").start(target)
 
 
 def latest_changes(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -47,6 +50,24 @@ def apply_changes(changes: DataFrame, keys: list[str], order: list[str], op: str
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries that start here keep their state in RocksDB with a changelog; those of a first start stay with its checkpoint."""
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+                "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def start_change_application(source: DataFrame, keys: list[str], order: list[str], checkpoint: str, feed: str | None = None) -> StreamingQuery:
     """Keep the newest change per key in Spark's keyed state, deletes included, so late older changes cannot win.
 
@@ -60,21 +81,9 @@ def start_change_application(source: DataFrame, keys: list[str], order: list[str
     def publish(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{feed}/batch={batch_id}")
 
-    spark, writer = source.sparkSession, _available(newest, checkpoint).outputMode("update")
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-                "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
-    before = {name: spark.conf.get(name, None) for name in settings}
-    try:
-        # A query takes the settings of its start; those of a first start stay with its checkpoint.
-        for name, value in settings.items():
-            spark.conf.set(name, value)
+    writer = available(newest, checkpoint).outputMode("update")
+    with state_store(source.sparkSession):
         return (writer.foreachBatch(publish) if feed else writer.format("noop")).start()
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
 
 
 def changed_table(spark: SparkSession, checkpoint: str, op: str = "op", deleted: bool = False) -> DataFrame:
@@ -87,7 +96,7 @@ def changed_table(spark: SparkSession, checkpoint: str, op: str = "op", deleted:
 def start_deduplication(source: DataFrame, keys: list[str], time: str, lateness: str, target: str, checkpoint: str) -> StreamingQuery:
     """Drop repeats of a key that arrive within the lateness bound; state older than it is freed."""
     unique = source.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
-    return _available(unique, checkpoint).format("parquet").outputMode("append").start(target)
+    return available(unique, checkpoint).format("parquet").outputMode("append").start(target)
 
 
 def run_findings(runs: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
@@ -121,7 +130,7 @@ def start_run_monitor(source: DataFrame, target: str, checkpoint: str, baseline:
     def check(batch: DataFrame, batch_id: int) -> None:
         run_findings(batch, baseline).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    return _available(source, checkpoint).foreachBatch(check).start()
+    return available(source, checkpoint).foreachBatch(check).start()
 
 
 def split_late(batch: DataFrame, time: str, newest: Column, lateness: str) -> DataFrame:
@@ -147,7 +156,7 @@ def start_late_split(source: DataFrame, time: str, lateness: str, target: str, c
         newest = batch.agg(F.max(F.col(time).cast("timestamp_ntz")).alias("own")).select(F.greatest("own", before).alias("newest"))
         newest.write.mode("overwrite").parquet(f"{target}_newest/{batch_id}")
 
-    return _available(source, checkpoint).foreachBatch(split).start()
+    return available(source, checkpoint).foreachBatch(split).start()
 
 
 def _near_buckets(first: DataFrame, second: DataFrame, keys: list[str], time: str, seconds: int) -> tuple[DataFrame, DataFrame, Column]:
@@ -183,7 +192,7 @@ def start_followed_within(first: DataFrame, second: DataFrame, keys: list[str],
     """``followed_within`` over two streams; state of a row is freed once the watermark says that no partner can come."""
     a, b, match = _near_buckets(first.withWatermark(time, lateness), second.withWatermark(time, lateness), keys, time, seconds)
     pairs = a.join(b, match).drop("_span", "_other")
-    return _available(pairs, checkpoint).format("parquet").outputMode("append").start(target)
+    return available(pairs, checkpoint).format("parquet").outputMode("append").start(target)
 
 
 def rollup(metrics: DataFrame, unit: str, time: str = "recorded_at") -> DataFrame:
@@ -198,4 +207,4 @@ def rollup(metrics: DataFrame, unit: str, time: str = "recorded_at") -> DataFram
 
 def start_rollup(source: DataFrame, unit: str, lateness: str, target: str, checkpoint: str, time: str = "recorded_at") -> StreamingQuery:
     """Closed windows only: a window is written once the watermark has passed it."""
-    return _available(rollup(source.withWatermark(time, lateness), unit, time), checkpoint).format("parquet").outputMode("append").start(target)
+    return available(rollup(source.withWatermark(time, lateness), unit, time), checkpoint).format("parquet").outputMode("append").start(target)
