@@ -45,9 +45,15 @@ def _(t):
 
 @query("s03_object_scan", "SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
 def _(t):
-    # The same reader call as for s3a://bucket/key, here with a file address.
-    path = readers.object_path("", f"{t.sf_dir}/part.parquet", "file")
-    return readers.read_file(t.spark, path).groupBy("p_brand").agg(F.count("*").alias("n"))
+    # A bucket that is mounted over the folder of the tables; its objects are read by their address, as in any store.
+    if "://" in t.sf_dir:
+        scheme, rest = t.sf_dir.split("://", 1)
+        bucket, _, folder = rest.partition("/")
+        found = readers.read_object(t.spark, bucket, f"{folder}/part.parquet", scheme)
+    else:
+        mount = {"fs.viewfs.mounttable.lake.link./tables": f"file://{t.sf_dir}"}
+        found = readers.read_object(t.spark, "lake", "tables/part.parquet", "viewfs", settings=mount)
+    return found.groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
 @query("s05_row_cap", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")

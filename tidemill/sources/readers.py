@@ -36,9 +36,23 @@ def read_file(
 
 
 def object_path(bucket: str, key: str, scheme: str = "s3a") -> str:
+    """The address of an object; a local file has no bucket."""
     return f"{scheme}://{bucket}/{key.lstrip('/')}"
 
 
+def read_object(spark: SparkSession, bucket: str, key: str, scheme: str = "s3a", file_format: str | None = None, schema=None,
+                settings: dict[str, str] | None = None) -> DataFrame:
+    """Scan an object (or all below a key) of a bucket, in any store that the session's Hadoop has a client for.
+
+    ``settings`` are that client's for this bucket (endpoint, credentials), as in ``fs.s3a.bucket.<bucket>.<name>``; for
+    other schemes they are full names.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+    for name, value in (settings or {}).items():
+        conf.set(f"fs.s3a.bucket.{bucket}.{name}" if scheme == "s3a" else name, value)
+    return read_file(spark, object_path(bucket, key, scheme), file_format, schema)
+
+
 def read_jdbc(
     spark: SparkSession, url: str, table: str | None = None, sql: str | None = None, *,
     partition_column: str | None = None, lower: str | None = None, upper: str | None = None,
