@@ -167,3 +167,18 @@ def test_index_tags_nulls_and_empty_tables(spark, tmp_path):
     assert {r.query_id for r in rows} == {4, 7} and all(r.item_id % 2 == r.query_id % 2 and r.item_id != 7 for r in rows)
     empty, probes = ri.fit(store.limit(0))
     assert len(empty) == 0 and probes == 1 and ri.build(store.limit(0), centres).count() == 0
+
+
+def test_training_rows_are_dealt_by_number_not_by_label(spark):
+    # Nearly all rows have one label, many are copies of one another.
+    train = spark.range(90_000).selectExpr("id % 7 AS run_no", "CASE WHEN id < 50 THEN 'DELAY' ELSE 'NORMAL' END AS label", *[
+        f"CAST(1 AS DOUBLE) AS {c}" for c in rm.CLASSIFIER_FEATURES])
+    weighted = rm.weigh(train)
+    held = [r[0] for r in weighted.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(held) == 90_000 and max(held) <= rm.LEAST_ROWS + 100
+    assert {r.label: r.weight for r in weighted.select("label", "weight").distinct().collect()} == {"DELAY": 900.0, "NORMAL": 90_000 / (89_950 * 2)}
+
+
+def test_large_training_rows_fill_no_task(spark):
+    tasks = rm.dealt(spark.range(1000), 1000, most=10, least=5).rdd.glom().map(len).collect()
+    assert sum(tasks) == 1000 and len(tasks) == 100 and max(tasks) <= 20
