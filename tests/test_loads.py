@@ -261,3 +261,9 @@ def test_a_mark_of_an_unknown_type_is_refused(spark, tmp_path):
     marks = sinks.WatermarkStore(spark, str(tmp_path / "marks"), create=True)
     with pytest.raises(TypeError, match="complex"):
         marks.set("f", "t", "c", 1j, dt.datetime(2024, 1, 1))
+
+
+def test_buckets_follow_the_rows_of_the_larger_table(spark):
+    assert sinks.bucket_count(spark.range(995), spark.range(5), least=2, rows=100) == 10
+    assert sinks.bucket_count(spark.range(5), spark.range(995), rows=100) == 10
+    assert sinks.bucket_count(spark.range(0), spark.range(5)) == 8

@@ -15,7 +15,7 @@ from tidemill.plans import staging
 from tidemill.plans.oracle import AS_OF, AVG, D, ORDERS_AS_OF, PCT, R
 from tidemill.plans.registry import query
 from tidemill.session import scratch_path
-from tidemill.sources.sinks import write_bucketed
+from tidemill.sources.sinks import bucket_count, write_bucketed
 
 
 def _trips(t):
@@ -381,8 +381,9 @@ def _(t):
     FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
 def _(t):
     lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), x.money(F.col("l_extendedprice")).alias("price"))
+    buckets = bucket_count(t.orders, t.lineitem)
     left, right = (
-        write_bucketed(df, f"{label}_{uuid.uuid4().hex}", scratch_path(t.spark, label), ["o_orderkey"], 8)
+        write_bucketed(df, f"{label}_{uuid.uuid4().hex}", scratch_path(t.spark, label), ["o_orderkey"], buckets)
         for df, label in ((t.orders.select("o_orderkey"), "orders"), (lines, "lines"))
     )
     return left.join(right, "o_orderkey").groupBy("o_orderkey").agg(F.count("*").alias("lines"), F.sum("price").alias("amount"))

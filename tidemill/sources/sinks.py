@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -105,6 +106,11 @@ def merge_zoned(spark: SparkSession, path: str, delta: DataFrame, keys: list[str
     return met.groupBy("zone", "_action").agg(F.count("*").alias("rows"))
 
 
+def bucket_count(*dfs: DataFrame, least: int = 8, rows: int = 1_000_000) -> int:
+    """Buckets for tables that are joined: a task sorts and joins a whole bucket, so their number grows with the largest table."""
+    return max(least, *(math.ceil(df.count() / rows) for df in dfs))
+
+
 def write_bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int) -> DataFrame:
     """Write a catalog table hashed and sorted by its join keys.
 
