@@ -263,6 +263,22 @@ def test_a_mark_of_an_unknown_type_is_refused(spark, tmp_path):
         marks.set("f", "t", "c", 1j, dt.datetime(2024, 1, 1))
 
 
+def test_a_zone_gets_its_rows_in_one_file_from_a_batch(spark, tmp_path):
+    path, zone = str(tmp_path / "t"), F.floor(F.col("id") / 100)
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a batch in several tasks, as a large one is
+    try:
+        sinks.create_zoned(spark.range(1000).selectExpr("id", "concat('n', id) AS name", "1 AS at"), path, zone)
+        batch = spark.range(500, 2000).selectExpr("id", "concat('m', id) AS name", "2 AS at")
+        sinks.merge_zoned(spark, path, batch, ["id"], [F.desc("at")], zone, ("at",))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "t").glob("zone=*")}
+    assert len(files) == 20 and set(files.values()) == {1}
+    table = spark.read.parquet(path)
+    assert table.count() == 2000 and table.filter("name = concat('m', id)").count() == 1500
+
+
 def test_buckets_follow_the_rows_of_the_larger_table(spark):
     assert sinks.bucket_count(spark.range(995), spark.range(5), least=2, rows=100) == 10
     assert sinks.bucket_count(spark.range(5), spark.range(995), rows=100) == 10

@@ -66,8 +66,13 @@ def read_days(spark: SparkSession, path: str, first: str, last: str) -> DataFram
 
 def create_zoned(df: DataFrame, path: str, zone: Column) -> None:
     """Write a table whose rows lie in folders by ``zone``, an expression over its key columns (a range of ids, a day)."""
-    dated = df.withColumn("zone", zone)
-    dated.hint("rebalance", "zone").write.partitionBy("zone").parquet(path)
+    _by_zone(df.withColumn("zone", zone)).parquet(path)
+
+
+def _by_zone(df: DataFrame):
+    """Writer of a zoned table. A zone's rows meet in one task, or in a few if it is large; else every task would add a file to
+    every zone, and the number of files would grow with tasks times zones."""
+    return df.hint("rebalance", "zone").write.partitionBy("zone")
 
 
 def merge_zoned(spark: SparkSession, path: str, delta: DataFrame, keys: list[str], order: list[Column], zone: Column,
@@ -95,14 +100,14 @@ def merge_zoned(spark: SparkSession, path: str, delta: DataFrame, keys: list[str
     if "_ROW_HASH" in columns:
         met = met.withColumn("_ROW_HASH", F.col("_new"))
     inserts = met.filter("_action = 'insert'").select(*columns, "zone")
-    inserts.write.mode("append").partitionBy("zone").parquet(path)
+    _by_zone(inserts).mode("append").parquet(path)
     updates = met.filter("_action = 'update'")
     changed = [r.zone for r in updates.select("zone").distinct().collect()]
     if changed:
         now = of(spark.read.parquet(path), changed)
         kept = now.join(updates.select(*keys), keys, "left_anti").select(*columns, "zone")
         whole = cut_lineage(kept.unionByName(updates.select(*columns, "zone")), "zones")
-        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("zone").parquet(path)
+        _by_zone(whole).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     return met.groupBy("zone", "_action").agg(F.count("*").alias("rows"))
 
 
