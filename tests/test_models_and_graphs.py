@@ -182,3 +182,15 @@ def test_training_rows_are_dealt_by_number_not_by_label(spark):
 def test_large_training_rows_fill_no_task(spark):
     tasks = rm.dealt(spark.range(1000), 1000, most=10, least=5).rdd.glom().map(len).collect()
     assert sum(tasks) == 1000 and len(tasks) == 100 and max(tasks) <= 20
+
+
+def test_lines_of_the_summary_are_dealt_by_size_before_they_are_counted(spark):
+    from tidemill.plans import marts
+
+    lines = spark.range(100).selectExpr("timestamp'2024-01-01' AS ordered_at", "'a' AS category", "'b' AS city", "id % 10 AS order_id", "id % 5 AS customer_id",
+                                        "1 AS quantity", "CAST(2 AS DECIMAL(18,2)) AS total_amount", "true AS is_completed", "'shipped' AS status")
+    got = marts.fct_ecommerce_summary(lines)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan
+    (row,) = got.collect()
+    assert (row.order_count, row.unique_customers, row.total_units_sold, row.total_revenue, row.completed_orders) == (10, 5, 100, 200.0, 100)
