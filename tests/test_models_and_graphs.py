@@ -194,3 +194,30 @@ def test_lines_of_the_summary_are_dealt_by_size_before_they_are_counted(spark):
     assert "RebalancePartitions" in plan
     (row,) = got.collect()
     assert (row.order_count, row.unique_customers, row.total_units_sold, row.total_revenue, row.completed_orders) == (10, 5, 100, 200.0, 100)
+
+
+def test_raw_sources_of_a_build_are_written_once_and_views_read_what_was_written(spark, tmp_path):
+    at = "timestamp_ntz'2024-01-03 10:00:00'"
+    trips = spark.range(6).selectExpr(
+        "id", "1 AS vendor_id", f"{at} AS pickup_datetime", f"{at} + INTERVAL '10' MINUTE AS dropoff_datetime", "2.0D AS passenger_count",
+        "1.5D AS trip_distance", "1 AS pu_location_id", "2 AS do_location_id", "1 AS payment_type", "8.0D AS fare_amount", "1.0D AS tip_amount",
+        "9.0D AS total_amount")
+    # Lines 0 and 4 have one id, line 5 has none.
+    lines = spark.range(6).selectExpr("CASE WHEN id < 5 THEN id % 4 END AS id", "id % 3 AS order_id", "id % 2 AS customer_id", "id % 2 AS product_id")
+    names = spark.range(2).selectExpr(
+        "id AS product_id", "'lamp' AS product_name", "' home ' AS category", "2.0D AS unit_price", "3 AS quantity",
+        "CAST(6 AS DECIMAL(18,2)) AS total_amount", "'shipped' AS status", "'Rome' AS city", "'IT' AS country", f"{at} AS created_at")
+    sources = {
+        "raw_trips": trips, "raw_orders": lines.join(names, "product_id"),
+        "shop_items": lines.selectExpr("order_id", "product_id", "3 AS quantity", "CAST(2 AS DECIMAL(18,2)) AS unit_price"),
+        "shop_products": names.selectExpr("product_id AS id", "category"),
+        "shop_orders": lines.selectExpr("order_id AS id", "customer_id", "CAST(6 AS DECIMAL(18,2)) AS order_total", "'shipped' AS status", f"{at} AS created_at"),
+    }
+    tested = build.build_models(sources, str(tmp_path))
+    for view, raw in (("stg_trips", "raw_trips"), ("stg_orders", "raw_orders")):
+        files = spark.table(view).inputFiles()
+        assert files and all(f"{tmp_path}/{raw}/" in f for f in files)
+        assert "Join" not in spark.table(view)._jdf.queryExecution().optimizedPlan().toString()
+    failed = {(r.model, r.column, r.test): r.failures for r in tested.filter("status = 'fail'").collect()}
+    assert failed == {(m, c, t): 1 for m, c in (("raw_orders", "id"), ("stg_orders", "order_key")) for t in ("not_null", "unique")}
+    assert tested.count() == 38 and spark.read.parquet(f"{tmp_path}/fct_orders").count() == 6
