@@ -221,3 +221,34 @@ def test_raw_sources_of_a_build_are_written_once_and_views_read_what_was_written
     failed = {(r.model, r.column, r.test): r.failures for r in tested.filter("status = 'fail'").collect()}
     assert failed == {(m, c, t): 1 for m, c in (("raw_orders", "id"), ("stg_orders", "order_key")) for t in ("not_null", "unique")}
     assert tested.count() == 38 and spark.read.parquet(f"{tmp_path}/fct_orders").count() == 6
+
+
+def test_findings_beside_the_model_fail_without_its_outliers(spark, tmp_path, monkeypatch, rows):
+    from tidemill.operators import anomalies as an
+    from tidemill.plans import queries_model_stream as qs
+    from tidemill.plans.catalog import QUERIES
+
+    # Ten flows with three runs each; the newest run of flow 3 failed with a text that names a type.
+    spark.range(30).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, id) AS ts", "id % 10 AS user_id",
+        "CASE WHEN id = 23 THEN 'error' ELSE 'view' END AS event_type", "50.0D + id AS value", """'{"k": 50}' AS props""",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    # Runs 5 (not the newest), 21 and 23 are outliers.
+    scores = spark.range(30).selectExpr("id AS run_no", "CASE WHEN id IN (5, 21, 23) THEN -0.2D ELSE 0.1D END AS decision", "id IN (5, 21, 23) AS is_outlier")
+    monkeypatch.setattr(qs, "_scored", lambda t: scores)
+    monkeypatch.setattr(qs.rm, "fit_classifier", lambda train: None)
+    monkeypatch.setattr(qs.rm, "predict", lambda model, df: df.selectExpr("*", "'NORMAL' AS predicted", "0.5D AS confidence"))
+
+    def result():
+        found = QUERIES["a14_findings_beside_the_model"](spark, str(tmp_path))
+        return rows(found.filter("rule <> 'model_outlier'")), {r.run_no: r.as_scored for r in found.filter("rule = 'model_outlier'").collect()}
+
+    by_rules, checked = result()
+    assert checked == dict.fromkeys(range(20, 30), True)
+    whole = an.with_model_outliers
+    monkeypatch.setattr(an, "with_model_outliers", lambda findings, outliers: findings)
+    assert result() == (by_rules, {**checked, 21: False, 23: False})
+    monkeypatch.setattr(an, "with_model_outliers", lambda f, o: whole(f, o.withColumn("anomaly_type", F.lit("ML_ANOMALY"))))
+    assert result() == (by_rules, {**checked, 23: False})
+    monkeypatch.setattr(an, "with_model_outliers", lambda f, o: whole(f, o.withColumn("run_no", F.col("run_no") + 1)))
+    assert result()[1] == {**checked, **dict.fromkeys((21, 22, 23, 24), False)}
